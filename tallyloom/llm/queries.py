@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.normal import plain_form
 from tallyloom.llm.contamination import find_leaks
 from tallyloom.llm.packing import CAPACITY, count_tokens, pack
+from tallyloom.llm.reading_level import reading_bands, reading_levels
 from tallyloom.llm.term_frequency import mark, term_counts
 from tallyloom.llm.top_items import top_items
 from tallyloom.plans.registry import Registry
@@ -97,3 +98,14 @@ def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reordered_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of which at least 60 % stands in a document in runs of at least 6 words, in any order."""
     return find_leaks(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), table(spark, sf_dir, "eval_items"), F.col("item_id"), F.col("item_text"), min_match=6, min_coverage=0.6)
+
+
+@registry.add("p8_found")
+def document_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_bands(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
+
+
+@registry.add("p8_levels")
+def document_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with prose, with its difficulty and the band the models give it."""
+    return reading_levels(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
