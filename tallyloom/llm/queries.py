@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.normal import plain_form
 from tallyloom.llm.contamination import find_leaks
 from tallyloom.llm.packing import CAPACITY, count_tokens, pack
+from tallyloom.llm.personal_data import directory, mask, pseudonymise, replace_spans
 from tallyloom.llm.reading_level import reading_bands, reading_levels
 from tallyloom.llm.term_frequency import mark, term_counts
 from tallyloom.llm.top_items import top_items
@@ -109,3 +110,44 @@ def document_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with prose, with its difficulty and the band the models give it."""
     return reading_levels(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
+
+
+def _free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(table_name, row_id, text) of the free-text fields; repeated rows once."""
+    comments = table(spark, sf_dir, "comments").select(F.lit("comments").alias("table_name"), F.col("id").alias("row_id"), F.col("body").alias("text"))
+    issues = table(spark, sf_dir, "issues").select(F.lit("issues").alias("table_name"), F.col("id").alias("row_id"), F.col("description").alias("text"))
+    return comments.unionByName(issues)
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given, family = directory(table(spark, sf_dir, "people"), F.col("display_name"))
+    rows = _free_text(spark, sf_dir)
+    found = pseudonymise(rows, F.struct("table_name", "row_id"), F.col("text"), given, family)
+    return found.select(F.col("row_id.table_name").alias("table_name"), F.col("row_id.row_id").alias("row_id"), "start_at", "end_at", "pii_type", "pii_key", "surrogate")
+
+
+@registry.add("p5_found")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _findings(spark, sf_dir).select("table_name", "row_id", "pii_type", "pii_key").distinct()
+
+
+@registry.add("p5_masked")
+def masked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with a typed placeholder in the place of each item, otherwise unchanged."""
+    given, family = directory(table(spark, sf_dir, "people"), F.col("display_name"))
+    return _free_text(spark, sf_dir).select("table_name", "row_id", mask(F.col("text"), given, family).alias("masked_text"))
+
+
+@registry.add("p5_surrogates")
+def surrogate_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct items with the replacement each of them gets everywhere."""
+    return _findings(spark, sf_dir).select("pii_type", "pii_key", "surrogate").distinct()
+
+
+@registry.add("p5_replaced")
+def texts_with_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that hold items, each item replaced by its surrogate."""
+    spans = _findings(spark, sf_dir).groupBy("table_name", "row_id", "start_at", "end_at").agg(F.min("surrogate").alias("new"))
+    per_row = spans.groupBy("table_name", "row_id").agg(F.collect_list(F.struct("start_at", "end_at", "new")).alias("spans"))
+    texts = _free_text(spark, sf_dir).groupBy("table_name", "row_id").agg(F.min("text").alias("text"))
+    return texts.join(per_row, ["table_name", "row_id"]).select("table_name", "row_id", replace_spans(F.col("text"), F.col("spans")).alias("replaced_text"))
