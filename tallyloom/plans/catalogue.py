@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import data_quality
+from tallyloom.plans import data_quality, records
 from tallyloom.plans.registry import Query
 
-MODULES = (data_quality,)
+MODULES = (records, data_quality)
 
 
 def queries() -> dict[str, Query]:
