@@ -43,13 +43,13 @@ ROUNDS = 3
 
 _ODD = re.compile(
     r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
-    r"|[­͏؜᠎​-‏‪-‮⁠-⁯︀-️﻿]"
-    r"|[  -   　]"
-    r"|[‐-―−‘’ʼ´]"
-    r"|.[̀-ͯ]+",
+    r"|[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]"
+    r"|[\u00a0\u2000-\u200a\u202f\u205f\u3000]"
+    r"|[\u2010-\u2015\u2212\u2018\u2019\u02bc\u00b4]"
+    r"|.[\u0300-\u036f]+",
     re.DOTALL,
 )
-_PLAIN_CHARS = {**dict.fromkeys("‐‑‒–—―−", "-"), **dict.fromkeys("‘’ʼ´", "'")}
+_PLAIN_CHARS = {**dict.fromkeys("\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "-"), **dict.fromkeys("\u2018\u2019\u02bc\u00b4", "'")}
 
 
 def _plain_piece(piece: str) -> str:
