@@ -45,7 +45,7 @@ def prefix_symbol(token: Column) -> Column:
 
 def csv_list(cell: Column) -> Column:
     """array<string> of a comma-separated cell, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(cell, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(cell, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def csv_has(cell: Column, name: Column) -> Column:

@@ -56,8 +56,8 @@ def texts_of(issues: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def tokenize(texts: DataFrame) -> DataFrame:
-    """(issue_id, field, part, at, token)."""
-    return texts.select("issue_id", "field", "part", F.posexplode(T.tokens(T.strip_html(F.col("text")))).alias("at", "token"))
+    """(issue_id, field, part, token_no, token)."""
+    return texts.select("issue_id", "field", "part", F.posexplode(T.tokens(T.strip_html(F.col("text")))).alias("token_no", "token"))
 
 
 def forms(tokens: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def forms(tokens: DataFrame) -> DataFrame:
         T.sanitize(F.col("token")).alias("word"),
         T.first_letter(F.col("token")).alias("letter"),
         (T.prefix_symbol(F.col("token")) == "$").alias("dollar"),
-        F.struct("issue_id", "field", "part", "at").alias("place"),
+        F.struct("issue_id", "field", "part", "token_no").alias("place"),
     )
     kept = shaped.where((F.col("letter") != "") & (F.length("word") >= MIN_LENGTH))
     return kept.groupBy("issue_id", "word", F.col("letter").rlike(r"[\p{Lu}\p{Lt}]").alias("upper"), "dollar").agg(F.count("*").alias("n"), F.min("place").alias("first"))

@@ -22,6 +22,8 @@ MAX_WORDS = 2_000_000
 _SPLIT = re.compile(r'[ \t\r\n"]+')
 _INNER = re.compile(r"[^\w'’]+")
 _SKIP = [re.compile(p) for p in SKIPPED.values()]
+#: Only words with one of these can match a pattern of skipped words.
+_SPECIAL = re.compile(r"[:/@.%#\[\d-]")
 _DROP = re.compile(r"[\W_]+")
 
 
@@ -83,7 +85,7 @@ class PageState:
 
     def read(self, text: str) -> None:
         for word in _SPLIT.split(text):
-            if not word or any(p.search(word) for p in _SKIP) or word.startswith(("[%", "%", "#", "/")) or word.endswith("%]"):
+            if not word or _SPECIAL.search(word) and (any(p.search(word) for p in _SKIP) or word.startswith(("[%", "%", "#", "/")) or word.endswith("%]")):
                 continue
             if not any(c.isalpha() for c in word) or self.resolve(word):
                 continue

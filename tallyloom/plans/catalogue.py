@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import data_quality, records, text_index
+from tallyloom.plans import data_quality, records, review, text_index
 from tallyloom.plans.registry import Query
 
-MODULES = (records, text_index, data_quality)
+MODULES = (records, text_index, review, data_quality)
 
 
 def queries() -> dict[str, Query]:

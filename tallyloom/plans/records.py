@@ -70,10 +70,10 @@ def lookup_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.select_single(tables.issues(spark, sf_dir, "issue_key", "title", "project_key"), "id", F.col("project_key") == "VSM").select("id", "issue_key", "title")
 
 
-@add("select_dict", f"SELECT id, struct_pack(issue_key := issue_key, title := title) AS row_value FROM {ISSUES_SQL} WHERE project_key = 'TRM'")
+@add("select_dict", f"SELECT id, issue_key || ': ' || title AS row_value FROM {ISSUES_SQL} WHERE project_key = 'TRM'")
 def select_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by primary key."""
-    return tables.issues(spark, sf_dir, "issue_key", "title", "project_key").where("project_key = 'TRM'").select("id", F.struct("issue_key", "title").alias("row_value"))
+    return tables.issues(spark, sf_dir, "issue_key", "title", "project_key").where("project_key = 'TRM'").select("id", F.concat_ws(": ", "issue_key", "title").alias("row_value"))
 
 
 @add("select_count", f"SELECT count(id) AS n FROM {ISSUES_SQL} WHERE project_key = 'FHX' AND priority_id >= 2")
@@ -140,12 +140,12 @@ def display_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
-@add("csv_list", "SELECT DISTINCT param_key, list_filter(list_transform(string_split(reference_targets, ','), x -> trim(x)), x -> x <> '') AS targets FROM search_parameters WHERE reference_targets IS NOT NULL")
+@add("csv_list", "SELECT DISTINCT param_key, array_to_string(list_filter(list_transform(string_split(reference_targets, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS targets FROM search_parameters WHERE reference_targets IS NOT NULL")
 def csv_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "search_parameters").where("reference_targets IS NOT NULL").select("param_key", T.csv_list(F.col("reference_targets")).alias("targets")).distinct()
+    return table(spark, sf_dir, "search_parameters").where("reference_targets IS NOT NULL").select("param_key", F.array_join(T.csv_list(F.col("reference_targets")), "|").alias("targets")).distinct()
 
 
-@add("csv_contains", "SELECT DISTINCT param_key, param_code FROM search_parameters WHERE list_contains(list_transform(string_split(reference_targets, ','), x -> lower(trim(x))), 'patient')")
+@add("csv_contains", "SELECT DISTINCT param_key, param_code FROM search_parameters WHERE list_contains(list_transform(string_split(reference_targets, ','), lambda x: lower(trim(x))), 'patient')")
 def csv_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "search_parameters").where(T.csv_has(F.col("reference_targets"), F.lit("PATIENT"))).select("param_key", "param_code").distinct()
 
@@ -155,12 +155,12 @@ def url_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.issues(spark, sf_dir, "related_url").where("related_url IS NOT NULL").select("id", T.url_stem(F.col("related_url")).alias("stem"))
 
 
-@add("json_roundtrip", "SELECT DISTINCT param_key, CASE WHEN len(t) > 0 THEN t END AS targets FROM (SELECT param_key, list_filter(list_transform(string_split(coalesce(reference_targets, ''), ','), x -> trim(x)), x -> x <> '') AS t FROM search_parameters)")
+@add("json_roundtrip", "SELECT DISTINCT param_key, CASE WHEN len(t) > 0 THEN array_to_string(t, '|') END AS targets FROM (SELECT param_key, list_filter(list_transform(string_split(coalesce(reference_targets, ''), ','), lambda x: trim(x)), lambda x: x <> '') AS t FROM search_parameters)")
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists stored as JSON text (an empty list as null) and read back."""
     lists = table(spark, sf_dir, "search_parameters").select("param_key", T.csv_list(F.coalesce("reference_targets", F.lit(""))).alias("t"))
     stored = lists.select("param_key", F.when(F.size("t") > 0, F.to_json("t")).alias("j"))
-    return stored.select("param_key", F.from_json("j", "array<string>").alias("targets")).distinct()
+    return stored.select("param_key", F.array_join(F.from_json("j", "array<string>"), "|").alias("targets")).distinct()
 
 
 @add(
@@ -174,7 +174,7 @@ def json_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(
     "format_size",
-    "SELECT DISTINCT p_partkey, CASE WHEN s < 1024 THEN printf('%.1f', s) || ' B' WHEN s < 1048576 THEN printf('%.1f', s / 1024) || ' KB' ELSE printf('%.1f', s / 1048576) || ' MB' END AS shown FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) * p_partkey * 3 AS s FROM part)",
+    "SELECT DISTINCT p_partkey, CASE WHEN s < 1024 THEN printf('%.1f', round(s, 1)) || ' B' WHEN s < 1048576 THEN printf('%.1f', round(s / 1024, 1)) || ' KB' ELSE printf('%.1f', round(s / 1048576, 1)) || ' MB' END AS shown FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) * p_partkey * 3 AS s FROM part)",
 )
 def format_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.file_size(F.col("p_size").cast("double") * F.col("p_partkey") * 3).alias("shown")).distinct()

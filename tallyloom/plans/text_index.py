@@ -35,8 +35,8 @@ texts AS (
   ) WHERE trim(text, ' ') <> ''
 ),
 toks AS (
-  SELECT issue_id, field, part, unnest(l) AS token, unnest(range(0, len(l))) AS at FROM (
-    SELECT issue_id, field, part, list_filter(regexp_split_to_array(regexp_replace(text, '<.*?>', '', 'g'), '[ \\t\\r\\n]+'), x -> x <> '') AS l FROM texts)
+  SELECT issue_id, field, part, unnest(l) AS token, unnest(range(0, len(l))) AS token_no FROM (
+    SELECT issue_id, field, part, list_filter(regexp_split_to_array(regexp_replace(text, '<.*?>', '', 'g'), '[ \\t\\r\\n]+'), lambda x: x <> '') AS l FROM texts)
 ),
 stops AS ({_WORDS("issue_keywords WHERE keyword_type = 'StopWord'")}),
 paths AS ({_WORDS("corpus_keywords WHERE keyword_type = 'FhirElementPath'")}),
@@ -44,7 +44,7 @@ ops AS ({_WORDS("corpus_keywords WHERE keyword_type = 'FhirOperationName'")}),
 lemmas(word, lemma) AS (VALUES {_LEMMA_ROWS}),
 shaped AS (
   SELECT *, {CLEAN % 'token'} AS word, regexp_extract(token, '[{CASED}]') AS letter,
-    regexp_matches(token, '^[^{CASED}\\p{{P}}\\p{{Sm}}\\p{{Sc}}\\p{{So}}]*\\$') AS dollar, printf('%09d %d %09d %09d', issue_id, field, part, at) AS place FROM toks
+    regexp_matches(token, '^[^{CASED}\\p{{P}}\\p{{Sm}}\\p{{Sc}}\\p{{So}}]*\\$') AS dollar, printf('%09d %d %09d %09d', issue_id, field, part, token_no) AS place FROM toks
 ),
 classes AS (
   SELECT s.*, CASE WHEN st.word IS NOT NULL THEN 'StopWord' WHEN p.word IS NOT NULL AND (l.word IS NULL OR regexp_matches(letter, '[\\p{{Lu}}\\p{{Lt}}]')) THEN 'FhirElementPath'
@@ -104,7 +104,7 @@ def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.issues(spark, sf_dir, "description").select("id", T.strip_html(d).alias("joined"), T.strip_html_trimmed(d).alias("trimmed"), T.strip_html_spaced(d).alias("spaced"))
 
 
-@add("tokenize", f"WITH {BASE_SQL} SELECT issue_id, field, part, at, token FROM toks")
+@add("tokenize", f"WITH {BASE_SQL} SELECT issue_id, field, part, token_no, token FROM toks")
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.tokenize(texts(spark, sf_dir))
 
