@@ -60,21 +60,30 @@ def tokenize(texts: DataFrame) -> DataFrame:
     return texts.select("issue_id", "field", "part", F.posexplode(T.tokens(T.strip_html(F.col("text")))).alias("token_no", "token"))
 
 
+#: Keyword types by the code that stands in the low bits of a place.
+TYPES = (WORD, STOP, PATH, OPERATION)
+
+
+def _type_of(code: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(t) for t in TYPES]), (code.bitwiseAND(F.lit(7)) + 1).cast("int"))
+
+
 def forms(tokens: DataFrame) -> DataFrame:
-    """(issue_id, word, upper, dollar, n, first): tokens folded per record and form."""
-    shaped = tokens.select(
-        "issue_id",
-        T.sanitize(F.col("token")).alias("word"),
-        T.first_letter(F.col("token")).alias("letter"),
-        (T.prefix_symbol(F.col("token")) == "$").alias("dollar"),
-        F.struct("issue_id", "field", "part", "token_no").alias("place"),
-    )
-    kept = shaped.where((F.col("letter") != "") & (F.length("word") >= MIN_LENGTH))
-    return kept.groupBy("issue_id", "word", F.col("letter").rlike(r"[\p{Lu}\p{Lt}]").alias("upper"), "dollar").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    """(issue_id, word, upper, dollar, n, place): tokens folded per record and spelling.
+
+    place orders a record's tokens by field, part and position in one number, so
+    everything here aggregates in hash tables of plain numbers. Folding comes
+    before the regular expressions: they see each spelling once per record.
+    """
+    place = F.shiftleft(F.col("field").cast("long"), 56) + F.shiftleft(F.col("part").cast("long"), 24) + F.col("token_no")
+    folded = tokens.groupBy("issue_id", "token").agg(F.count("*").alias("n"), F.min(place).alias("place"))
+    dollar = F.when(F.contains("token", F.lit("$")), T.prefix_symbol(F.col("token")) == "$").otherwise(F.lit(False))
+    shaped = folded.select("issue_id", T.sanitize(F.col("token")).alias("word"), F.col("token").rlike(r"^[^\p{Lu}\p{Lt}\p{Ll}]*[\p{Lu}\p{Lt}]").alias("upper"), dollar.alias("dollar"), "n", "place")
+    return shaped.where((F.length("word") >= MIN_LENGTH) & F.col("word").rlike(r"[^\p{Nd}]"))
 
 
 def classify(found: DataFrame, words: Dictionaries) -> DataFrame:
-    """forms plus `keyword`, `keyword_type` and `by_lemma`.
+    """forms plus `keyword`, `type_code` (index into TYPES) and `by_lemma`.
 
     In this order: stop word; path (unless it is a lemma written in lower case);
     operation (behind a '$'); lemma; plain word.
@@ -85,26 +94,24 @@ def classify(found: DataFrame, words: Dictionaries) -> DataFrame:
         .join(words.operations.select("word", F.lit(True).alias("is_operation")), "word", "left")
         .join(words.lemmas.select("word", "lemma"), "word", "left")
     )
-    kind = (
-        F.when(F.col("is_stop"), STOP)
-        .when(F.col("is_path") & (F.col("lemma").isNull() | F.col("upper")), PATH)
-        .when(F.col("is_operation") & F.col("dollar"), OPERATION)
-        .otherwise(WORD)
-    )
-    out = flagged.withColumn("keyword_type", kind)
-    by_lemma = (F.col("keyword_type") == WORD) & F.col("lemma").isNotNull()
-    return out.withColumn("by_lemma", by_lemma).withColumn("keyword", F.when(F.col("by_lemma"), F.col("lemma")).otherwise(F.col("word"))).drop("is_stop", "is_path", "is_operation", "lemma")
+    code = F.when(F.col("is_stop"), 1).when(F.col("is_path") & (F.col("lemma").isNull() | F.col("upper")), 2).when(F.col("is_operation") & F.col("dollar"), 3).otherwise(0)
+    out = flagged.withColumn("type_code", code)
+    by_lemma = (F.col("type_code") == 0) & F.col("lemma").isNotNull()
+    keyword = F.when(by_lemma, F.col("lemma")).otherwise(F.col("word"))
+    return out.select("issue_id", keyword.alias("keyword"), "type_code", by_lemma.alias("by_lemma"), "n", "place")
 
 
 def term_frequency(classes: DataFrame) -> DataFrame:
-    """(issue_id, keyword, keyword_type, tf, first): the type seen first in the record; stop words left out."""
-    kept = classes.where(F.col("keyword_type") != STOP)
-    return kept.groupBy("issue_id", "keyword").agg(F.min_by("keyword_type", "first").alias("keyword_type"), F.sum("n").alias("tf"), F.min("first").alias("first"))
+    """(issue_id, keyword, keyword_type, tf): the type seen first in the record; stop words left out."""
+    kept = classes.where("type_code <> 1").groupBy("issue_id", "keyword").agg(F.min(F.col("place") * 8 + F.col("type_code")).alias("first"), F.sum("n").alias("tf"))
+    return kept.select("issue_id", "keyword", _type_of(F.col("first")).alias("keyword_type"), "tf")
 
 
 def corpus_frequency(tf: DataFrame) -> DataFrame:
-    """(keyword, keyword_type, n): over all records, the type seen first."""
-    return tf.groupBy("keyword").agg(F.min_by("keyword_type", "first").alias("keyword_type"), F.sum("tf").alias("n"))
+    """(keyword, keyword_type, n): over all records, the type seen first, which is that of the first record."""
+    code = F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("keyword_type")) - 1
+    folded = tf.groupBy("keyword").agg(F.min(F.col("issue_id").cast("long") * 8 + code).alias("first"), F.sum("tf").alias("n"))
+    return folded.select("keyword", _type_of(F.col("first")).alias("keyword_type"), "n")
 
 
 def totals(texts: DataFrame, classes: DataFrame) -> DataFrame:
@@ -113,9 +120,9 @@ def totals(texts: DataFrame, classes: DataFrame) -> DataFrame:
         classes.groupBy("issue_id").agg(
             F.sum("n").alias("total_words"),
             F.sum(F.when(F.col("by_lemma"), F.col("n")).otherwise(0)).alias("total_lemma_words"),
-            F.sum(F.when(F.col("keyword_type") == STOP, F.col("n")).otherwise(0)).alias("total_stop_words"),
-            F.sum(F.when(F.col("keyword_type") == PATH, F.col("n")).otherwise(0)).alias("total_paths"),
-            F.sum(F.when(F.col("keyword_type") == OPERATION, F.col("n")).otherwise(0)).alias("total_operations"),
+            F.sum(F.when(F.col("type_code") == 1, F.col("n")).otherwise(0)).alias("total_stop_words"),
+            F.sum(F.when(F.col("type_code") == 2, F.col("n")).otherwise(0)).alias("total_paths"),
+            F.sum(F.when(F.col("type_code") == 3, F.col("n")).otherwise(0)).alias("total_operations"),
         ),
         "issue_id",
         "left",

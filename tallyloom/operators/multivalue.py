@@ -107,12 +107,15 @@ def _classes(names: tuple[str, ...]) -> str:
     return "".join(chars for name, chars in CANDIDATES if name in names)
 
 
-def score_delimiters(cells: DataFrame, source: Source) -> DataFrame:
+def score_delimiters(cells: DataFrame, source: Source, names: tuple[str, ...] | None = None) -> DataFrame:
     """(delimiter, cells, consistency, regularity) of each candidate over all cells.
 
     cells has one string column, `cell`. Candidates that never occur are absent.
+    regularity is null where no piece is free of other candidates. Without any
+    single-valued cell, known names, codes and words count as regular.
     """
-    every = "".join(chars for _, chars in CANDIDATES)
+    candidates = tuple((n, c) for n, c in CANDIDATES if names is None or n in names)
+    every = "".join(chars for _, chars in candidates)
     opaque = "|".join(_opaque(_known_pattern(source.known), f"[{every}]"))
     masked = cells.select(F.regexp_replace(F.regexp_replace(_cell(F.col("cell")), opaque, MASK), r"\\.", MASK).alias("m"))
     masked = masked.where("trim(m) <> ''").select(F.trim("m").alias("m"))
@@ -128,7 +131,7 @@ def score_delimiters(cells: DataFrame, source: Source) -> DataFrame:
             F.transform(whole, _typed).alias("types"),
         )
 
-    scored = masked.select(single.alias("single"), F.explode(F.array(*[F.struct(F.lit(n).alias("delimiter"), judged(c).alias("j")) for n, c in CANDIDATES])).alias("x"))
+    scored = masked.select(single.alias("single"), F.explode(F.array(*[F.struct(F.lit(n).alias("delimiter"), judged(c).alias("j")) for n, c in candidates])).alias("x"))
     kinds = ("opaque", "code", "word", "other")
 
     def pieces_of(kind: str) -> Column:
@@ -140,29 +143,37 @@ def score_delimiters(cells: DataFrame, source: Source) -> DataFrame:
         *[pieces_of(k).alias(f"n_{k}") for k in kinds],
         *[F.count_if(F.col("single") == k).alias(f"s_{k}") for k in kinds],
     )
-    seen = sum((F.when(F.col(f"s_{k}") > 0, F.col(f"n_{k}")).otherwise(0) for k in kinds), F.lit(0))
+    singles = sum((F.col(f"s_{k}") for k in kinds), F.lit(0))
+    seen = sum((F.when(F.col(f"s_{k}") > 0, F.col(f"n_{k}")).when((singles == 0) & F.lit(k != "other"), F.col(f"n_{k}")).otherwise(0) for k in kinds), F.lit(0))
     total = sum((F.col(f"n_{k}") for k in kinds), F.lit(0))
     return one.where("cells > 0").select(
         "delimiter",
         "cells",
         F.expr("CASE WHEN cut > 0 THEN cut / cells ELSE 0D END").alias("consistency"),
-        F.when(total > 0, seen / total).otherwise(F.lit(0.0)).alias("regularity"),
+        F.when(total > 0, seen / total).alias("regularity"),
     )
 
 
 def infer_delimiters(cells: DataFrame, source: Source) -> tuple[str, ...]:
-    """Names of the candidates whose regularity reaches MIN_SCORE and that cut at all.
+    """Names of the candidates that separate the values of the source.
 
-    Consistency separates a delimiter from mere noise at the ends of cells (a
-    candidate that cuts nothing is no delimiter). With no evidence at all (an
-    empty source) every candidate but the slash counts.
+    Candidates whose pieces are irregular are dropped and the rest is scored
+    anew, since what they cut up may be a value after all; this ends after as
+    many passes as candidates at most, usually after one. Of the rest, those
+    that cut any cell are chosen. Ends of lines and tabs never belong to a
+    value and always count. An empty source gets every candidate but the slash.
     """
-    rows = score_delimiters(cells, source).collect()  # at most one row per candidate
-    chosen = tuple(n for n, _ in CANDIDATES for r in rows if r.delimiter == n and r.consistency > 0 and r.regularity >= MIN_SCORE)
-    if rows:
-        # ends of lines never belong to a value, whether or not the source has them yet
-        return tuple(n for n, _ in CANDIDATES if n in chosen or n in ("newline", "tab"))
-    return tuple(n for n, _ in CANDIDATES if n != "slash")
+    names = tuple(n for n, _ in CANDIDATES)
+    while True:
+        rows = score_delimiters(cells, source, names).collect()  # at most one row per candidate
+        irregular = {r.delimiter for r in rows if r.regularity is not None and r.regularity < MIN_SCORE}
+        if not irregular - {"newline", "tab"}:
+            break
+        names = tuple(n for n in names if n not in irregular or n in ("newline", "tab"))
+    if not rows:
+        return tuple(n for n in names if n != "slash")
+    cutting = {r.delimiter for r in rows if r.consistency > 0 and r.regularity is not None}
+    return tuple(n for n in names if n in cutting or n in ("newline", "tab"))
 
 
 def values_of(column: Column, source: Source, delimiters: tuple[str, ...]) -> Column:

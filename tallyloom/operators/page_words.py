@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,6 +28,7 @@ _SPECIAL = re.compile(r"[:/@.%#\[\d-]")
 _DROP = re.compile(r"[\W_]+")
 
 
+@lru_cache(maxsize=1 << 16)
 def plain(word: str) -> str:
     return _DROP.sub("", word).lower()
 
@@ -49,6 +51,12 @@ def bounded_map(df: DataFrame, key: str, *values: str, limit: int = MAX_WORDS) -
     return {plain(r[0]): tuple(r.v) if values else () for r in rows}
 
 
+@lru_cache(maxsize=1 << 16)
+def skipped(word: str) -> bool:
+    """Whether review doesn't look at a word: links, paths, files, dates, markup."""
+    return bool(_SPECIAL.search(word)) and (any(p.search(word) for p in _SKIP) or word.startswith(("[%", "%", "#", "/")) or word.endswith("%]"))
+
+
 class PageState:
     """The outcome for one page."""
 
@@ -85,9 +93,7 @@ class PageState:
 
     def read(self, text: str) -> None:
         for word in _SPLIT.split(text):
-            if not word or _SPECIAL.search(word) and (any(p.search(word) for p in _SKIP) or word.startswith(("[%", "%", "#", "/")) or word.endswith("%]")):
-                continue
-            if not any(c.isalpha() for c in word) or self.resolve(word):
+            if not word or skipped(word) or not (word.isalpha() or any(map(str.isalpha, word))) or self.resolve(word):
                 continue
             for part in _INNER.split(word):
                 if any(c.isalpha() for c in part) and not self.resolve(part):

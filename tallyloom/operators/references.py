@@ -58,7 +58,7 @@ def anti_join_salted(refs: DataFrame, targets: DataFrame, keys: list[str], salts
     """
     distinct = targets.select(*keys).dropna().distinct()
     if salts <= 1:
-        return refs.join(distinct, keys, "left_anti")
+        return refs.join(distinct, keys, "left_anti").select(*refs.columns)
     hot = hot_keys(refs, keys, hot_share).withColumn("__hot", F.lit(True))
     spread = refs.join(F.broadcast(hot), keys, "left").withColumn(
         SALT, F.when(F.col("__hot"), F.pmod(F.xxhash64(*[F.col(c) for c in refs.columns]), F.lit(salts))).otherwise(F.lit(0)).cast("int")

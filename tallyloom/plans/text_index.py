@@ -11,7 +11,7 @@ from tallyloom.operators import keyword_index as K
 from tallyloom.plans import tables
 from tallyloom.plans.registry import Registry
 from tallyloom.plans.tables import COMMENTS_SQL, ISSUES_SQL, KEYWORDS_SQL
-from tallyloom.session import table
+from tallyloom.session import ensure_checkpoint_dir, table
 
 registry = Registry()
 add = registry.add
@@ -86,10 +86,16 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.classify(K.forms(K.tokenize(texts(spark, sf_dir))), dictionaries(spark, sf_dir))
 
 
+def statistics_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(term frequencies, totals). The classed words are written once to the checkpoint folder: both read them, and every later step reads one of the two several times."""
+    ensure_checkpoint_dir(spark)
+    found = classes(spark, sf_dir).checkpoint(eager=True)
+    return K.term_frequency(found), K.totals(texts(spark, sf_dir), found)
+
+
 def index(spark: SparkSession, sf_dir: str, k1: float = K.K1, b: float = K.B) -> DataFrame:
-    found = classes(spark, sf_dir)
-    total = K.totals(texts(spark, sf_dir), found)
-    return K.build_index(K.term_frequency(found), total, K.doc_stats(total), k1, b)
+    tf, total = statistics_of(spark, sf_dir)
+    return K.build_index(tf, total, K.doc_stats(total), k1, b)
 
 
 @add("sanitize", f"SELECT DISTINCT id, {CLEAN % 'keyword'} AS clean, regexp_extract(keyword, '[{CASED}]') AS first_letter, regexp_extract(keyword, '^[^{CASED}\\p{{P}}\\p{{Sm}}\\p{{Sc}}\\p{{So}}]*([\\p{{P}}\\p{{Sm}}\\p{{Sc}}\\p{{So}}])', 1) AS prefix_symbol FROM issue_keywords")
@@ -111,12 +117,13 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("token_classes", f"WITH {BASE_SQL} SELECT issue_id, keyword, keyword_type, count(*) AS n FROM kw GROUP BY issue_id, keyword, keyword_type")
 def token_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(spark, sf_dir).groupBy("issue_id", "keyword", "keyword_type").agg(F.sum("n").alias("n"))
+    kind = F.element_at(F.array(*[F.lit(t) for t in K.TYPES]), F.col("type_code") + 1)
+    return classes(spark, sf_dir).groupBy("issue_id", "keyword", kind.alias("keyword_type")).agg(F.sum("n").alias("n"))
 
 
 @add("term_frequency", f"WITH {BASE_SQL} SELECT issue_id, keyword, keyword_type, tf FROM tf")
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.term_frequency(classes(spark, sf_dir)).drop("first")
+    return K.term_frequency(classes(spark, sf_dir))
 
 
 @add("corpus_frequency", f"WITH {BASE_SQL} SELECT keyword, keyword_type, n FROM cf")
@@ -141,9 +148,8 @@ def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("idf", f"WITH {BASE_SQL} SELECT keyword, keyword_type, n, df, round(idf, 6) AS idf FROM corpus")
 def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = classes(spark, sf_dir)
-    stats = K.doc_stats(K.totals(texts(spark, sf_dir), found))
-    return K.corpus_idf(K.term_frequency(found), stats).select("keyword", "keyword_type", "n", "df", F.round("idf", 6).alias("idf"))
+    tf, total = statistics_of(spark, sf_dir)
+    return K.corpus_idf(tf, K.doc_stats(total)).select("keyword", "keyword_type", "n", "df", F.round("idf", 6).alias("idf"))
 
 
 @add("bm25_index", f"WITH {_index_sql()} SELECT issue_id, keyword, keyword_type, tf, round(score, 6) AS score FROM idx")
