@@ -162,11 +162,13 @@ def _leaks_of_block(documents: DataFrame, items: list[tuple[object, str]], item_
                     ends.append(len(codes))
             every = np.array(codes, np.uint64)
             at, number, place = index.seeds(every)
-            doc = np.searchsorted(np.array(ends), at, "right")
+            doc = np.searchsorted(np.array(ends, np.int64), at, "right")
             rows = []
             order = np.lexsort((number, doc))
-            pairs = np.flatnonzero(np.concatenate(([True], (np.diff(doc[order]) != 0) | (np.diff(number[order]) != 0)))) if len(order) else []
-            for s, e in zip(pairs, [*pairs[1:], len(order)], strict=True):
+            # where a document and item differ from those before; with the end, the bounds of each pair's seeds
+            changes = np.flatnonzero((np.diff(doc[order]) != 0) | (np.diff(number[order]) != 0)) + 1
+            bounds = [0, *changes.tolist(), len(order)] if len(order) else [0]
+            for s, e in zip(bounds, bounds[1:]):
                 take = order[s:e]
                 item_id, item = index.items[number[take[0]]]
                 got = tiles(every, item, at[take], place[take], min_match)
