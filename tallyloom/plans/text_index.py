@@ -11,7 +11,7 @@ from tallyloom.operators import keyword_index as K
 from tallyloom.plans import tables
 from tallyloom.plans.registry import Registry
 from tallyloom.plans.tables import COMMENTS_SQL, ISSUES_SQL, KEYWORDS_SQL
-from tallyloom.session import ensure_checkpoint_dir, table
+from tallyloom.session import materialise, table
 
 registry = Registry()
 add = registry.add
@@ -87,10 +87,13 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def statistics_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(term frequencies, totals). The classed words are written once to the checkpoint folder: both read them, and every later step reads one of the two several times."""
-    ensure_checkpoint_dir(spark)
-    found = classes(spark, sf_dir).checkpoint(eager=True)
-    return K.term_frequency(found), K.totals(texts(spark, sf_dir), found)
+    """(term frequencies, totals), which every later step reads several times.
+
+    The classed words and the totals (a row per record) are written once to the
+    checkpoint folder.
+    """
+    found = materialise(classes(spark, sf_dir))
+    return K.term_frequency(found), materialise(K.totals(texts(spark, sf_dir), found))
 
 
 def index(spark: SparkSession, sf_dir: str, k1: float = K.K1, b: float = K.B) -> DataFrame:
