@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.session import ensure_checkpoint_dir
+from tallyloom.session import materialise
 
 TYPES = ("email", "id_number", "phone", "address", "person")
 MAX_NAMES = 50_000
@@ -259,7 +259,7 @@ def _person_patterns(given: tuple[str, ...], family: tuple[str, ...]) -> tuple:
     middle = rf"(?:{_B}[^\W\d_]\.)*"
     return (
         re.compile(rf"(?<![\w.+-])(?<!\w@)(?P<given>{g}{middle}){_B}(?P<family>{f})(?![\w-]|'\w|@|[.+]\w+@)", re.IGNORECASE),
-        re.compile(rf"(?<![\w.+-])(?P<family>{f}),{_B}(?P<given>{g}{middle})(?![\w-]|'\w|{_B}{f})", re.IGNORECASE),
+        re.compile(rf"(?<![\w.+-])(?P<family>{f}),{_B}(?P<given>{g}{middle})(?![\w-]|'\w|{_B}{f}(?![\w.+@-]))", re.IGNORECASE),
         re.compile(rf"(?<![\w.+-])(?P<given>{_INITIALS}){_S}(?P<family>(?i:{f}))(?![\w-]|'\w|@)"),
         re.compile(rf"(?<![\w.+-])(?P<family>(?i:{f})),{_B}(?P<given>{_INITIALS})(?!\w)"),
         _occurrence_test(family),
@@ -436,14 +436,13 @@ def surrogates(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     with a running number per drawn text, which is distinct by construction.
     """
     entities = found.groupBy("pii_type", "pii_key").agg(F.min("written").alias("written"))
-    ensure_checkpoint_dir(found.sparkSession)
-    open_, done = entities.checkpoint(eager=True), None
+    open_, done = materialise(entities), None
     real = open_.select("pii_type", F.col("pii_key").alias("s_key"))
     for attempt in range(rounds):
         drawn = open_.withColumn("surrogate", _drawn(attempt)).withColumn("s_key", F.lower(F.regexp_replace("surrogate", r"[^\p{L}\p{Nd}]", "")))
         used = real if done is None else real.unionByName(done.select("pii_type", "s_key"))
         free = drawn.join(used, ["pii_type", "s_key"], "left_anti")
-        kept = free.withColumn("r", F.row_number().over(Window.partitionBy("pii_type", "s_key").orderBy("pii_key"))).where("r = 1").drop("r").checkpoint(eager=True)
+        kept = materialise(free.withColumn("r", F.row_number().over(Window.partitionBy("pii_type", "s_key").orderBy("pii_key"))).where("r = 1").drop("r"))
         done = kept if done is None else done.unionByName(kept)
         open_ = open_.join(kept.select("pii_type", "pii_key"), ["pii_type", "pii_key"], "left_anti")
     rest = open_.withColumn("surrogate", _drawn(rounds)).withColumn("r", F.row_number().over(Window.partitionBy("pii_type", "surrogate").orderBy("pii_key")))
@@ -458,8 +457,7 @@ def pseudonymise(rows: DataFrame, row_id: Column, text: Column, given: tuple[str
     The findings are written once to the checkpoint folder, so detection - the
     dear part - runs over the texts a single time. row_id may be a struct.
     """
-    ensure_checkpoint_dir(rows.sparkSession)
-    found = detect(rows, row_id, text, given, family).checkpoint(eager=True)
+    found = materialise(detect(rows, row_id, text, given, family))
     named = surrogates(found).select("pii_type", "pii_key", "surrogate")
     return found.join(named, ["pii_type", "pii_key"]).select("row_id", "start_at", "end_at", "pii_type", "pii_key", "written", "surrogate")
 
