@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +45,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tallyloom-checkpoint-"))
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers, once per application.
+
+    Spark serves the archive from the driver to every executor, also to those
+    that join later.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, str(Path(root.name) / path.relative_to(root)))
+    folder = tempfile.mkdtemp(prefix="tallyloom-")
+    target = Path(folder, f"{root.name}.zip")
+    target.write_bytes(data.getvalue())
+    context.addPyFile(str(target))
+    _SHIPPED.add(context.applicationId)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """The rows of df as a table written once to the shared checkpoint folder.
 
