@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators.multivalue import Source, bounded_names, score_delimiters, split_values
 from tallyloom.operators.references import find_orphans
 from tallyloom.plans.registry import Registry
-from tallyloom.session import table
+from tallyloom.session import materialise, table
 
 registry = Registry()
 
@@ -67,8 +67,12 @@ def issue_references(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("updated_at").alias("updated_at"),
     )
     refs = merged.select("issue_id", F.explode("keys").alias("ref_key"), "created_at", F.coalesce("updated_at", "created_at").alias("touched_at"))
-    # both parts are always there, and the schema says so: no mask of partial keys is searched for
-    return refs.withColumn("ref_project", F.coalesce(F.split_part("ref_key", F.lit("-"), F.lit(1)), F.lit(""))).withColumn("ref_number", F.coalesce(F.split_part("ref_key", F.lit("-"), F.lit(2)).try_cast("long"), F.lit(-1)))
+    return refs.withColumn("ref_project", F.split_part("ref_key", F.lit("-"), F.lit(1))).withColumn("ref_number", F.split_part("ref_key", F.lit("-"), F.lit(2)).try_cast("long"))
+
+
+def _whole_keys(refs: DataFrame) -> DataFrame:
+    """Both parts of a key that was found in a cell are always there; the schema is made to say so, and no mask of partial keys is searched for."""
+    return refs.withColumns({"ref_project": F.coalesce("ref_project", F.lit("")), "ref_number": F.coalesce("ref_number", F.lit(-1))})
 
 
 def _keyed(df: DataFrame, key: str = "issue_key") -> DataFrame:
@@ -97,7 +101,8 @@ WHERE t.ref_key IS NULL OR t.target_created > r.touched_at
 
 @registry.add("p2_found", P2_SQL)
 def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = issue_references(spark, sf_dir)
+    # read by every step below; written once, a few bytes per reference
+    refs = _whole_keys(materialise(issue_references(spark, sf_dir)))
     keys = ["ref_project", "ref_number"]
     issues = _keyed(table(spark, sf_dir, "issues").select("issue_key", "created_at"))
     absent = find_orphans(refs, issues, keys, match="partial", salts=8)
