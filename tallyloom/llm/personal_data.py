@@ -388,11 +388,27 @@ def _digits(draw: _Draw, written: str, keep: int = 0) -> str:
     return written[:keep] + "".join(str(draw.below(9) + 1) if c.isdigit() else c for c in written[keep:])
 
 
+def _surrogate_email(draw: _Draw, written: str) -> str:
+    """Every run of letters and digits replaced, separators and the way of writing 'at' and 'dot' kept; a reserved domain."""
+    m = EMAIL.fullmatch(normal_form(written)[0])
+    if not m:
+        return f"{_syllables(draw, 2)}@{draw.of(['example.com', 'example.net', 'example.org'])}"
+
+    def run(piece: re.Match) -> str:
+        return _cased(_syllables(draw, 2), piece.group() if len(piece.group()) > 1 else m["local"]) if piece.group()[0].isalpha() else "".join(str(draw.below(10)) for _ in piece.group())
+
+    local = re.sub(r"[^\W\d_]+|\d+", run, m["local"])
+    domain = m["d1"] or m["d2"] or m["d3"]
+    at = m.group()[len(m["local"]) : len(m.group()) - len(domain)]
+    dot = re.search(_DOT, domain, re.IGNORECASE).group()
+    return local + at + _cased(_syllables(draw, 2), domain) + dot + _cased("example", domain)
+
+
 def surrogate(kind: str, key: str, written: str, attempt: int) -> str:
     """A replacement of the same type and format, decided by the key, the entity and the attempt."""
     draw = _Draw(kind, key, attempt)
     if kind == "email":
-        return f"{_syllables(draw, 2)}.{_syllables(draw, 2)}@{draw.of(['example.com', 'example.net', 'example.org'])}"
+        return _surrogate_email(draw, written)
     if kind == "phone":
         head = re.match(r"\+\d{1,2}|00\d|\(0?|0", written)
         return _digits(draw, written, head.end() if head else 0)

@@ -104,6 +104,14 @@ def test_surrogate_keeps_the_form():
     assert P.surrogate("address", "k", "62 bis, chemin du Lavoir", 0).split()[2] == "chemin"
 
 
+@pytest.mark.parametrize("written", ["a.kestrow+fhx@lab.example.org", "BEA-K@MAIL.EXAMPLE", "bea7 (at) lab [dot] example [dot] org", "x at y dot example", "q @ y.example"])
+def test_surrogate_email_is_one(written):
+    new = P.surrogate("email", "k", written, 0)
+    assert [t for _, _, t, _ in P.find_entities(new, (), ())] == ["email"]
+    assert new.isupper() == written.isupper() and ("(at)" in new) == ("(at)" in written) and ("+" in new) == ("+" in written)
+    assert "kestrow" not in new and new != P.surrogate("email", "other", written, 0)
+
+
 def test_directory_is_bounded(spark):
     df = spark.createDataFrame([("Anna Berg",), ("Anna Van Dal",), (None,), ("Solo",), ("",)], "n string")
     assert P.directory(df, F.col("n")) == (("Anna",), ("Berg", "Van Dal"))
