@@ -94,12 +94,14 @@ def pack(items: DataFrame, item: Column, size: Column, capacity: int = CAPACITY,
     rows = items.select(item.alias("item_id"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
     total = rows.agg(F.count("*").alias("n")).scalar()
     groups = F.greatest(F.lit(1), F.ceil(total / F.lit(group_items)))
-    grouped = rows.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "item_id"), groups).cast("int"))
+    # repeats of an id are folded before the groups are formed, else they would all meet in one
+    once = rows.groupBy("item_id").agg(F.max("size").alias("size"))
+    grouped = once.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "item_id"), groups).cast("int"))
     kind = rows.schema["item_id"].dataType.simpleString()
 
     def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         (g,) = key
-        pdf = pdf.sort_values(["size", "item_id"], ascending=[False, True], kind="stable", na_position="first").drop_duplicates("item_id")
+        pdf = pdf.sort_values(["size", "item_id"], ascending=[False, True], kind="stable", na_position="first")
         ids, pieces, starts, sizes = [], [], [], []
         for i, n in zip(pdf["item_id"], pdf["size"], strict=True):
             for k, start in enumerate(range(0, max(n, 1), capacity)):
