@@ -16,7 +16,7 @@ CONFORMANCE = ("SHALL", "SHOULD", "MAY")
 INCOMPLETE = (r"to-do", r"todo", r"to\s+do", r"will\s+consider", r"\.\.\.", r"future\s+versions")
 READER_NOTES = (r"stu-note", r"stu\s+note", r"implementation\s+note", r"implementer\s+note", r"note\s+to\s+implementers", r"feedback", r"dragon", r"balloters", r"voters")
 TRIAL_USE = r"""(?i)(>\s*Trial\s+Use\s*<|class\s*=\s*['"]stu['"])"""
-#: Patterns of tokens that page review doesn't look at.
+# fixed values: patterns of tokens that page review doesn't look at
 SKIPPED = {
     "url": r"(?i)(http|https|ftp|sftp)://[^\s/$.?#].[^\s]*",
     "base_path": r"(?i)\[base\]/[^\s]*",

@@ -202,3 +202,9 @@ def top_keywords(corpus: DataFrame, k: int = 50, keyword_type: str | None = None
     """Keywords by IDF, then count, both falling; ties by keyword and id."""
     some = corpus if keyword_type is None else corpus.where(F.col("keyword_type") == keyword_type)
     return some.orderBy(F.col("idf").desc(), F.col("n").desc(), "keyword", "id").limit(k)
+
+
+def latest_config(config: DataFrame) -> DataFrame:
+    """One row (k1, b): the configuration updated last, or the defaults without any."""
+    last = config.agg(F.max_by(F.struct("k1", "b"), F.struct("last_updated", "id")).alias("c"))
+    return last.select(F.coalesce("c.k1", F.lit(K1)).alias("k1"), F.coalesce("c.b", F.lit(B)).alias("b"))

@@ -180,15 +180,15 @@ def format_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.file_size(F.col("p_size").cast("double") * F.col("p_partkey") * 3).alias("shown")).distinct()
 
 
-@add("date_range_gen", "SELECT CAST(d AS DATE) AS day, 'created >= ' || strftime(d, '%Y-%m-%d') || ' AND created < ' || strftime(d + INTERVAL 1 DAY, '%Y-%m-%d') AS query_text, CAST(23 AS INTEGER) AS span_days FROM range(DATE '2015-07-13', DATE '2015-08-05', INTERVAL 1 DAY) t(d)")
+@add("date_range_gen", "SELECT strftime(d, '%Y-%m-%d') AS day, 'created >= ' || strftime(d, '%Y-%m-%d') || ' AND created < ' || strftime(d + INTERVAL 1 DAY, '%Y-%m-%d') AS query_text, CAST(23 AS INTEGER) AS span_days FROM range(DATE '2015-07-13', DATE '2015-08-05', INTERVAL 1 DAY) t(d)")
 def date_range_gen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The days of a download range with their query text, newest first."""
     from tallyloom.sources.tracker import day_ranges
 
-    return day_ranges(spark, "2015-07-13", "2015-08-04").orderBy(F.col("day").desc())
+    return day_ranges(spark, "2015-07-13", "2015-08-04").withColumn("day", F.date_format("day", "yyyy-MM-dd")).orderBy(F.col("day").desc())
 
 
-@add("success_rate", "SELECT event_type, count(*) AS attempts, count_if(value >= 50) AS succeeded, count_if(value < 50 OR value IS NULL) AS failed, round(count_if(value >= 50) * 100.0 / count(*), 6) AS success_percent, CAST(sum(length(props)) AS BIGINT) AS bytes FROM events GROUP BY event_type")
+@add("success_rate", "SELECT event_type, count(*) AS attempts, CAST(count_if(value >= 50) AS BIGINT) AS succeeded, CAST(count_if(value < 50 OR value IS NULL) AS BIGINT) AS failed, round(count_if(value >= 50) * 100.0 / count(*), 6) AS success_percent, CAST(sum(length(props)) AS BIGINT) AS bytes FROM events GROUP BY event_type")
 def success_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = F.coalesce(F.col("value") >= 50, F.lit(False))
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("attempts"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"), F.round(F.count_if(ok) * 100.0 / F.count("*"), 6).alias("success_percent"), F.sum(F.length("props")).alias("bytes"))
@@ -325,8 +325,8 @@ def date_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.issues(spark, sf_dir, "issue_key", "created_at").where((F.col("created_at") >= lo) & (F.col("created_at") < hi)).select("id", "issue_key")
 
 
-@add("parse_dates", f"SELECT id, date_trunc('second', created_at) AS parsed FROM {ISSUES_SQL} WHERE created_at IS NOT NULL")
+@add("parse_dates", f"SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS parsed FROM {ISSUES_SQL} WHERE created_at IS NOT NULL")
 def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates written as in a tracker export, read back."""
     written = F.concat(F.lit("Mon, "), F.date_format("created_at", "d MMM yyyy HH:mm:ss"), F.lit(" +0000"))
-    return tables.issues(spark, sf_dir, "created_at").where("created_at IS NOT NULL").select("id", T.parse_date(written).alias("parsed"))
+    return tables.issues(spark, sf_dir, "created_at").where("created_at IS NOT NULL").select("id", F.date_format(T.parse_date(written), "yyyy-MM-dd HH:mm:ss").alias("parsed"))

@@ -57,8 +57,8 @@ tf AS MATERIALIZED (SELECT issue_id, keyword, arg_min(keyword_type, place) AS ke
 cf AS (SELECT keyword, arg_min(keyword_type, place) AS keyword_type, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY keyword),
 dfs AS (SELECT keyword, keyword_type, count(*) AS df FROM tf GROUP BY keyword, keyword_type),
 per AS (
-  SELECT issue_id, count(word) AS total_words, count_if(keyword_type = 'Word' AND lemma IS NOT NULL) AS total_lemma_words, count_if(keyword_type = 'StopWord') AS total_stop_words,
-    count_if(keyword_type = 'FhirElementPath') AS total_paths, count_if(keyword_type = 'FhirOperationName') AS total_operations
+  SELECT issue_id, count(word) AS total_words, CAST(count_if(keyword_type = 'Word' AND lemma IS NOT NULL) AS BIGINT) AS total_lemma_words, CAST(count_if(keyword_type = 'StopWord') AS BIGINT) AS total_stop_words,
+    CAST(count_if(keyword_type = 'FhirElementPath') AS BIGINT) AS total_paths, CAST(count_if(keyword_type = 'FhirOperationName') AS BIGINT) AS total_operations
   FROM (SELECT DISTINCT issue_id FROM texts) LEFT JOIN classes USING (issue_id) GROUP BY issue_id
 ),
 stats AS (SELECT count(*) AS documents, coalesce(avg(total_words), 0) AS average_length FROM per),

@@ -49,3 +49,9 @@ def test_scores_and_search(spark):
 def test_idf_edges(spark):
     row = spark.range(1).select(K.idf(F.lit(0), F.lit(1)).alias("a"), K.idf(F.lit(4), F.lit(0)).alias("b"), K.bm25(F.lit(0), F.lit(1.0), F.lit(1), F.lit(1.0)).alias("c"), K.bm25(F.lit(1), F.lit(1.0), F.lit(1), F.lit(0.0)).alias("d")).first()
     assert tuple(row) == (0, 0, 0, 0)
+
+
+def test_latest_config(spark):
+    df = spark.createDataFrame([(1, 1.5, 0.5, 1), (2, 2.0, 0.6, 3), (3, 9.0, 0.9, None)], "id int, k1 double, b double, last_updated int")
+    assert tuple(K.latest_config(df).first()) == (2.0, 0.6)
+    assert tuple(K.latest_config(df.limit(0)).first()) == (1.2, 0.75)
