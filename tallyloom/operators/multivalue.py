@@ -15,7 +15,8 @@ scoring and the split, so 'Read; Write; Delete' stays one value if it is quoted
 or named in the dictionary. The decision is one row per source and candidate;
 the split itself is a regular expression inside the scan stage.
 
-Defined results: a null or blank cell gives no row; blank pieces are skipped
+Defined results: a null or blank cell gives no row; a value with more than
+NESTED quotes or escapes inside is cut there; blank pieces are skipped
 and not counted; a cell wrapped in [ ] is read as a JSON array of strings;
 repeated rows give repeated rows (callers choose distinct).
 """
@@ -32,10 +33,15 @@ from tallyloom.functions.normal import resolve_entities
 
 #: Candidate delimiters as (name, characters inside a regex class).
 CANDIDATES = (("newline", r"\r\n"), ("tab", r"\t"), ("semicolon", ";"), ("pipe", "|"), ("comma", ","), ("slash", "/"), ("blank", r" \u00a0"))
+#: The same characters as they are.
+CHARACTERS = {"newline": "\r\n", "tab": "\t", "semicolon": ";", "pipe": "|", "comma": ",", "slash": "/", "blank": " \u00a0"}
 #: Largest dictionary of names that may be put into a pattern.
 MAX_KNOWN_NAMES = 20_000
 LINK = r"[A-Za-z][A-Za-z0-9+.]*://[^\s,;|\"'“”<>]+"
 MASK = "\ue000"
+BLANKS = " \t\r\n\u00a0\u200b\ufeff"
+#: Quotes and escapes inside one value; a bound, since the JVM's matcher recurses on them.
+NESTED = 1000
 MIN_SCORE = 0.8
 
 
@@ -78,8 +84,8 @@ def _opaque(known: str | None, ends: str) -> list[str]:
     """Alternatives that are read as one value, each up to a delimiter or the end."""
     after = rf"(?=[\s\u00a0]*(?:{ends}|$))"
     parts = [
-        rf'"(?:[^"\\]|\\.|"")*"{after}',
-        rf"'(?:[^']|'(?![\s\u00a0]*(?:{ends}|$)))*'{after}",
+        rf'"(?:[^"\\]++|\\.|""){{0,{NESTED}}}+"{after}',
+        rf"'(?:[^']++|'(?![\s\u00a0]*(?:{ends}|$))){{0,{NESTED}}}+'{after}",
         rf"“[^”]*”{after}",
     ]
     if known:
@@ -119,11 +125,12 @@ def score_delimiters(cells: DataFrame, source: Source, names: tuple[str, ...] |
     opaque = "|".join(_opaque(_known_pattern(source.known), f"[{every}]"))
     masked = cells.select(F.regexp_replace(F.regexp_replace(_cell(F.col("cell")), opaque, MASK), r"\\.", MASK).alias("m"))
     masked = masked.where("trim(m) <> ''").select(F.trim("m").alias("m"))
-    strip = rf"^[{every}]+|[{every}]+$"
-    single = F.when(~F.regexp_replace("m", strip, "").rlike(f"[{every}]"), _typed(F.regexp_replace("m", strip, "")))
+    ends = F.lit("".join(CHARACTERS[n] for n, _ in candidates))
+    whole_cell = F.btrim("m", ends)
+    single = F.when(~whole_cell.rlike(f"[{every}]"), _typed(whole_cell))
 
     def judged(chars: str) -> Column:
-        pieces = F.transform(F.split("m", f"[{chars}]+"), lambda x: F.regexp_replace(x, strip, ""))
+        pieces = F.transform(F.split("m", f"[{chars}]+"), lambda x: F.btrim(x, ends))
         whole = F.filter(pieces, lambda x: (x != "") & ~x.rlike(f"[{every}]"))
         return F.struct(
             F.col("m").rlike(f"[{chars}]").alias("there"),
@@ -180,15 +187,15 @@ def values_of(column: Column, source: Source, delimiters: tuple[str, ...]) -> Co
     """array<string> of the values of a cell in their order, blanks left out."""
     chars = _classes(delimiters)
     opaque = "|".join(_opaque(_known_pattern(source.known), f"[{chars}]"))
-    token = rf"[\s\u00a0]*((?:{opaque})|(?:\\.|[^{chars}\\])+|\\)"
-    edge = r"^[\s\u00a0\u200b\ufeff]+|[\s\u00a0\u200b\ufeff]+$"
+    # a run of blanks is skipped from its start only, or long runs would be read again and again
+    token = rf"(?<![\s\u00a0])[\s\u00a0]*+((?:{opaque})|(?:[^{chars}\\]++|\\.){{1,{NESTED}}}+|\\)"
 
     def cleaned(piece: Column) -> Column:
-        bare = F.regexp_replace(piece, edge, "")
+        bare = F.btrim(piece, F.lit(BLANKS))
         bare = F.when(bare.rlike(r'(?s)^".*"$') & (F.length(bare) > 1), F.replace(F.regexp_replace(bare, r'(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))).otherwise(
             F.regexp_replace(F.regexp_replace(bare, r"(?s)^'(.*)'$", "$1"), r"(?s)^“(.*)”$", "$1")
         )
-        return F.regexp_replace(F.regexp_replace(bare, r"(?s)\\(.)", "$1"), edge, "")
+        return F.btrim(F.regexp_replace(bare, r"(?s)\\(.)", "$1"), F.lit(BLANKS))
 
     return F.filter(F.transform(F.regexp_extract_all(_cell(column), F.lit(token), F.lit(1)), cleaned), lambda x: x != "")
 

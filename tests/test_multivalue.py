@@ -65,6 +65,14 @@ def test_long_cell(spark):
     assert [len(x) for x in split(spark, ["A-1, " * 20_000], (), ALL)] == [20_000]
 
 
+def test_odd_long_cells(spark):
+    word, quoted, escaped = "x" * 300_000, '"' + "y, " * 100_000 + '"', "a" + r"\," * 900
+    got = split(spark, [f"{word};{quoted};z", escaped, "'" * 50_000, '"' * 50_001, "\\" * 50_001, " " * 200_000 + "q" + " " * 200_000 + ";r"], (), ALL)
+    assert [len(v) for v in got[0]] == [300_000, 300_000 - 1, 1]
+    assert got[1] == ["a" + "," * 900]
+    assert got[5] == ["q", "r"]
+
+
 def test_names_are_bounded(spark):
     import pytest
 
