@@ -40,11 +40,17 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
 #: Tags inside a line join what they part; all others part it.
 _INLINE = re.compile(r"</?(?:a|abbr|b|big|cite|code|del|em|font|i|ins|kbd|mark|q|s|small|span|strike|strong|sub|sup|tt|u|var|wbr)(?:\s[^<>]*)?/?>", re.IGNORECASE)
-_TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.DOTALL)
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _MACRO = re.compile(r"\{/?(?:color|quote|panel|noformat|code|anchor|bgcolor|font)(?::[^{}]*)?\}", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _without_comments(text: str) -> str:
+    """HTML comments replaced by a blank; one that is never closed stays."""
+    first, *rest = text.split("<!--")
+    return first + "".join(" " + r.partition("-->")[2] if "-->" in r else r for r in rest)
+
+
 def words_of(text: str | None) -> list[str]:
     """The words of a text as the comparison sees them."""
     if not text:
@@ -52,6 +58,8 @@ def words_of(text: str | None) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
+        if "<!--" in text:
+            text = _without_comments(text)
         text = _TAG.sub(" ", _INLINE.sub("", text))
     if "{" in text:
         text = _MACRO.sub("", text)

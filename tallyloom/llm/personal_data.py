@@ -283,10 +283,12 @@ def find_entities(text: str, given: tuple[str, ...], family: tuple[str, ...]) ->
         return []
     plain, places = normal_form(text)
     taken: list[tuple[int, int, str, str]] = []
+    used = bytearray(len(plain))
     finders = (("email", find_emails), ("id_number", find_ids), ("phone", find_phones), ("address", find_addresses), ("person", lambda t: find_persons(t, given, family)))
     for kind, finder in finders:
         for start, end, key in finder(plain):
-            if key and not any(s < end and start < e for s, e, _, _ in taken):
+            if key and used.find(1, start, end) < 0:
+                used[start:end] = b"\1" * (end - start)
                 taken.append((start, end, kind, key))
     taken.sort()
     if places is None:

@@ -9,14 +9,12 @@ from __future__ import annotations
 
 import html
 import re
+from functools import cache
 
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
-_BLOCKS = re.compile(
-    r"\{(code|noformat)(?::[^{}]*)?\}.*?\{\1\}"
-    r"|^[ \t]*(```|~~~)[^\n]*\n.*?^[ \t]*\2[^\n]*$"
-    r"|<(pre|code|table|script|style|h[1-6]|title|nav)\b[^<>]*>.*?</\3\s*>"
-    r"|<!--.*?-->",
-    re.DOTALL | re.MULTILINE | re.IGNORECASE,
+_OPENING = re.compile(
+    r"\{(code|noformat)(?::[^{}]*)?\}|^[ \t]*(```|~~~)[^\n]*$|<(pre|code|table|script|style|h[1-6]|title|nav)\b[^<>]*>|(<!--)",
+    re.MULTILINE | re.IGNORECASE,
 )
 _MARKED = re.compile(r"\{|```|~~~|<")
 #: Lines that are no prose: headings, table rows, log lines, stack frames, rules, shell and HTTP lines, comments of code.
@@ -52,10 +50,40 @@ _ABBREVIATIONS = frozenset(
     "z.b d.h u.a bzw ggf evtl usw vgl nr abs p.ex env sra srta ud uds pág núm".split()
 )
 #: A sentence may end here; what stands before and after the full stop decides.
-_END = re.compile(r"[.!?…]+[\"'”’)\]*_]*\s+")
+_END = re.compile(r"(?<![.!?…])[.!?…]+[\"'”’)\]*_]*\s+")
 _WORDLIKE = re.compile(r"\w")
 
 
+@cache
+def _closing(opened: str) -> re.Pattern:
+    if opened in ("code macro", "noformat macro"):
+        return re.compile(r"\{" + opened.split()[0] + r"\}", re.IGNORECASE)
+    if opened in ("```", "~~~"):
+        return re.compile(rf"^[ \t]*{opened}[^\n]*$", re.MULTILINE)
+    return re.compile("-->") if opened == "<!--" else re.compile(rf"</{opened}\s*>", re.IGNORECASE)
+
+
+def without_blocks(text: str) -> str:
+    """The text with code, tables, headings and the like replaced by a paragraph break.
+
+    A block that is never closed is no block. Each kind is searched to the end
+    in vain at most once, so the time stays linear.
+    """
+    out, at, unclosed = [], 0, set()
+    while m := _OPENING.search(text, at):
+        kind = f"{m[1].lower()} macro" if m[1] else (m[2] or m[3] or m[4]).lower()
+        end = None if kind in unclosed else _closing(kind).search(text, m.end())
+        if end:
+            out += (text[at : m.start()], "\n\x1e\n")
+            at = end.end()
+        else:
+            unclosed.add(kind)
+            out.append(text[at : m.end()])
+            at = m.end()
+    out.append(text[at:])
+    return "".join(out)
+
+
 def _opens(text: str, at: int) -> bool:
     """Whether what starts at `at` may begin a sentence: no lower-case letter."""
     while at < len(text) and not text[at].isalnum():
@@ -87,7 +115,7 @@ def prose_paragraphs(text: str) -> list[str]:
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     if _MARKED.search(text):
-        text = _BLOCKS.sub("\n\x1e\n", text)
+        text = without_blocks(text)
     if _MAY_BE_LINE.search(text):
         text = _LINES.sub("\x1e", text)
     if "<" in text:
