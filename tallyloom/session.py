@@ -72,9 +72,8 @@ def ship(spark: SparkSession) -> None:
 def materialise(df: DataFrame) -> DataFrame:
     """The rows of df as a table written once to the shared checkpoint folder.
 
-    What is read later no longer depends on any executor, and nothing is
-    computed twice (checkpoint() runs the last stage again for its write). The
-    folder goes when the session's JVM ends.
+    What is read later no longer depends on any executor, and the columns can be
+    pruned by each reader. The folder goes when the session's JVM ends.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
