@@ -14,8 +14,9 @@ classification, aggregation - runs over all documents and whole texts.
 
 Defined results: a null or empty text and a text without prose have no level
 (no row in `reading_bands`, null figures in `reading_levels`); repeated rows
-are rated alike; without any labelled document of a band the models fall back
-to the length figures; an empty table gives no rows.
+are rated alike; a band without a labelled document in the sample gets next to no
+probability in `reading_levels`, while `reading_bands` holds every document
+against the definition, whatever the sample holds; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,8 +36,6 @@ HARD_WORDS, HARD_LETTERS = 24, 5.6
 SAMPLE_DOCUMENTS, SAMPLE_SENTENCES = 1200, 8000
 BITS = 13
 LEVELS = ("easy", "middle", "hard")
-#: A document is held against the definition itself if a band has this probability at least.
-CANDIDATE = 0.02
 
 
 def band_of(n: int, words: int, letters: int) -> str | None:
@@ -214,12 +213,7 @@ def _rated(documents: DataFrame, model: LevelModel, exact: bool) -> DataFrame:
             f = features([s for d in docs for s in d])
             x = aggregate(model.levels(f), f, np.concatenate(([0], np.cumsum(n)[:-1])))
             p = model.bands(x)
-            bands: list[str | None] = [None] * len(docs)
-            if exact:
-                for i in np.flatnonzero((p[:, 0] >= CANDIDATE) | (p[:, 2] >= CANDIDATE)):
-                    bands[i] = band_of(*measures(docs[i]))
-            else:
-                bands = [LEVELS[k] for k in p.argmax(1)]
+            bands = [band_of(*measures(d)) for d in docs] if exact else [LEVELS[k] for k in p.argmax(1)]
             yield pd.DataFrame(columns | {"sentences": n, "difficulty": difficulty(x), "p_easy": p[:, 0], "p_hard": p[:, 2], "reading_band": bands})
 
     return documents.mapInPandas(rate, f"doc_id {kind}, sentences long, difficulty double, p_easy double, p_hard double, reading_band string")
@@ -235,6 +229,6 @@ def reading_levels(documents: DataFrame, doc_id: Column, text: Column, model: Le
 
 
 def reading_bands(documents: DataFrame, doc_id: Column, text: Column, model: LevelModel | None = None, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
-    """(doc_id, reading_band) of the easy and hard documents: the models' candidates, held against the definition."""
+    """(doc_id, reading_band) of the easy and hard documents: every rated document, held against the definition."""
     rated = _rated(_prepared(documents, doc_id, text), model or fit(sample_texts(documents, doc_id, text, sample)), exact=True)
     return rated.where("reading_band IS NOT NULL").select("doc_id", "reading_band").distinct()

@@ -87,6 +87,15 @@ def test_empty_tables_and_untrained(spark):
     assert [r.reading_band for r in R.reading_bands(one, F.col("doc_id"), F.col("text"), model=R.fit([])).collect()] == ["easy"]
 
 
+@pytest.mark.parametrize("absent", ["easy", "hard"])
+def test_band_absent_from_the_sample(spark, absent):
+    seen = [HARD * 2 if absent == "easy" else EASY + " " + EASY, MIDDLE * 3]
+    model = R.fit(seen * 20)
+    rows = [(1, EASY), (2, HARD * 2), (3, MIDDLE * 3)]
+    got = {r.doc_id: r.reading_band for r in R.reading_bands(frame(spark, rows), F.col("doc_id"), F.col("text"), model=model).collect()}
+    assert got == {1: "easy", 2: "hard"}
+
+
 def test_features_of_odd_texts():
     f = R.features(["a", " ", "é b", "x" * 1000])
     assert len(f.figures) == 4 and np.isfinite(f.figures).all()
