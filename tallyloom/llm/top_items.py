@@ -1,9 +1,10 @@
 """The N best items of every group, ranked in two salted stages.
 
-Stage one hashes each group into subgroups by item id and keeps the best N of
-each; Spark also applies that limit before the shuffle, so at most N rows per
-subgroup and input partition travel. Stage two ranks the survivors (at most
-N x salts per group) by score, ties by smaller id.
+Stage one hashes each group into subgroups by item id, folds each id to its best
+score and keeps the best N ids of each subgroup; the fold comes first, so every
+row travels once, and an id with many scores takes one place only. Stage two
+ranks the survivors (at most N x salts per group) by score, ties by smaller id;
+Spark applies its limit before that shuffle too.
 
 Defined results: null and not-a-number scores are no candidates, infinite and
 negative ones are; -0.0 equals 0.0; rows equal in group, id and score are one
@@ -27,8 +28,8 @@ def top_items(df: DataFrame, group: Column, item: Column, score: Column, n: int,
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("item_id"), F.lit(salts)))
     best = [F.col("score").desc(), F.col("item_id").asc()]
     within = Window.partitionBy("group_id", "salt").orderBy(*best)
-    # dense_rank: repeats of a candidate share its rank and never push out another
-    kept = salted.withColumn("r", F.dense_rank().over(within)).where(F.col("r") <= n)
-    once = kept.groupBy("group_id", "salt", "item_id").agg(F.max("score").alias("score"))
+    # spread by subgroup first: the fold and the ranking then share this one shuffle
+    once = salted.repartition("group_id", "salt").groupBy("group_id", "salt", "item_id").agg(F.max("score").alias("score"))
+    kept = once.withColumn("r", F.row_number().over(within)).where(F.col("r") <= n)
     final = Window.partitionBy("group_id").orderBy(*best)
-    return once.withColumn("top_no", F.row_number().over(final)).where(F.col("top_no") <= n).select("group_id", "item_id", "score", "top_no")
+    return kept.withColumn("top_no", F.row_number().over(final)).where(F.col("top_no") <= n).select("group_id", "item_id", "score", "top_no")

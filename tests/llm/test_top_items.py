@@ -32,6 +32,14 @@ def test_against_brute_force(spark):
         assert top(spark, rows, 3, salts) == brute(rows, 3)
 
 
+def test_recurring_ids_against_brute_force(spark):
+    draw = random.Random(2)
+    rows = [(draw.choice([1, 2, None]), draw.randrange(12), float(draw.randrange(40))) for _ in range(300)]
+    for salts in (1, 4, 32):
+        assert top(spark, rows, 3, salts) == brute(rows, 3)
+    assert top(spark, [(1, 7, float(s)) for s in (9, 8, 7, 6, 5)] + [(1, 8, 4.0)], n=5, salts=1) == [(1, 1, 7), (1, 2, 8)]
+
+
 def test_edges(spark):
     assert top(spark, []) == []
     assert top(spark, [(1, 1, None), (1, 2, float("nan"))]) == []
