@@ -9,8 +9,8 @@ the space lost at a group's end is less than one container.
 An item longer than a container is cut into full containers and a remainder;
 only such items are cut. Defined results: a null or empty text has no tokens
 and lies in the first container of its group; repeated rows of an id count
-once, with the longest text; an empty table gives no rows; a null id is one
-item like any other.
+once, with the longest text; an empty table gives no rows; every row with a null
+id is an item of its own, packed in groups of such rows.
 """
 
 from __future__ import annotations
@@ -92,11 +92,18 @@ def pack(items: DataFrame, item: Column, size: Column, capacity: int = CAPACITY,
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     rows = items.select(item.alias("item_id"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
+    no_id = F.col("item_id").isNull()
     total = rows.agg(F.count("*").alias("n")).scalar()
+    nulls = rows.agg(F.count_if(no_id).alias("n")).scalar()
     groups = F.greatest(F.lit(1), F.ceil(total / F.lit(group_items)))
-    # repeats of an id are folded before the groups are formed, else they would all meet in one
-    once = rows.groupBy("item_id").agg(F.max("size").alias("size"))
-    grouped = once.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "item_id"), groups).cast("int"))
+    null_groups = F.greatest(F.lit(1), F.ceil(nulls / F.lit(group_items)))
+    # repeats of an id are folded before the groups are formed, else they would all meet in one;
+    # rows without an id are counted by size and dealt out again one by one
+    once = rows.groupBy("item_id", F.when(no_id, F.col("size")).alias("null_size")).agg(F.max("size").alias("size"), F.count("*").alias("n"))
+    every = once.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.when(no_id, F.col("n")).otherwise(1))))
+    own = F.pmod(F.xxhash64(F.lit(seed), "item_id"), groups)
+    dealt = groups + F.pmod(F.xxhash64(F.lit(seed), "size", "copy"), null_groups)
+    grouped = every.select("item_id", "size", F.when(no_id, dealt).otherwise(own).cast("int").alias("g"))
     kind = rows.schema["item_id"].dataType.simpleString()
 
     def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -60,6 +60,21 @@ def test_edges(spark):
         packed(spark, [(1, 1, "", 0)], capacity=0)
 
 
+def test_null_ids_are_items_of_their_own(spark):
+    large = (1 << 53) + 1
+    sizes = [n % 7 * 20 for n in range(100)]
+    rows = [(None, n, "", 0) for n in sizes] + [(large, 30, "", 0), (large, 10, "", 0)]
+    got = packed(spark, rows, capacity=100, group_items=16)
+    assert sum(r.piece_size for r in got) == sum(sizes) + 30
+    assert sum(r.piece_no == 0 and r.item_id is None for r in got) == 100
+    assert [(r.item_id, r.piece_size) for r in got if r.item_id is not None] == [(large, 30)]
+    fill = {}
+    for r in got:
+        fill[r.container_id] = fill.get(r.container_id, 0) + r.piece_size
+    assert max(fill.values()) <= 100 and len({c >> 32 for c in fill}) > 2
+    assert sorted(map(str, got)) == sorted(map(str, packed(spark, rows[::-1], capacity=100, group_items=16)))
+
+
 def test_same_in_every_run(spark):
     rows = [(i, i % 97, "", 0) for i in range(300)]
     one = sorted(map(tuple, packed(spark, rows, capacity=100, group_items=50)))
