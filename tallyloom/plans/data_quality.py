@@ -67,18 +67,17 @@ def issue_references(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("updated_at").alias("updated_at"),
     )
     refs = merged.select("issue_id", F.explode("keys").alias("ref_key"), "created_at", F.coalesce("updated_at", "created_at").alias("touched_at"))
-    return refs.withColumn("ref_project", F.split_part("ref_key", F.lit("-"), F.lit(1))).withColumn("ref_number", F.split_part("ref_key", F.lit("-"), F.lit(2)).try_cast("long"))
-
-
-def _whole_keys(refs: DataFrame) -> DataFrame:
-    """Both parts of a key that was found in a cell are always there; the schema is made to say so, and no mask of partial keys is searched for."""
-    return refs.withColumns({"ref_project": F.coalesce("ref_project", F.lit("")), "ref_number": F.coalesce("ref_number", F.lit(-1))})
+    return refs.withColumn("ref_project", F.split_part("ref_key", F.lit("-"), F.lit(1))).withColumn("ref_number", F.split_part("ref_key", F.lit("-"), F.lit(2)))
 
 
 def _keyed(df: DataFrame, key: str = "issue_key") -> DataFrame:
-    """Targets with the two key columns; keys in another form are left out."""
+    """Targets with the two key columns; keys in another form are left out.
+
+    The number stays text, without leading zeros as in plain_keys: it may have any length.
+    """
     plain = F.regexp_extract(F.upper(F.trim(key)), r"^([A-Z][A-Z0-9]*-\d+)$", 1)
-    return df.withColumn("target_key", plain).where("target_key <> ''").withColumn("ref_project", F.split_part("target_key", F.lit("-"), F.lit(1))).withColumn("ref_number", F.split_part("target_key", F.lit("-"), F.lit(2)).try_cast("long"))
+    number = F.regexp_replace(F.split_part("target_key", F.lit("-"), F.lit(2)), r"^0+(?=\d)", "")
+    return df.withColumn("target_key", plain).where("target_key <> ''").withColumn("ref_project", F.split_part("target_key", F.lit("-"), F.lit(1))).withColumn("ref_number", number)
 
 
 P2_SQL = r"""
@@ -102,7 +101,7 @@ WHERE t.ref_key IS NULL OR t.target_created > r.touched_at
 @registry.add("p2_found", P2_SQL)
 def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     # read by every step below; written once, a few bytes per reference
-    refs = _whole_keys(materialise(issue_references(spark, sf_dir)))
+    refs = materialise(issue_references(spark, sf_dir))
     keys = ["ref_project", "ref_number"]
     issues = _keyed(table(spark, sf_dir, "issues").select("issue_key", "created_at"))
     absent = find_orphans(refs, issues, keys, match="partial", salts=8)

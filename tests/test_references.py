@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators.references import find_orphans, null_masks, orphan_report
-from tallyloom.plans.data_quality import plain_keys
+from tallyloom.plans.data_quality import dangling_references, issue_references, plain_keys
 
 SCHEMA = "id int, a string, b int, extra string"
 
@@ -64,3 +64,15 @@ def test_report(spark):
     df = spark.createDataFrame([(1, "2020-01-05"), (2, "2020-01-09"), (3, None)], "id int, d string").withColumn("d", F.col("d").cast("date"))
     got = {(r.period, r.orphans) for r in orphan_report(df, "t", F.col("d")).collect()}
     assert got == {("2020-01", 2), ("unknown", 1)}
+
+
+def test_long_numbers_and_masks_in_the_query(spark, tmp_path):
+    long = "A-" + "9" * 25
+    issues = [(1, long, f"{long}, A-0007, A-8, B-{'1' * 30}", "2020-01-01", None), (2, "A-7", None, "2021-01-01", None), (3, "A-08", None, "2019-01-01", None)]
+    schema = "id int, issue_key string, related_issues string, created_at string, updated_at string"
+    df = spark.createDataFrame(issues, schema).withColumns({c: F.col(c).cast("timestamp") for c in ("created_at", "updated_at")})
+    df.write.parquet(str(tmp_path / "issues.parquet"))
+    spark.createDataFrame([("B-" + "1" * 30,)], "issue_key string").write.parquet(str(tmp_path / "deleted_issues.parquet"))
+    got = {(r.issue_id, r.ref_key, r.orphan_kind) for r in dangling_references(spark, str(tmp_path)).collect()}
+    assert got == {(1, "A-7", "later"), (1, "B-" + "1" * 30, "deleted")}
+    assert len(null_masks(issue_references(spark, str(tmp_path)), ["ref_project", "ref_number"])) == 4
