@@ -10,10 +10,13 @@ numbers, identity numbers behind their label, street addresses and full names
 of persons. Names come from a directory of given and family names (bounded, see
 MAX_NAMES) plus titles; a family name alone is no finding.
 
-Each distinct entity gets a keyed surrogate of its own type, script, letter case
-and format: the same entity the same surrogate everywhere (coreference), and
-two entities never the same one (collision checks over all distinct entities,
-in rounds, against each other and against the real entities).
+Each distinct entity gets a keyed surrogate of its own type and script: the same
+entity the same surrogate everywhere (coreference), and two entities never the
+same one (collision checks over all distinct entities, in rounds, against each
+other and against the real entities). Each mention shows it in its own letter
+case and format (`rendered`); a mention whose words can't be paired with those
+of the entity's first written form shows it in that form. Gender is read from
+the ending of the given name alone, in Latin, Cyrillic and Greek script.
 
 Defined results: null and empty texts hold nothing; of overlapping findings the
 one of the earlier type in TYPES stays; rows with one id are treated one by one;
@@ -343,10 +346,28 @@ def _replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 # --- surrogates -----------------------------------------------------------
-#: Invented syllables for surrogate names; given names end by gender like the name they stand for.
-_ONSETS = "B D F G H J K L M N P R S T V W Br Dr Gr Kr Pr Tr St".split()
-_VOWELS = "a e i o u ai ei oa".split()
-_CODAS = "l n r s t m d k".split()
+#: Invented syllables for surrogate names by script: onsets, vowels, codas, initials.
+_SYLLABLES = {
+    "LATIN": ("B D F G H J K L M N P R S T V W Br Dr Gr Kr Pr Tr St".split(), "a e i o u ai ei oa".split(), "l n r s t m d k".split(), "ABCDEFGHJKLMNOPRSTVW"),
+    "CYRILLIC": ("Б В Г Д К Л М Н П Р С Т Ф Х Бр Др Гр Кр Пр Тр Ст".split(), "а е и о у ай ей".split(), "л н р с т м д к".split(), "АБВГДЕКЛМНОПРСТФХ"),
+    "GREEK": ("Β Γ Δ Κ Λ Μ Ν Π Ρ Σ Τ Φ Χ Βρ Δρ Κρ Πρ Τρ Στ".split(), "α ε η ι ο υ αι ει οι".split(), "λ ν ρ".split(), "ΑΒΓΔΕΚΛΜΝΟΠΡΣΤΦΧ"),
+}
+#: The usual ends of a woman's given name, and the one its surrogate gets.
+_FEMALE = {"LATIN": ("aeiy", "a"), "CYRILLIC": ("ая", "а"), "GREEK": ("αηωάήώ", "α")}
+
+
+def _script(text: str) -> str:
+    """The script of the first letter, as Unicode names it; Latin without a letter."""
+    first = next((c for c in text if c.isalpha()), "a")
+    return unicodedata.name(first, "LATIN").split()[0]
+
+
+@cache
+def _letters(script: str) -> str:
+    """The plain letters of a script without syllables of its own here."""
+    start = "HANGUL SYLLABLE " if script == "HANGUL" else script + " "
+    plain = (c for c in map(chr, range(0x10000)) if unicodedata.name(c, "").startswith(start))
+    return "".join(c for c in plain if c.isalpha() and not c.isupper() and unicodedata.category(c) != "Lm" and unicodedata.normalize("NFKC", c) == c)
 
 
 class _Draw:
@@ -372,43 +393,51 @@ def _cased(new: str, like: str) -> str:
     return new[:1].upper() + new[1:].lower()
 
 
-def _syllables(draw: _Draw, n: int) -> str:
-    return "".join(draw.of(_ONSETS).lower() + draw.of(_VOWELS) + (draw.of(_CODAS) if i == n - 1 else "") for i in range(n))
+def _syllables(draw: _Draw, n: int, like: str) -> str:
+    """n syllables in the script of `like`; for scripts not in _SYLLABLES as many letters as it has."""
+    script = _script(like)
+    if script not in _SYLLABLES and _letters(script):
+        return "".join(draw.of(_letters(script)) for c in like if c.isalpha())
+    onsets, vowels, codas, _ = _SYLLABLES.get(script, _SYLLABLES["LATIN"])
+    return "".join(draw.of(onsets).lower() + draw.of(vowels) + (draw.of(codas) if i == n - 1 else "") for i in range(n))
 
 
-def _surrogate_name(draw: _Draw, name: str) -> str:
-    if len(name) < 2:
-        return draw.of("ABCDEFGHJKLMNOPRSTVW")
-    new = _syllables(draw, 2)
-    if name[-1].lower() in "aeiy":  # the usual mark of a woman's name in these scripts
-        new += "a"
+def _surrogate_name(draw: _Draw, name: str, given: bool) -> str:
+    script = _script(name)
+    if len(name) < 2 and script in _SYLLABLES:
+        return _cased(draw.of(_SYLLABLES[script][3]), name)
+    new = _syllables(draw, 2, name)
+    ends, end = _FEMALE.get(script, ("", ""))
+    if given and name[-1].lower() in ends:
+        new += end
     return _cased(new, name)
 
 
 def _digits(draw: _Draw, written: str, keep: int = 0) -> str:
     """Same format, other digits; the first `keep` characters stay."""
-    return written[:keep] + "".join(str(draw.below(9) + 1) if c.isdigit() else c for c in written[keep:])
+    return written[:keep] + "".join(chr(ord(c) - unicodedata.decimal(c) + draw.below(9) + 1) if c.isdecimal() else c for c in written[keep:])
 
 
 def _surrogate_email(draw: _Draw, written: str) -> str:
     """Every run of letters and digits replaced, separators and the way of writing 'at' and 'dot' kept; a reserved domain."""
     m = EMAIL.fullmatch(normal_form(written)[0])
     if not m:
-        return f"{_syllables(draw, 2)}@{draw.of(['example.com', 'example.net', 'example.org'])}"
+        return f"{_syllables(draw, 2, '')}@{draw.of(['example.com', 'example.net', 'example.org'])}"
 
     def run(piece: re.Match) -> str:
-        return _cased(_syllables(draw, 2), piece.group() if len(piece.group()) > 1 else m["local"]) if piece.group()[0].isalpha() else "".join(str(draw.below(10)) for _ in piece.group())
+        return _cased(_syllables(draw, 2, piece.group()), piece.group() if len(piece.group()) > 1 else m["local"]) if piece.group()[0].isalpha() else "".join(str(draw.below(10)) for _ in piece.group())
 
     local = re.sub(r"[^\W\d_]+|\d+", run, m["local"])
     domain = m["d1"] or m["d2"] or m["d3"]
     at = m.group()[len(m["local"]) : len(m.group()) - len(domain)]
     dot = re.search(_DOT, domain, re.IGNORECASE).group()
-    return local + at + _cased(_syllables(draw, 2), domain) + dot + _cased("example", domain)
+    return local + at + _cased(_syllables(draw, 2, domain), domain) + dot + _cased("example", domain)
 
 
 def surrogate(kind: str, key: str, written: str, attempt: int) -> str:
     """A replacement of the same type and format, decided by the key, the entity and the attempt."""
     draw = _Draw(kind, key, attempt)
+    written = normal_form(written)[0]
     if kind == "email":
         return _surrogate_email(draw, written)
     if kind == "phone":
@@ -417,7 +446,7 @@ def surrogate(kind: str, key: str, written: str, attempt: int) -> str:
     if kind == "id_number":
         return "".join(draw.of("ABCDEFGHJKLMNPRSTVWXYZ") if c.isalpha() and c.isupper() else draw.of("abcdefghjklmnprstvwxyz") if c.isalpha() else str(draw.below(10)) if c.isdigit() else c for c in written)
     if kind == "address":
-        words = written.split()
+        words = _WORDS[kind].findall(written)
         last = max((i for i, w in enumerate(words) if w[:1].isalpha()), default=0)
         # German: the only word carries the kind of street; else the last (English) or first (French) word does
         carrier = last if re.fullmatch(_STREET + r"\.?", words[last], re.IGNORECASE) else next((i for i, w in enumerate(words) if re.fullmatch(_FRENCH_WAY, w, re.IGNORECASE)), -1)
@@ -429,12 +458,73 @@ def surrogate(kind: str, key: str, written: str, attempt: int) -> str:
             elif i == carrier or len(w) <= 3 or w.lower() in ("bis", "ter"):
                 out.append(w)
             else:
-                out.append(_cased(_syllables(draw, 2) + (tail.group() if tail else ""), w))
-        return " ".join(out)
-    turned = "," in written
-    parts = [p for p in re.split(r"[\s,]+", written) if p]
-    new = [p if re.fullmatch(r"van|von|de|der|la|le", p, re.IGNORECASE) else _surrogate_name(draw, p.strip(".")) + ("." if p.endswith(".") else "") for p in parts]
-    return (new[0] + ", " + " ".join(new[1:])) if turned and len(new) > 1 else " ".join(new)
+                out.append(_cased(_syllables(draw, 2, w) + (tail.group() if tail else ""), w))
+        return _refilled(kind, written, out)
+    names = [m.group() for m in _words(kind, written)]
+    # the first of the given names, which come first unless the name is turned
+    new = [p if re.fullmatch(r"van|von|de|der|la|le", p, re.IGNORECASE) else _surrogate_name(draw, p, i == 0) for i, p in enumerate(names)]
+    return _refilled(kind, written, new)
+
+
+#: What is replaced as one word; all between them stays as written.
+_WORDS = {"person": re.compile(r"[^\s,.]+"), "address": re.compile(r"[^\s,]+"), "email": re.compile(r"[^\W\d_]+|\d+")}
+_NUMBERED = re.compile(r" #\d+\Z")
+
+
+def _words(kind: str, text: str) -> list[re.Match]:
+    """The words of a text; those of a turned name ('Family, Given') with the given names first."""
+    found = list(_WORDS[kind].finditer(text))
+    comma = text.find(",") if kind == "person" else -1
+    return [m for m in found if m.start() > comma] + [m for m in found if m.start() < comma]
+
+
+def _refilled(kind: str, text: str, new: list[str]) -> str:
+    """The text with its words, in the order of _words, replaced by `new`."""
+    return _replaced(text, sorted((m.start(), m.end(), w) for m, w in zip(_words(kind, text), new, strict=True)))
+
+
+def _like(new: str, old: str) -> str:
+    """`new` in the letter case of `old`; character by character where digits are in it."""
+    if any(c.isdigit() for c in new):
+        return "".join(c.upper() if o.isupper() else c.lower() if o.islower() else c for c, o in zip(new, old, strict=True)) if len(new) == len(old) else new
+    return _cased(new, old)
+
+
+def rendered(kind: str, chosen: str, written: str) -> str:
+    """The chosen surrogate in the letter case and format of one mention of its entity."""
+    plain = normal_form(written)[0]
+    number = _NUMBERED.search(chosen)
+    base, tail = (chosen[: number.start()], number.group()) if number else (chosen, "")
+    if kind in ("phone", "id_number"):
+        fresh, places = [c for c in base if c.isalnum()], [i for i, c in enumerate(plain) if c.isalnum()]
+        if len(fresh) != len(places):
+            return chosen
+        return _replaced(plain, [(i, i + 1, _like(c, plain[i])) for i, c in zip(places, fresh, strict=True)]) + tail
+    if kind == "email":
+        old, new = EMAIL.fullmatch(plain), EMAIL.fullmatch(base)
+        if not old or not new:
+            return chosen
+        words = _WORDS[kind].findall(new["local"])
+        were = _WORDS[kind].findall(old["local"])
+        if len(words) != len(were):
+            return chosen
+        domain, label = (m["d1"] or m["d2"] or m["d3"] for m in (old, new))
+        local = _refilled(kind, old["local"], [_cased(n, o if len(o) > 1 else old["local"]) if n.isalpha() else n for n, o in zip(words, were, strict=True)])
+        at = plain[len(old["local"]) : len(plain) - len(domain)]
+        dot = re.search(_DOT, domain, re.IGNORECASE).group()
+        return local + at + _cased(re.split(_DOT, label, flags=re.IGNORECASE)[0], domain) + dot + _cased("example", domain) + tail
+    fresh, were = ([m.group() for m in _words(kind, t)] for t in (base, plain))
+    if len(fresh) != len(were):
+        return chosen
+    return _refilled(kind, plain, [_like(n, o) for n, o in zip(fresh, were, strict=True)]) + tail
+
+
+def _shown() -> Column:
+    @F.pandas_udf("string")
+    def shown(kind: pd.Series, chosen: pd.Series, written: pd.Series) -> pd.Series:
+        return pd.Series([rendered(a, b, c) for a, b, c in zip(kind, chosen, written, strict=True)], dtype=object)
+
+    return shown("pii_type", "surrogate", "written")
 
 
 def _drawn(attempt: int) -> Column:
@@ -453,11 +543,14 @@ def surrogates(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     (if free) keeps it. What is left after the last round gets its surrogate
     with a running number per drawn text, which is distinct by construction.
     """
-    entities = found.groupBy("pii_type", "pii_key").agg(F.min("written").alias("written"))
+    # a form without a comma first: the given names come first in it
+    entities = found.groupBy("pii_type", "pii_key").agg(F.min(F.struct(F.contains("written", F.lit(",")).alias("turned"), "written")).alias("w")).select("pii_type", "pii_key", "w.written")
     open_, done = materialise(entities), None
     real = open_.select("pii_type", F.col("pii_key").alias("s_key"))
+    # keys have the given names first, so a turned name is compared that way
+    straight = F.when(F.col("pii_type") == "person", F.regexp_replace("surrogate", r"(?s)^([^,]*),(.*)$", "$2$1")).otherwise(F.col("surrogate"))
     for attempt in range(rounds):
-        drawn = open_.withColumn("surrogate", _drawn(attempt)).withColumn("s_key", F.lower(F.regexp_replace("surrogate", r"[^\p{L}\p{Nd}]", "")))
+        drawn = open_.withColumn("surrogate", _drawn(attempt)).withColumn("s_key", F.lower(F.regexp_replace(straight, r"[^\p{L}\p{Nd}]", "")))
         used = real if done is None else real.unionByName(done.select("pii_type", "s_key"))
         free = drawn.join(used, ["pii_type", "s_key"], "left_anti")
         kept = materialise(free.withColumn("r", F.row_number().over(Window.partitionBy("pii_type", "s_key").orderBy("pii_key"))).where("r = 1").drop("r"))
@@ -470,14 +563,14 @@ def surrogates(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def pseudonymise(rows: DataFrame, row_id: Column, text: Column, given: tuple[str, ...], family: tuple[str, ...]) -> DataFrame:
-    """(row_id, start_at, end_at, pii_type, pii_key, written, surrogate), one row per finding.
+    """(row_id, start_at, end_at, pii_type, pii_key, written, surrogate, shown), one row per finding.
 
-    The findings are written once to the checkpoint folder, so detection - the
+    `surrogate` is the entity's, `shown` the same in the mention's own case and format. The findings are written once to the checkpoint folder, so detection - the
     dear part - runs over the texts a single time. row_id may be a struct.
     """
     found = materialise(detect(rows, row_id, text, given, family))
     named = surrogates(found).select("pii_type", "pii_key", "surrogate")
-    return found.join(named, ["pii_type", "pii_key"]).select("row_id", "start_at", "end_at", "pii_type", "pii_key", "written", "surrogate")
+    return found.join(named, ["pii_type", "pii_key"]).select("row_id", "start_at", "end_at", "pii_type", "pii_key", "written", "surrogate", _shown().alias("shown"))
 
 
 def replace_spans(text: Column, spans: Column) -> Column:

@@ -125,7 +125,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     given, family = directory(table(spark, sf_dir, "people"), F.col("display_name"))
     rows = _free_text(spark, sf_dir)
     found = pseudonymise(rows, F.struct("table_name", "row_id"), F.col("text"), given, family)
-    return found.select(F.col("row_id.table_name").alias("table_name"), F.col("row_id.row_id").alias("row_id"), "start_at", "end_at", "pii_type", "pii_key", "surrogate")
+    return found.select(F.col("row_id.table_name").alias("table_name"), F.col("row_id.row_id").alias("row_id"), "start_at", "end_at", "pii_type", "pii_key", "surrogate", "shown")
 
 
 @registry.add("p5_found")
@@ -148,8 +148,8 @@ def surrogate_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("p5_replaced")
 def texts_with_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts that hold items, each item replaced by its surrogate."""
-    spans = _findings(spark, sf_dir).groupBy("table_name", "row_id", "start_at", "end_at").agg(F.min("surrogate").alias("new"))
+    """The texts that hold items, each item replaced by its surrogate in the item's own case and format."""
+    spans = _findings(spark, sf_dir).groupBy("table_name", "row_id", "start_at", "end_at").agg(F.min("shown").alias("new"))
     per_row = spans.groupBy("table_name", "row_id").agg(F.collect_list(F.struct("start_at", "end_at", "new")).alias("spans"))
     texts = _free_text(spark, sf_dir).groupBy("table_name", "row_id").agg(F.min("text").alias("text"))
     return texts.join(per_row, ["table_name", "row_id"]).select("table_name", "row_id", replace_spans(F.col("text"), F.col("spans")).alias("replaced_text"))

@@ -112,6 +112,44 @@ def test_surrogate_email_is_one(written):
     assert "kestrow" not in new and new != P.surrogate("email", "other", written, 0)
 
 
+@pytest.mark.parametrize(
+    ("kind", "written", "script"),
+    [("person", "Мария Петров", "CYRILLIC"), ("person", "Νίκος Ψαρός", "GREEK"), ("person", "王小明 李", "CJK"), ("person", "김 민수", "HANGUL"), ("email", "мария@x.example", "CYRILLIC"), ("address", "12 Ленина Rd", "CYRILLIC")],
+)
+def test_surrogate_keeps_the_script(kind, written, script):
+    import unicodedata
+
+    new = P.surrogate(kind, "k", written, 0)
+    place = next(i for i, c in enumerate(new) if c.isalpha())
+    assert unicodedata.name(new[place]).startswith(script)
+    assert P.entity_key(new) != P.entity_key(written)
+
+
+def test_gender_of_given_names_only():
+    for attempt in range(30):
+        assert P.surrogate("person", "k", "Maria Rossi", attempt).split()[0].endswith("a")
+        assert not P.surrogate("person", "k", "Orlind Rossi", attempt).endswith("a")
+        assert P.surrogate("person", "k", "Rossi, Maria", attempt).endswith("a")
+        assert P.surrogate("person", "k", "Мария Петров", attempt).split()[0].endswith("а")
+
+
+def test_mentions_keep_their_own_form(spark):
+    texts = ["By ORLIND KESTROW.", "By Orlind Kestrow.", "By Kestrow, Orlind.", "By orlind\nkestrow.", "Q.Q@MAIL.EXAMPLE", "q.q (at) mail [dot] example", "SSN 901 23 1898", "SSN 901-23-1898", "12 Old Ferry RD now", "12, old ferry rd now", "(461) 555-0150", "461.555.0150"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = {r.row_id: r for r in P.pseudonymise(df, F.col("i"), F.col("t"), GIVEN, FAMILY).collect()}
+    shown = [rows[i].shown for i in range(len(texts))]
+    given, family = shown[1].split()
+    assert shown[:4] == [f"{given} {family}".upper(), f"{given} {family}", f"{family}, {given}", f"{given}\n{family}".lower()]
+    assert shown[4].isupper() and shown[5].islower() and " (at) " in shown[5] and " [dot] " in shown[5]
+    assert shown[9].startswith(shown[8][:2] + ", ") and shown[9].islower() and shown[8].endswith("RD")
+    for a, b in ((4, 5), (6, 7), (8, 9), (10, 11)):
+        assert rows[a].surrogate == rows[b].surrogate
+    plain = lambda t: P.entity_key(t.replace("(at)", "").replace("[dot]", ""))
+    assert all(plain(shown[a]) == plain(shown[b]) for a, b in ((4, 5), (6, 7), (8, 9), (10, 11)))
+    for i in (6, 7, 10, 11):
+        assert [c for c in shown[i] if not c.isdigit()] == [c for c in rows[i].written if not c.isdigit()]
+
+
 def test_directory_is_bounded(spark):
     df = spark.createDataFrame([("Anna Berg",), ("Anna Van Dal",), (None,), ("Solo",), ("",)], "n string")
     assert P.directory(df, F.col("n")) == (("Anna",), ("Berg", "Van Dal"))
