@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 from functools import cache
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,11 +53,30 @@ def plain_form(text: Column) -> Column:
     return F.lower(F.regexp_replace(compose_accents(kept), r"[^\p{L}\p{Nd}]", ""))
 
 
-NAMED_ENTITIES = (("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#44;", ","), ("&#59;", ";"), ("&#124;", "|"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+_ENTITY = r"&(?:#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+@cache
+def _entity_table() -> str:
+    """Every named entity of HTML and the numbers with a meaning of their own, as pairs for str_to_map; hard blanks become blanks."""
+    named = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+    numbers = {f"#{n}": html.unescape(f"&#{n};") for n in range(161)}
+    return "\x01".join(f"{name}\x02{' ' if text == chr(160) else text}" for name, text in (named | numbers).items())
 
 
 def resolve_entities(text: Column) -> Column:
-    """The common character entities replaced by their characters, '&amp;' last."""
-    for entity, char in NAMED_ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Character entities, named or numeric, replaced by their characters in one pass ('&amp;lt;' gives '&lt;').
+
+    What isn't an entity of HTML stays as written; numbers of no character give U+FFFD.
+    """
+    table = F.str_to_map(F.lit(_entity_table()), F.lit("\x01"), F.lit("\x02"))
+
+    def one(piece: Column) -> Column:
+        name = F.substring(piece, F.lit(2), F.length(piece) - 2)
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 99), 16, 10)).otherwise(F.substring(name, 2, 99)).cast("int")
+        there = number.between(0, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        char = F.when(number < 161, F.element_at(table, F.concat(F.lit("#"), number.cast("string")))).when(there, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        return F.when(~piece.rlike(f"^{_ENTITY}$"), piece).when(F.startswith(name, F.lit("#")), char).otherwise(F.coalesce(F.element_at(table, name), piece))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"({_ENTITY}|[^&]+|&)"), F.lit(1))
+    return F.when(text.rlike(_ENTITY), F.array_join(F.transform(pieces, one), "")).otherwise(text)

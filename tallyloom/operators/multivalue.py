@@ -13,10 +13,11 @@ figures taken over every cell of the source:
 Quoted values, known names, links and escaped characters are opaque to both the
 scoring and the split, so 'Read; Write; Delete' stays one value if it is quoted
 or named in the dictionary. The decision is one row per source and candidate;
-the split itself is a regular expression inside the scan stage.
+the split itself is a regular expression inside the scan stage. Cells with too
+many quotes and escapes for its bound are read by the same expression without
+one in an Arrow batch function; a source without such cells starts no Python.
 
-Defined results: a null or blank cell gives no row; a value with more than
-NESTED quotes or escapes inside is cut there; blank pieces are skipped
+Defined results: a null or blank cell gives no row; blank pieces are skipped
 and not counted; a cell wrapped in [ ] is read as a JSON array of strings;
 repeated rows give repeated rows (callers choose distinct).
 """
@@ -24,8 +25,11 @@ repeated rows give repeated rows (callers choose distinct).
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +44,7 @@ MAX_KNOWN_NAMES = 20_000
 LINK = r"[A-Za-z][A-Za-z0-9+.]*://[^\s,;|\"'“”<>]+"
 MASK = "\ue000"
 BLANKS = " \t\r\n\u00a0\u200b\ufeff"
-#: Quotes and escapes inside one value; a bound, since the JVM's matcher recurses on them.
+#: Steps inside one value that the JVM's matcher may take; cells that might need more are read in Python.
 NESTED = 1000
 MIN_SCORE = 0.8
 
@@ -94,6 +98,79 @@ def _opaque(known: str | None, ends: str) -> list[str]:
     return parts
 
 
+def _is_long(cell: Column) -> Column:
+    """Whether a cell as written may need more than NESTED steps: a quote, escape or entity takes two, and one is left over."""
+    return F.length(cell) - F.length(F.translate(cell, "\"'\\&", "")) > (NESTED - 1) // 2
+
+
+def has_long(cells: DataFrame) -> bool:
+    """Whether a cell of the column `cell` has to be read in Python."""
+    return not cells.where(_is_long(F.col("cell"))).isEmpty()
+
+
+#: An escaped character as the JVM reads it, where a dot is no end of a line.
+_ESCAPED = r"\\[^\n\r\u0085\u2028\u2029]"
+
+
+@cache
+def _long_patterns(known: str | None, chars: str, split: bool) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """The expression for long cells, the same without single quotes, and a closing single quote."""
+    ends = f"[{chars}]"
+    parts = [p.replace(f"{{0,{NESTED}}}+", "*+").replace(r"\\.|", _ESCAPED + "|") for p in _opaque(known, ends)]
+    rest = [rf"(?:[^{chars}\\]++|{_ESCAPED})++", r"\\"] if split else []
+    before = r"(?<![\s\u00a0])[\s\u00a0]*+" if split else ""
+    both = [re.compile(before + "(" + "|".join(x + rest) + ")", re.ASCII) for x in (parts, [parts[0], *parts[2:]])]
+    return *both, re.compile(rf"'(?=[\s\u00a0]*(?:{ends}|$))", re.ASCII)
+
+
+def _long_matches(text: str, known: str | None, chars: str, split: bool) -> Iterator[re.Match]:
+    """Matches in a long cell; behind its last closing single quote none is searched for, so the time stays linear."""
+    full, unquoted, closing = _long_patterns(known, chars, split)
+    last = max((m.start() for m in closing.finditer(text)), default=-1)
+    at = 0
+    while m := (full if at < last else unquoted).search(text, at):
+        yield m
+        at = m.end()
+
+
+def _bare(piece: str) -> str:
+    piece = piece.strip(BLANKS)
+    if len(piece) > 1 and piece[0] == piece[-1] == '"':
+        piece = piece[1:-1].replace('""', '"')
+    else:
+        for first, final in ("''", "“”"):
+            if len(piece) > 1 and piece[0] == first and piece[-1] == final:
+                piece = piece[1:-1]
+    return re.sub(r"\\(.)", r"\1", piece, flags=re.DOTALL).strip(BLANKS)
+
+
+def _long_values(text: Column, known: str | None, chars: str) -> Column:
+    """What values_of gives, for cells of any number of quotes and escapes; null for null."""
+
+    @F.pandas_udf("array<string>")
+    def values(cells: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else [v for m in _long_matches(c, known, chars, True) if (v := _bare(m[1]))] for c in cells], dtype=object)
+
+    return values(text)
+
+
+def _long_masked(text: Column, known: str | None, chars: str) -> Column:
+    """The cell with every opaque value masked, for cells of any number of quotes and escapes; null for null."""
+
+    def one(cell: str) -> str:
+        out, at = [], 0
+        for m in _long_matches(cell, known, chars, False):
+            out += (cell[at : m.start()], MASK)
+            at = m.end()
+        return "".join(out) + cell[at:]
+
+    @F.pandas_udf("string")
+    def masked(cells: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else one(c) for c in cells], dtype=object)
+
+    return masked(text)
+
+
 def _cell(column: Column) -> Column:
     text = resolve_entities(column)
     return F.regexp_replace(text, r"(?s)^\s*\[(.*)\]\s*$", "$1")
@@ -113,7 +190,7 @@ def _classes(names: tuple[str, ...]) -> str:
     return "".join(chars for name, chars in CANDIDATES if name in names)
 
 
-def score_delimiters(cells: DataFrame, source: Source, names: tuple[str, ...] | None = None) -> DataFrame:
+def score_delimiters(cells: DataFrame, source: Source, names: tuple[str, ...] | None = None, long: bool | None = None) -> DataFrame:
     """(delimiter, cells, consistency, regularity) of each candidate over all cells.
 
     cells has one string column, `cell`. Candidates that never occur are absent.
@@ -123,7 +200,11 @@ def score_delimiters(cells: DataFrame, source: Source, names: tuple[str, ...] |
     candidates = tuple((n, c) for n, c in CANDIDATES if names is None or n in names)
     every = "".join(chars for _, chars in candidates)
     opaque = "|".join(_opaque(_known_pattern(source.known), f"[{every}]"))
-    masked = cells.select(F.regexp_replace(F.regexp_replace(_cell(F.col("cell")), opaque, MASK), r"\\.", MASK).alias("m"))
+    cell, whole = F.col("cell"), F.regexp_replace(_cell(F.col("cell")), opaque, MASK)
+    if has_long(cells) if long is None else long:
+        of_long = _long_masked(F.when(_is_long(cell), _cell(cell)), _known_pattern(source.known), every)
+        whole = F.coalesce(of_long, F.when(~_is_long(cell), whole))
+    masked = cells.select(F.regexp_replace(whole, r"\\.", MASK).alias("m"))
     masked = masked.where("trim(m) <> ''").select(F.trim("m").alias("m"))
     ends = F.lit("".join(CHARACTERS[n] for n, _ in candidates))
     whole_cell = F.btrim("m", ends)
@@ -161,7 +242,7 @@ def score_delimiters(cells: DataFrame, source: Source, names: tuple[str, ...] |
     )
 
 
-def infer_delimiters(cells: DataFrame, source: Source) -> tuple[str, ...]:
+def infer_delimiters(cells: DataFrame, source: Source, long: bool | None = None) -> tuple[str, ...]:
     """Names of the candidates that separate the values of the source.
 
     Candidates whose pieces are irregular are dropped and the rest is scored
@@ -171,8 +252,9 @@ def infer_delimiters(cells: DataFrame, source: Source) -> tuple[str, ...]:
     value and always count. An empty source gets every candidate but the slash.
     """
     names = tuple(n for n, _ in CANDIDATES)
+    long = has_long(cells) if long is None else long
     while True:
-        rows = score_delimiters(cells, source, names).collect()  # at most one row per candidate
+        rows = score_delimiters(cells, source, names, long).collect()  # at most one row per candidate
         irregular = {r.delimiter for r in rows if r.regularity is not None and r.regularity < MIN_SCORE}
         if not irregular - {"newline", "tab"}:
             break
@@ -183,8 +265,8 @@ def infer_delimiters(cells: DataFrame, source: Source) -> tuple[str, ...]:
     return tuple(n for n in names if n in cutting or n in ("newline", "tab"))
 
 
-def values_of(column: Column, source: Source, delimiters: tuple[str, ...]) -> Column:
-    """array<string> of the values of a cell in their order, blanks left out."""
+def values_of(column: Column, source: Source, delimiters: tuple[str, ...], long: bool = True) -> Column:
+    """array<string> of the values of a cell in their order, blanks left out; long: whether some cell may be a long one."""
     chars = _classes(delimiters)
     opaque = "|".join(_opaque(_known_pattern(source.known), f"[{chars}]"))
     # a run of blanks is skipped from its start only, or long runs would be read again and again
@@ -197,7 +279,10 @@ def values_of(column: Column, source: Source, delimiters: tuple[str, ...]) -> Co
         )
         return F.btrim(F.regexp_replace(bare, r"(?s)\\(.)", "$1"), F.lit(BLANKS))
 
-    return F.filter(F.transform(F.regexp_extract_all(_cell(column), F.lit(token), F.lit(1)), cleaned), lambda x: x != "")
+    usual = F.filter(F.transform(F.regexp_extract_all(_cell(column), F.lit(token), F.lit(1)), cleaned), lambda x: x != "")
+    if not long:
+        return usual
+    return F.coalesce(_long_values(F.when(_is_long(column), _cell(column)), _known_pattern(source.known), chars), F.when(~_is_long(column), usual))
 
 
 def split_values(df: DataFrame, source: Source, row_id: Column, cell: Column, delimiters: tuple[str, ...] | None = None) -> DataFrame:
@@ -206,8 +291,10 @@ def split_values(df: DataFrame, source: Source, row_id: Column, cell: Column, de
     Delimiters are inferred over the whole column unless given.
     """
     cells = df.select(row_id.alias("row_id"), cell.alias("cell")).where(F.col("cell").isNotNull() & (F.trim("cell") != ""))
-    chosen = delimiters if delimiters is not None else infer_delimiters(cells.select("cell"), source)
-    return cells.select("row_id", F.posexplode(values_of(F.col("cell"), source, chosen)).alias("at", "item_text")).select(
+    long = has_long(cells)
+    chosen = delimiters if delimiters is not None else infer_delimiters(cells.select("cell"), source, long)
+    values = cells.select("row_id", values_of(F.col("cell"), source, chosen, long).alias("values"))
+    return values.select("row_id", F.posexplode("values").alias("at", "item_text")).select(
         F.lit(source.table).alias("table_name"),
         "row_id",
         F.lit(source.field).alias("field_name"),

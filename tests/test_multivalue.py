@@ -73,6 +73,32 @@ def test_odd_long_cells(spark):
     assert got[5] == ["q", "r"]
 
 
+def test_entities_in_general(spark):
+    cells = {
+        "Caf&eacute;;B&#x27;s; A&#38;B": ["Café", "B's", "A&B"],
+        "x&#0059;y": ["x", "y"],
+        "a &amp;amp b": ["a &amp b"],
+        "&#128512;,&#150;": ["😀", "–"],
+        "q&#160;r&nbsp;s, &notanentity z &#xD800;x": ["q r s", "&notanentity z \ufffdx"],
+    }
+    assert split(spark, list(cells), (), ("comma", "semicolon")) == list(cells.values())
+
+
+def test_values_beyond_the_bound(spark):
+    quoted, single, escaped = '"' + 'a "", b' * 3000 + '"', "'" + "it's, " * 3000 + "x'", "a" + r"\," * 5000
+    pathological = "'a;" * 20_000
+    got = split(spark, [f"{quoted};c", f"{single}, d", escaped, pathological, '"Read; Write; Delete", e, ' + "''," * 600, "'" + "it's, " * 700 + "x', y"], NAMES, ALL)
+    assert got[0] == ['a ", b' * 3000, "c"]
+    assert got[1] == [("it's, " * 3000 + "x"), "d"]
+    assert got[2] == ["a" + "," * 5000]
+    assert got[3] == ["'a"] * 20_000
+    assert got[4][:2] == ["Read; Write; Delete", "e"]
+    assert got[5] == ["it's, " * 700 + "x", "y"]
+    # the scoring reads such a value as one, too
+    df = spark.createDataFrame([(quoted,), ("x;y",), ("z",)], "cell string")
+    assert {r.delimiter: r.cells for r in score_delimiters(df, Source("t", "cell")).collect()} == {"semicolon": 1}
+
+
 def test_names_are_bounded(spark):
     import pytest
 
