@@ -19,21 +19,27 @@ def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")
 
 
+def unseen(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column], keep: str = "first") -> DataFrame:
+    """The new rows of keys that are not there yet; of those with one key the first (or last) in arrival order."""
+    arrival = list(order) if keep == "first" else [o.desc() for o in order]
+    fresh = new.join(existing.select(*keys), list(keys), "left_anti")
+    return keep_one(fresh, keys, arrival).select(*existing.columns)
+
+
 def insert_or_ignore(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column], keep: str = "first") -> DataFrame:
-    """Existing rows plus new ones of unseen keys; of new rows with one key the first (or last) stays.
+    """Existing rows plus the `unseen` new ones."""
+    return existing.unionByName(unseen(existing, new, keys, order, keep))
 
-    `order` is the arrival order of the new rows.
-    """
-    arrival = list(order) if keep == "first" else [o.desc() for o in order]
-    fresh = keep_one(new, keys, arrival)
-    unseen = fresh.join(existing.select(*keys), list(keys), "left_anti")
-    return existing.unionByName(unseen.select(*existing.columns))
 
+def update_by_key(existing: DataFrame, changed: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
+    """Rows of the same key replaced as a whole; unknown keys are ignored.
 
-def update_by_key(existing: DataFrame, changed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of the same key replaced as a whole; changed must be unique by key. Unknown keys are ignored."""
+    Of several changes of one key the last in `order` counts (by default the one
+    that sorts last by its own columns), so no row is ever doubled.
+    """
     rest = [c for c in existing.columns if c not in keys]
-    marked = changed.select(*keys, *[F.col(c).alias(f"__{c}") for c in rest], F.lit(True).alias("__hit"))
+    last = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order or [])], *[F.col(c) for c in rest])
+    marked = changed.groupBy(*keys).agg(F.max(last).alias("__last")).select(*keys, *[F.col(f"__last.{c}").alias(f"__{c}") for c in rest], F.lit(True).alias("__hit"))
     joined = existing.join(marked, list(keys), "left")
     return joined.select(*[F.col(c) if c in keys else F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in existing.columns])
 

@@ -1,18 +1,22 @@
 """Tables as versioned Parquet folders: create, insert, update, delete, drop.
 
-A change writes a whole new version beside the old one; readers see the highest
-version that was written to its end, so a job that dies half-way changes
-nothing. One writer at a time per table.
+A version is a small file that lists the data folders it is made of. An append
+writes one more folder and a version that names it too; a change of old rows
+writes the table into one new folder. Readers see the highest version, which
+appears by a rename, so a job that dies half-way changes nothing. One writer at
+a time per table.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as S
 
 from tallyloom.operators import filters, keyed
+from tallyloom.schema import TABLES
 
 
 class MissingKeys(LookupError):
@@ -29,22 +33,28 @@ class Store:
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def _versions(self, name: str) -> list[int]:
-        """Versions written to their end, rising."""
+        """The versions there are, rising."""
         if not self._fs.exists(self._path(name)):
             return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(name))]
-        numbers = sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
-        return [n for n in numbers if self._fs.exists(self._path(f"{name}/v{n}/_SUCCESS"))]
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(name)) if not s.isDirectory()]
+        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+
+    def _folders(self, name: str, version: int) -> list[str]:
+        stream = self._fs.open(self._path(f"{name}/v{version}"))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+        finally:
+            stream.close()
 
     def tables(self) -> list[str]:
         if not self._fs.exists(self._path("")):
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path("")) if s.isDirectory() and self._versions(s.getPath().getName()))
 
-    def create(self, name: str, schema: S.StructType | str) -> None:
-        """Idempotent: a table that is there stays as it is."""
+    def create(self, name: str, schema: S.StructType | str | None = None) -> None:
+        """Idempotent: a table that is there stays as it is. Without a schema the one of that name is taken."""
         if not self._versions(name):
-            self._write(name, self.spark.createDataFrame([], schema))
+            self._write(name, self.spark.createDataFrame([], schema or TABLES[name]))
 
     def drop(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
@@ -57,22 +67,34 @@ class Store:
         versions = self._versions(name)
         if not versions:
             raise LookupError(f"no table {name}")
-        return self.spark.read.parquet(f"{self.root}/{name}/v{versions[-1]}")
+        return self.spark.read.parquet(*[f"{self.root}/{name}/{f}" for f in self._folders(name, versions[-1])])
 
-    def _write(self, name: str, df: DataFrame) -> None:
+    def _write(self, name: str, df: DataFrame, append: bool = False) -> None:
         versions = self._versions(name)
         new = (versions[-1] if versions else 0) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{new}")
-        for old in [v for v in versions if v <= new - self.keep]:
-            self._fs.delete(self._path(f"{name}/v{old}"), True)
+        folder = f"data-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{name}/{folder}")
+        folders = [*(self._folders(name, versions[-1]) if append and versions else []), folder]
+        draft = self._path(f"{name}/draft-{folder}")
+        out = self._fs.create(draft, True)
+        out.write(bytearray("\n".join(folders).encode()))
+        out.close()
+        if not self._fs.rename(draft, self._path(f"{name}/v{new}")):
+            raise OSError(f"version {new} of {name} is there already")
+        kept = [v for v in [*versions, new] if v > new - self.keep]
+        used = {f for v in kept for f in self._folders(name, v)}
+        for status in self._fs.listStatus(self._path(name)):
+            each = status.getPath().getName()
+            if each not in used and each not in {f"v{v}" for v in kept}:
+                self._fs.delete(status.getPath(), True)
 
     def max_key(self, name: str, key: str, default: int = 0) -> int:
         return filters.max_key(self.read(name), key, default).first().max_key
 
     def insert(self, name: str, rows: DataFrame, keys: Sequence[str] = (), order: Sequence[Column] = (), ignore_duplicates: bool = False) -> None:
-        """Appends; with ignore_duplicates the first row of a key wins, also over what comes later."""
+        """Appends without touching what is there; with ignore_duplicates the first row of a key wins, also over what comes later."""
         old = self.read(name)
-        self._write(name, keyed.insert_or_ignore(old, rows, keys, order) if ignore_duplicates else old.unionByName(rows.select(*old.columns)))
+        self._write(name, keyed.unseen(old, rows, keys, order) if ignore_duplicates else rows.select(*old.columns), append=True)
 
     def update(self, name: str, rows: DataFrame, keys: Sequence[str]) -> None:
         """Whole rows replaced by key; a key that is not there is an error and changes nothing."""

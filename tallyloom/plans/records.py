@@ -27,9 +27,9 @@ def filter_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.select_list(tables.issues(spark, sf_dir, "issue_key", "project_key", "status_name", "priority_name"), ["id", "issue_key"], cond)
 
 
-@add("filter_numeric_ops", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 1000.5 AND o_totalprice < 150000 AND o_custkey != 7 AND o_orderkey > 3 AND o_orderkey <= 20000")
+@add("filter_numeric_ops", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 1000.5 AND o_totalprice < 450000 AND o_custkey != 7 AND o_totalprice > 1000 AND o_totalprice <= 449999.5")
 def filter_numeric_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cond = filters.conditions(compare=[("o_totalprice", ">=", 1000.5), ("o_totalprice", "<", 150000), ("o_custkey", "!=", 7), ("o_orderkey", ">", 3), ("o_orderkey", "<=", 20000)])
+    cond = filters.conditions(compare=[("o_totalprice", ">=", 1000.5), ("o_totalprice", "<", 450000), ("o_custkey", "!=", 7), ("o_totalprice", ">", 1000), ("o_totalprice", "<=", 449999.5)])
     return filters.select_list(table(spark, sf_dir, "orders"), ["o_orderkey", "o_totalprice"], cond)
 
 

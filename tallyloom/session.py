@@ -35,16 +35,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point checkpoint() at the shared folder named in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a single machine) a temporary
-    folder is set.
+    Only a local master may lack that setting: it gets a temporary folder. On a
+    cluster such a folder would be another one on every machine, and whoever
+    reads it would miss rows without notice, so there the setting is required.
     """
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not shared and not is_local(context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tallyloom-checkpoint-"))
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process, hence share its disk ('local-cluster' is not)."""
+    return master == "local" or master.startswith("local[")
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as S
 
-from tallyloom.operators.keyed import insert_or_ignore
+from tallyloom.operators.keyed import unseen
 
 
 def read_drops(spark: SparkSession, path: str, schema: S.StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -36,9 +36,7 @@ def merge_into(spark: SparkSession, target: str, keys: list[str], order: list[st
             existing.limit(0).collect()
         except AnalysisException:
             existing = spark.createDataFrame([], batch.schema)
-        merged = insert_or_ignore(existing.limit(0) if keep == "all" else existing, batch, keys, [F.col(c).asc() for c in order], keep)
-        fresh = merged.join(existing.select(*keys), keys, "left_anti")
-        fresh.write.mode("append").parquet(target)
+        unseen(existing, batch, keys, [F.col(c).asc() for c in order], keep).write.mode("append").parquet(target)
 
     return merge
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom import schema
-from tallyloom.operators import reports
+from tallyloom.operators import keyed, reports
 from tallyloom.operators.store import MissingKeys, Store
 
 S = "id int, v string"
@@ -59,7 +59,23 @@ def test_reports(spark):
 def test_schemas(spark, sf_dir):
     for name in ("issues", "comments", "issue_keywords", "corpus_keywords", "search_parameters", "artifacts"):
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        assert df.columns == schema.TABLES[name].fieldNames()
-        assert [t for _, t in schema.conform(df, name).dtypes] == [f.dataType.simpleString() for f in schema.TABLES[name].fields]
+        assert df.columns == schema.schema_of(name).fieldNames()
+        assert [t for _, t in schema.conform(df, name).dtypes] == [f.dataType.simpleString() for f in schema.schema_of(name).fields]
     df = spark.createDataFrame([("Word",), (None,), ("Odd",)], "keyword_type string")
     assert [r[0] for r in df.select(schema.in_domain("keyword_type")).collect()] == [True, True, False]
+
+
+def test_append_keeps_old_files(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "db"))
+    store.create("words")
+    store.insert("words", spark.createDataFrame([("a",)], "word string"))
+    before = set(store.read("words").inputFiles())
+    store.insert("words", spark.createDataFrame([("a",), ("b",), ("b",)], "word string"), ["word"], [F.col("word")], ignore_duplicates=True)
+    assert before <= set(store.read("words").inputFiles())
+    assert sorted(r.word for r in store.read("words").collect()) == ["a", "b"]
+
+
+def test_repeated_changes_of_a_key_give_one_row(spark):
+    old = spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string")
+    new = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c")], "id int, v string")
+    assert sorted(map(tuple, keyed.update_by_key(old, new, ["id"]).collect())) == [(1, "b"), (2, "y")]
