@@ -1,22 +1,36 @@
 """Reading level of documents from the levels of their sentences.
 
 Every prose sentence is classified as easy, middle or hard by a regularised
-softmax model over hashed character trigrams, hashed word forms and the
-sentence's length figures. A document's sentence-level distributions are then
-aggregated and mapped, by a second regularised model fitted on whole documents,
-to calibrated probabilities of the bands and a difficulty between 0 and 1.
-
-Both models are fitted when the operator is called, on a sample of at most
-SAMPLE_DOCUMENTS documents and SAMPLE_SENTENCES sentences drawn by a hash of
-the id (the bound is a parameter); their labels are the band's definition
-applied to single sentences and whole documents. Everything else - extraction,
-classification, aggregation - runs over all documents and whole texts.
+softmax model over hashed character trigrams and hashed word forms, and nothing
+else: a sentence's score is the sum of the weights of its trigrams and words, so
+what its vocabulary and its mere mass of words say about it is learned, not
+given. A document's sentence-level distributions are then aggregated (means of
+probabilities and of log-odds) and mapped to band probabilities by a second
+regularised model, whose temperature is set on documents that neither model was
+fitted on; the difficulty between 0 and 1 is read from those calibrated
+probabilities.
+
+The models are fitted when the operator is called, on the SAMPLE_DOCUMENTS
+documents that come first by a hash of the id, of at most SAMPLE_CHARACTERS
+characters, and on SAMPLE_SENTENCES of their sentences (the bounds are
+parameters). Labels are the band's definition applied to single sentences and to
+whole documents. By the hash one half of the sample fits the sentence model, a
+quarter the document model, a quarter sets temperature and thresholds.
+Everything else - extraction, classification, aggregation - runs over all
+documents and whole texts.
+
+`reading_bands` lists what the models hold possible and the definition confirms:
+a document is a candidate of a band if its probability reaches that band's
+threshold, which lies MARGIN times below the lowest one that a labelled document
+of the held-out part got (and never above CANDIDATE); candidates, and only
+they, are held against the definition. A band with fewer than LEAST_LABELLED
+labelled documents in the sample has threshold 0: every document is its
+candidate, as no model can be trusted with it.
 
 Defined results: a null or empty text and a text without prose have no level
-(no row in `reading_bands`, null figures in `reading_levels`); repeated rows
-are rated alike; a band without a labelled document in the sample gets next to no
-probability in `reading_levels`, while `reading_bands` holds every document
-against the definition, whatever the sample holds; an empty table gives no rows.
+(no row); repeated rows are rated alike; an empty table gives no rows; without a
+sentence in the sample all levels are equally likely and every document with
+prose is a candidate.
 """
 
 from __future__ import annotations
@@ -33,8 +47,13 @@ from tallyloom.llm.prose import measures, sentences
 
 EASY_WORDS, EASY_LETTERS = 9, 4.4
 HARD_WORDS, HARD_LETTERS = 24, 5.6
-SAMPLE_DOCUMENTS, SAMPLE_SENTENCES = 1200, 8000
+SAMPLE_DOCUMENTS, SAMPLE_SENTENCES, SAMPLE_CHARACTERS = 2000, 6000, 200_000
+CANDIDATE, MARGIN, LEAST_LABELLED = 0.02, 20.0, 10
 BITS = 13
+#: Weights are summed over a sentence and divided by this, so that a step is of the same size for all.
+SCALE = 16.0
+#: Characters of text rated at once; bounds a task's memory whatever the size of a batch.
+CHUNK = 2_000_000
 LEVELS = ("easy", "middle", "hard")
 
 
@@ -49,8 +68,8 @@ def band_of(n: int, words: int, letters: int) -> str | None:
     return None
 
 
-def _level(words: int, letters: int) -> int:
-    return {"easy": 0, None: 1, "hard": 2}[band_of(1, words, letters)]
+def _level(found: list[str]) -> int:
+    return {"easy": 0, None: 1, "hard": 2}[band_of(*measures(found))]
 
 
 @dataclass
@@ -59,29 +78,22 @@ class Features:
 
     chars: np.ndarray
     char_at: np.ndarray
-    char_n: np.ndarray
     words: np.ndarray
     word_at: np.ndarray
-    word_n: np.ndarray
-    figures: np.ndarray
 
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[list(range(65, 91)) + list(range(97, 123))] = True
-# first bytes of two- and three-byte letters; continuation bytes and punctuation (E2) don't count
-_LETTER[list(range(0xC3, 0xE2)) + list(range(0xE3, 0xF5))] = True
 
 
 def features(texts: list[str]) -> Features:
-    data = np.frombuffer(("\n".join(texts) + "\n").lower().encode(), np.uint8)
-    mask = (1 << BITS) - 1
+    """Byte trigrams (the last two reach over the sentence's end) and word forms: first and last three bytes with the length."""
+    data = np.frombuffer(("\n".join(texts) + "\n\n\n").lower().encode(), np.uint8)
     b = data.astype(np.uint32)
-    trigram = ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761) >> np.uint32(32 - BITS)).astype(np.int32) if len(b) > 2 else np.zeros(0, np.int32)
+    trigram = ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761) >> np.uint32(32 - BITS)).astype(np.int32)
+    data = data[:-2]
     ends = np.flatnonzero(data == 10)
     starts = np.concatenate(([0], ends[:-1] + 1))
-    trigram = np.concatenate((trigram, np.zeros(len(data) - len(trigram), np.int32)))
     blank = _BLANK[data]
     first = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
     last = np.flatnonzero(blank & np.concatenate(([False], ~blank[:-1])))
@@ -89,13 +101,7 @@ def features(texts: list[str]) -> Features:
     for at in (first, first + 1, first + 2, last - 1, np.maximum(last - 2, first), np.maximum(last - 3, first)):
         form = form * np.uint32(31) + b[at]
     form = (form * np.uint32(2654435761) + (last - first).astype(np.uint32) * np.uint32(40503)) >> np.uint32(32 - BITS)
-    word_at = np.searchsorted(first, starts)
-    letters = np.add.reduceat(_LETTER[data].astype(np.int32), starts)
-    word_n = np.diff(np.concatenate((word_at, [len(first)])))
-    some = np.maximum(word_n, 1)
-    length, per = np.log(some), letters / some
-    figures = np.stack((np.ones(len(starts)), length - 2.5, per - 5, (length - 2.5) ** 2, (per - 5) ** 2 / 4, (length - 2.5) * (per - 5) / 2), 1).astype(np.float32)
-    return Features(trigram & mask, starts, (ends - starts + 1).astype(np.float32), (form & mask).astype(np.int32), np.minimum(word_at, max(0, len(first) - 1)), some.astype(np.float32), figures)
+    return Features(trigram, starts, form.astype(np.int32), np.searchsorted(first, starts))
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -107,37 +113,36 @@ def softmax(z: np.ndarray) -> np.ndarray:
 class LevelModel:
     chars: np.ndarray
     words: np.ndarray
-    figures: np.ndarray
+    bias: np.ndarray
     documents: np.ndarray
+    temperature: float = 1.0
+    #: Least probability of the easy and of the hard band that makes a candidate.
+    thresholds: tuple[float, float] = (0.0, 0.0)
 
-    def levels(self, f: Features) -> np.ndarray:
-        """Probability of each level for each sentence."""
-        z = f.figures @ self.figures
-        for k in range(z.shape[1]):
-            z[:, k] += np.add.reduceat(self.chars[:, k][f.chars], f.char_at) / f.char_n
-            if len(f.words):
-                z[:, k] += np.add.reduceat(self.words[:, k][f.words], f.word_at) / f.word_n
-        return softmax(z)
+    def scores(self, f: Features) -> np.ndarray:
+        """Log-odds of each level for each sentence, up to a constant."""
+        z = np.tile(self.bias.astype(np.float32), (len(f.char_at), 1))
+        for k in range(3):
+            z[:, k] += np.add.reduceat(self.chars[:, k][f.chars], f.char_at) / SCALE
+            # a sentence holds a word, so no run is empty
+            z[:, k] += np.add.reduceat(self.words[:, k][f.words], f.word_at) / SCALE
+        return z
 
     def bands(self, distribution: np.ndarray) -> np.ndarray:
-        return softmax(distribution @ self.documents)
+        return softmax(distribution @ self.documents / self.temperature)
 
 
-def aggregate(p: np.ndarray, f: Features, doc_at: np.ndarray) -> np.ndarray:
-    """One row per document: means of the level probabilities, plain and by words, and of the figures."""
-    n = np.diff(np.concatenate((doc_at, [len(p)])))[:, None]
-    w = f.word_n[:, None]
-    words = np.add.reduceat(w, doc_at)
-    plain = np.add.reduceat(p, doc_at) / n
-    weighted = np.add.reduceat(p * w, doc_at) / words
-    length = np.log(words / n) - 2.5
-    per = np.add.reduceat((f.figures[:, 2:3] + 5) * w, doc_at) / words - 5
-    return np.concatenate((np.ones_like(length), plain, weighted, length, per, length**2, per**2 / 4, length * per / 2), 1)
+def aggregate(z: np.ndarray, doc_at: np.ndarray) -> np.ndarray:
+    """One row per document: means of its sentences' level probabilities and log-odds."""
+    n = np.diff(np.concatenate((doc_at, [len(z)])))[:, None]
+    means = np.add.reduceat(softmax(z), doc_at) / n
+    odds = np.add.reduceat(np.clip(z - z[:, 1:2], -30, 30)[:, [0, 2]], doc_at) / n
+    return np.concatenate((np.ones_like(means[:, :1]), means, odds / 10), 1)
 
 
-def difficulty(distribution: np.ndarray) -> np.ndarray:
-    """0 for all easy, 1 for all hard: levels weighted by words."""
-    return distribution[:, 5] * 0.5 + distribution[:, 6]
+def difficulty(p: np.ndarray) -> np.ndarray:
+    """0 where easy is certain, 1 where hard is."""
+    return p[:, 1] * 0.5 + p[:, 2]
 
 
 def _balanced(y: np.ndarray) -> np.ndarray:
@@ -145,90 +150,134 @@ def _balanced(y: np.ndarray) -> np.ndarray:
     return (len(y) / (3 * np.maximum(counts, 1)))[y].astype(np.float32)
 
 
-def _fit_dense(x: np.ndarray, y: np.ndarray, l2: float, steps: int, rate: float) -> np.ndarray:
-    w = np.zeros((x.shape[1], 3))
-    weight, target, speed = _balanced(y)[:, None], np.eye(3)[y], 0
-    for _ in range(steps):
-        g = x.T @ ((softmax(x @ w) - target) * weight) / len(y) + l2 * w
-        speed = 0.9 * speed - rate * g
-        w = w + speed
-    return w
+class _Adam:
+    """Steps of a size that doesn't depend on the scale of the gradient."""
 
+    def __init__(self, weights: list[np.ndarray], rate: float) -> None:
+        self.weights, self.rate, self.t = weights, rate, 0
+        self.first = [np.zeros_like(w) for w in weights]
+        self.second = [np.zeros_like(w) for w in weights]
 
-def fit(texts: list[str], max_sentences: int = SAMPLE_SENTENCES, l2: float = 1e-4, steps: int = 40) -> LevelModel:
-    """Sentence and document models from the given documents' own sentences."""
+    def step(self, gradients: list[np.ndarray]) -> None:
+        self.t += 1
+        for w, g, m, v in zip(self.weights, gradients, self.first, self.second, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            w -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)
+
+
+def _fit_sentences(some: list[str], l2: float, steps: int) -> LevelModel:
     size = 1 << BITS
-    docs = [s for s in map(sentences, texts) if s]
-    flat = [s for d in docs for s in d]
-    model = LevelModel(np.zeros((size, 3), np.float32), np.zeros((size, 3), np.float32), np.zeros((6, 3), np.float32), np.zeros((12, 3)))
-    if not flat:
+    model = LevelModel(np.zeros((size, 3), np.float32), np.zeros((size, 3), np.float32), np.zeros(3, np.float32), np.zeros((6, 3)))
+    if not some:
         return model
-    step = -(-len(flat) // max_sentences)
-    some = flat[::step]
     f = features(some)
-    y = np.array([_level(*measures([s])[1:]) for s in some])
-    # the length figures first, then the hashed models on what they leave open
-    model.figures = _fit_dense(f.figures.astype(float), y, l2, 300, 0.3).astype(np.float32)
+    y = np.array([_level([s]) for s in some])
     target, weight = np.eye(3, dtype=np.float32)[y], _balanced(y)[:, None]
-    of_char = np.repeat(np.arange(len(some)), f.char_n.astype(int))
-    of_word = np.repeat(np.arange(len(some)), np.diff(np.concatenate((f.word_at, [len(f.words)]))))
+    lengths = lambda at, n: np.diff(np.concatenate((at, [n])))
+    of_char = np.repeat(np.arange(len(some)), lengths(f.char_at, len(f.chars)))
+    of_word = np.repeat(np.arange(len(some)), lengths(f.word_at, len(f.words)))
+    adam = _Adam([model.chars, model.words, model.bias], 0.05)
     for _ in range(steps):
-        left = (model.levels(f) - target) * weight / len(y)
-        for k in range(3):
-            model.chars[:, k] -= 200 * (np.bincount(f.chars, (left[:, k] / f.char_n)[of_char], size) + l2 * model.chars[:, k] / size)
-            model.words[:, k] -= 20 * (np.bincount(f.words[: len(of_word)], (left[:, k] / f.word_n)[of_word], size) + l2 * model.words[:, k] / size)
-    every = features(flat)
+        left = (softmax(model.scores(f)) - target) * weight / len(y)
+        grad = lambda ids, of: np.stack([np.bincount(ids, left[of, k], size) for k in range(3)], 1).astype(np.float32) / SCALE  # noqa: B023, E731
+        adam.step([grad(f.chars, of_char) + l2 * model.chars, grad(f.words, of_word) + l2 * model.words, left.sum(0)])
+    return model
+
+
+def _fit_documents(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 600) -> np.ndarray:
+    w = np.zeros((x.shape[1], 3))
+    weight, target, adam = _balanced(y)[:, None], np.eye(3)[y], None
+    adam = _Adam([w], 0.05)
+    for _ in range(steps):
+        adam.step([x.T @ ((softmax(x @ w) - target) * weight) / len(y) + l2 * w])
+    return w
+
+
+def _temperature(z: np.ndarray, y: np.ndarray) -> float:
+    """The temperature under which the held-out labels are likeliest."""
+    options = np.geomspace(0.25, 8, 41)
+    loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in options]
+    return float(options[int(np.argmin(loss))])
+
+
+def distributions(model: LevelModel, docs: list[list[str]]) -> np.ndarray:
+    """The aggregated sentence levels of documents, each given as its sentences (at least one)."""
     at = np.cumsum([0, *[len(d) for d in docs[:-1]]])
-    x = aggregate(model.levels(every), every, at)
-    bands = np.array([{"easy": 0, None: 1, "hard": 2}[band_of(*measures(d))] for d in docs])
-    model.documents = _fit_dense(x, bands, 1e-5, 800, 0.5)
+    return aggregate(model.scores(features([s for d in docs for s in d])), at)
+
+
+def fit(texts: list[str], max_sentences: int = SAMPLE_SENTENCES, l2: float = 1e-5, steps: int = 60) -> LevelModel:
+    """Sentence and document models from the given documents; those at the places 2 and 3 of every four are held out."""
+    docs = [s for s in map(sentences, texts) if s]
+    parts = [docs[0::4] + docs[1::4], docs[2::4], docs[3::4]]
+    flat = [s for d in parts[0] for s in d]
+    step = max(1, -(-len(flat) // max_sentences))
+    model = _fit_sentences(flat[::step], l2, steps)
+    if not parts[1] or not parts[2]:
+        return model
+    labels = [np.array([_level(d) for d in part]) for part in parts]
+    model.documents = _fit_documents(distributions(model, parts[1]), labels[1])
+    held_out = distributions(model, parts[2])
+    model.temperature = _temperature(held_out @ model.documents, labels[2])
+    p = model.bands(held_out)
+    known = np.bincount(np.concatenate(labels), minlength=3)
+    lowest = lambda k: min(CANDIDATE, p[labels[2] == k, k].min(initial=1.0) / MARGIN) if known[k] >= LEAST_LABELLED and (labels[2] == k).any() and (labels[1] == k).any() else 0.0
+    model.thresholds = (lowest(0), lowest(2))
     return model
 
 
-def sample_texts(documents: DataFrame, doc_id: Column, text: Column, bound: int = SAMPLE_DOCUMENTS) -> list[str]:
-    """At most `bound` non-empty texts, drawn by a hash of the id."""
-    every = documents.count()
-    one_in = max(1, every // bound)
-    rows = documents.select(doc_id.alias("i"), text.alias("t")).where(F.pmod(F.xxhash64(F.lit(3), "i"), F.lit(one_in)) == 0).where("t IS NOT NULL AND t <> ''").limit(bound).collect()
-    return [r.t for r in rows]
+def sample_texts(documents: DataFrame, doc_id: Column, text: Column, bound: int = SAMPLE_DOCUMENTS, characters: int = SAMPLE_CHARACTERS) -> list[str]:
+    """The `bound` texts that come first by a hash of the id, so the same ones in every run; only texts of some length, up to `characters`."""
+    rows = documents.select(doc_id.alias("i"), text.alias("t")).where(F.length("t").between(1, characters))
+    return [r.t for r in rows.orderBy(F.xxhash64(F.lit(3), "i"), "i", "t").limit(bound).collect()]
+
 
+def _chunks(ids: pd.Series, texts: pd.Series) -> Iterator[tuple[list, list[list[str]]]]:
+    """(ids, sentences) of the documents with prose, about CHUNK characters at a time."""
+    kept, docs, size = [], [], 0
+    for doc_id, text in zip(ids, texts, strict=True):
+        found = sentences(text)
+        if found:
+            kept.append(doc_id)
+            docs.append(found)
+            size += len(text)
+        if size >= CHUNK:
+            yield kept, docs
+            kept, docs, size = [], [], 0
+    if docs:
+        yield kept, docs
 
-def _rated(documents: DataFrame, model: LevelModel, exact: bool) -> DataFrame:
-    kind = documents.schema["doc_id"].dataType.simpleString()
+
+def reading_levels(documents: DataFrame, doc_id: Column, text: Column, model: LevelModel | None = None, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
+    """(doc_id, sentences, difficulty, p_easy, p_hard, reading_band) as the models rate them, one row per row with prose."""
+    source, model, kind = _prepared(documents, doc_id, text, model, sample)
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, docs = [], []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                found = sentences(text)
-                if found:
-                    ids.append(doc_id)
-                    docs.append(found)
-            columns = {"doc_id": pd.Series(ids, dtype=batch["doc_id"].dtype)}
-            n = np.array([len(d) for d in docs], np.int64)
-            if not len(n):
-                none = np.zeros(0)
-                yield pd.DataFrame(columns | {"sentences": n, "difficulty": none, "p_easy": none, "p_hard": none, "reading_band": pd.Series([], dtype=object)})
-                continue
-            f = features([s for d in docs for s in d])
-            x = aggregate(model.levels(f), f, np.concatenate(([0], np.cumsum(n)[:-1])))
-            p = model.bands(x)
-            bands = [band_of(*measures(d)) for d in docs] if exact else [LEVELS[k] for k in p.argmax(1)]
-            yield pd.DataFrame(columns | {"sentences": n, "difficulty": difficulty(x), "p_easy": p[:, 0], "p_hard": p[:, 2], "reading_band": bands})
-
-    return documents.mapInPandas(rate, f"doc_id {kind}, sentences long, difficulty double, p_easy double, p_hard double, reading_band string")
-
-
-def _prepared(documents: DataFrame, doc_id: Column, text: Column) -> DataFrame:
-    return documents.select(doc_id.alias("doc_id"), text.alias("text")).where("text IS NOT NULL AND text <> ''")
+            for ids, docs in _chunks(batch["doc_id"], batch["text"]):
+                p = model.bands(distributions(model, docs))
+                yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=batch["doc_id"].dtype), "sentences": [len(d) for d in docs], "difficulty": difficulty(p), "p_easy": p[:, 0], "p_hard": p[:, 2], "reading_band": [LEVELS[k] for k in p.argmax(1)]})
 
-
-def reading_levels(documents: DataFrame, doc_id: Column, text: Column, model: LevelModel | None = None, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
-    """(doc_id, sentences, difficulty, p_easy, p_hard, reading_band) as the models rate them."""
-    return _rated(_prepared(documents, doc_id, text), model or fit(sample_texts(documents, doc_id, text, sample)), exact=False)
+    return source.mapInPandas(rate, f"doc_id {kind}, sentences long, difficulty double, p_easy double, p_hard double, reading_band string")
 
 
 def reading_bands(documents: DataFrame, doc_id: Column, text: Column, model: LevelModel | None = None, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
-    """(doc_id, reading_band) of the easy and hard documents: every rated document, held against the definition."""
-    rated = _rated(_prepared(documents, doc_id, text), model or fit(sample_texts(documents, doc_id, text, sample)), exact=True)
-    return rated.where("reading_band IS NOT NULL").select("doc_id", "reading_band").distinct()
+    """(doc_id, reading_band) of the easy and hard documents: the models' candidates that the definition confirms."""
+    source, model, kind = _prepared(documents, doc_id, text, model, sample)
+
+    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ids, docs in _chunks(batch["doc_id"], batch["text"]):
+                possible = model.bands(distributions(model, docs))[:, [0, 2]] >= model.thresholds
+                bands = [band_of(*measures(d)) if c.any() else None for d, c in zip(docs, possible, strict=True)]
+                # a document that is the candidate of one band only is not listed in the other
+                kept = [i for i, (b, c) in enumerate(zip(bands, possible, strict=True)) if b == "easy" and c[0] or b == "hard" and c[1]]
+                yield pd.DataFrame({"doc_id": pd.Series([ids[i] for i in kept], dtype=batch["doc_id"].dtype), "reading_band": pd.Series([bands[i] for i in kept], dtype=object)})
+
+    return source.mapInPandas(rate, f"doc_id {kind}, reading_band string").distinct()
+
+
+def _prepared(documents: DataFrame, doc_id: Column, text: Column, model: LevelModel | None, sample: int) -> tuple[DataFrame, LevelModel, str]:
+    source = documents.select(doc_id.alias("doc_id"), text.alias("text")).where("text IS NOT NULL AND text <> ''")
+    return source, model or fit(sample_texts(documents, doc_id, text, sample)), source.schema["doc_id"].dataType.simpleString()

@@ -51,20 +51,42 @@ def corpus(n, seed):
 
 
 def test_held_out_accuracy():
-    model = R.fit(corpus(120, 1))
-    held = corpus(80, 2)
-    docs = [prose.sentences(t) for t in held]
+    model = R.fit(corpus(160, 1))
+    docs = [prose.sentences(t) for t in corpus(80, 2)]
     flat = [s for d in docs for s in d]
-    f = R.features(flat)
-    p = model.levels(f)
-    level = np.array([R._level(*prose.measures([s])[1:]) for s in flat])
-    assert (p.argmax(1) == level).mean() > 0.95
-    x = R.aggregate(p, f, np.cumsum([0, *[len(d) for d in docs[:-1]]]))
-    want = [{"easy": 0, None: 1, "hard": 2}[R.band_of(*prose.measures(d))] for d in docs]
-    assert (model.bands(x).argmax(1) == want).mean() > 0.95
+    p = R.softmax(model.scores(R.features(flat)))
+    assert (p.argmax(1) == [R._level([s]) for s in flat]).mean() > 0.95
+    assert (model.bands(R.distributions(model, docs)).argmax(1) == [R._level(d) for d in docs]).mean() > 0.95
     assert np.allclose(p.sum(1), 1)
 
 
+def test_text_weights_carry_the_decision(spark):
+    texts = corpus(160, 1)
+    model = R.fit(texts)
+    assert min(model.thresholds) > 0
+    rows = frame(spark, list(enumerate(texts)))
+    full = R.reading_bands(rows, F.col("doc_id"), F.col("text"), model=model).count()
+    blind = R.LevelModel(np.zeros_like(model.chars), np.zeros_like(model.words), model.bias, model.documents, model.temperature, model.thresholds)
+    assert R.reading_bands(rows, F.col("doc_id"), F.col("text"), model=blind).count() < full
+    levels = lambda m: R.reading_levels(rows, F.col("doc_id"), F.col("text"), model=m)
+    assert levels(blind).select("reading_band").distinct().count() == 1 < levels(model).select("reading_band").distinct().count()
+
+
+def test_sample_is_the_same_in_every_run(spark):
+    rows = frame(spark, list(enumerate(corpus(50, 4))) + [(99, None), (98, ""), (97, "x" * 30_000)])
+    draw = lambda df: R.sample_texts(df, F.col("doc_id"), F.col("text"), 20, 25_000)
+    assert draw(rows) == draw(rows.repartition(7)) and len(draw(rows)) == 20
+    assert "x" * 30_000 not in R.sample_texts(rows, F.col("doc_id"), F.col("text"), 100, 25_000)
+
+
+def test_chunks_give_the_same_result(spark, monkeypatch):
+    rows, model = frame(spark, list(enumerate(corpus(30, 5)))), R.fit(corpus(160, 1))
+    whole = sorted(map(tuple, R.reading_levels(rows, F.col("doc_id"), F.col("text"), model=model).collect()))
+    docs = [prose.sentences(t) for t in corpus(30, 5)]
+    each = [R.difficulty(model.bands(R.distributions(model, [d])))[0] for d in docs]
+    assert np.allclose([r[2] for r in whole], each, atol=1e-5)
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, reading_band string")
 
@@ -90,13 +112,14 @@ def test_empty_tables_and_untrained(spark):
 @pytest.mark.parametrize("absent", ["easy", "hard"])
 def test_band_absent_from_the_sample(spark, absent):
     seen = [HARD * 2 if absent == "easy" else EASY + " " + EASY, MIDDLE * 3]
-    model = R.fit(seen * 20)
+    model = R.fit(seen * 40)
+    assert model.thresholds[0 if absent == "easy" else 1] == 0
     rows = [(1, EASY), (2, HARD * 2), (3, MIDDLE * 3)]
     got = {r.doc_id: r.reading_band for r in R.reading_bands(frame(spark, rows), F.col("doc_id"), F.col("text"), model=model).collect()}
     assert got == {1: "easy", 2: "hard"}
 
 
 def test_features_of_odd_texts():
-    f = R.features(["a", " ", "é b", "x" * 1000])
-    assert len(f.figures) == 4 and np.isfinite(f.figures).all()
-    assert np.isfinite(R.fit(["One. Two."]).levels(f)).all()
+    f = R.features(["a", "é b", "x" * 1000, "\u3042", "-- 1"])
+    assert len(f.char_at) == len(f.word_at) == 5
+    assert np.isfinite(R.fit(["One. Two."]).scores(f)).all()
