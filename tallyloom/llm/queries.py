@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.normal import plain_form
 from tallyloom.llm.contamination import find_leaks
 from tallyloom.llm.packing import CAPACITY, count_tokens, pack
-from tallyloom.llm.personal_data import directory, mask, pseudonymise, replace_spans
+from tallyloom.llm.personal_data import Directory, detect, directory, mask, pseudonymise, replace_spans
 from tallyloom.llm.reading_level import reading_bands, reading_levels
 from tallyloom.llm.term_frequency import mark, term_counts
 from tallyloom.llm.top_items import top_items
@@ -121,29 +121,38 @@ def _free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comments.unionByName(issues)
 
 
+def _people(spark: SparkSession, sf_dir: str) -> Directory:
+    return directory(table(spark, sf_dir, "people"), F.col("display_name"))
+
+
+def _secret(spark: SparkSession) -> bytes:
+    """The secret of the surrogates: the session's setting; the test tables, all invented, do with a public one."""
+    return spark.conf.get("spark.tallyloom.surrogateSecret", "no secret: test tables").encode()
+
+
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given, family = directory(table(spark, sf_dir, "people"), F.col("display_name"))
-    rows = _free_text(spark, sf_dir)
-    found = pseudonymise(rows, F.struct("table_name", "row_id"), F.col("text"), given, family)
-    return found.select(F.col("row_id.table_name").alias("table_name"), F.col("row_id.row_id").alias("row_id"), "start_at", "end_at", "pii_type", "pii_key", "surrogate", "shown")
+    found = pseudonymise(_free_text(spark, sf_dir), F.struct("table_name", "row_id"), F.col("text"), _people(spark, sf_dir), _secret(spark))
+    return found.select("row_id.table_name", "row_id.row_id", "start_at", "end_at", "pii_type", "pii_key", "entity_key", "surrogate", "shown")
 
 
 @registry.add("p5_found")
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _findings(spark, sf_dir).select("table_name", "row_id", "pii_type", "pii_key").distinct()
+    """What detection finds; surrogates are drawn by the queries that show them."""
+    found = detect(_free_text(spark, sf_dir), F.struct("table_name", "row_id"), F.col("text"), _people(spark, sf_dir))
+    return found.select("row_id.table_name", "row_id.row_id", "pii_type", "pii_key").distinct()
 
 
 @registry.add("p5_masked")
 def masked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with a typed placeholder in the place of each item, otherwise unchanged."""
-    given, family = directory(table(spark, sf_dir, "people"), F.col("display_name"))
-    return _free_text(spark, sf_dir).select("table_name", "row_id", mask(F.col("text"), given, family).alias("masked_text"))
+    masked = mask(_free_text(spark, sf_dir), F.struct("table_name", "row_id"), F.col("text"), _people(spark, sf_dir))
+    return masked.select("row_id.table_name", "row_id.row_id", "masked_text")
 
 
 @registry.add("p5_surrogates")
 def surrogate_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distinct items with the replacement each of them gets everywhere."""
-    return _findings(spark, sf_dir).select("pii_type", "pii_key", "surrogate").distinct()
+    """The distinct items with the entity each of them means and the replacement that entity gets everywhere."""
+    return _findings(spark, sf_dir).select("pii_type", "pii_key", "entity_key", "surrogate").distinct()
 
 
 @registry.add("p5_replaced")
