@@ -9,11 +9,18 @@ is marked, then the longest that overlaps no marked word, and so on; the tiles
 found cover passages in any order, and their sum over the item's length is the
 item's coverage.
 
-The items are a stated query set: they are held against all documents in
-blocks of at most BLOCK_WORDS words, so the part sent to the executors is
-bounded whatever the size of the set. Words outside the items' vocabulary cut a
-document into short stretches at once, which is what makes one pass over the
-corpus cheap.
+Up to BLOCK_WORDS words of items are an index that is sent to the executors, and
+one pass over the corpus does it all: words outside the items' vocabulary cut a
+document into short stretches at once. A larger set, of any size, is met by a
+hash join: of each document's windows of half the length the least value of
+every stretch travels (winnowing; a common run of `min_match` words always holds
+one of them), only with pairs that share one are texts compared. Both ways read
+the corpus without a bound on items, and give the same rows.
+
+A text that repeats itself has as many seeds as the product of both lengths; a
+document with more than HEAVY seeds a word is tiled without them (`tiles_linear`):
+the longest common run is found by bisection over the windows' values, in memory
+that grows with the texts alone.
 
 Defined results: null and empty texts, items shorter than min_match and an
 empty side give no rows; repeated rows of a document are one document; all
@@ -25,8 +32,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +41,8 @@ from pyspark.sql import functions as F
 
 MIN_MATCH = 12
 BLOCK_WORDS = 2_000_000
+#: Seeds a word of a document beyond which it is tiled without listing them.
+HEAVY = 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
@@ -102,8 +110,8 @@ class ItemIndex:
         order = np.argsort(values, kind="stable")
         self.values, self.numbers, self.places = values[order], join(numbers, np.int64)[order], join(places, np.int64)[order]
 
-    def seeds(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document place, item number, item place) of all equal windows."""
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document place, first entry, entries) of the windows whose value is among the items'."""
         length = self.min_match
         empty = np.zeros(0, np.int64)
         if not len(self.values) or len(codes) < length:
@@ -117,13 +125,22 @@ class ItemIndex:
             values = values * BASE + codes[full + k]
         first = np.searchsorted(self.values, values, "left")
         count = np.searchsorted(self.values, values, "right") - first
+        return full[count > 0], first[count > 0], count[count > 0]
+
+    def seeds(self, full: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document place, item number, item place) of all entries of some hits."""
         at = np.repeat(full, count)
         which = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         return at, self.numbers[which], self.places[which]
 
+    def numbers_of(self, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The items that some hits belong to, each value looked up once."""
+        once, where = np.unique(first, return_index=True)
+        return np.unique(np.concatenate([self.numbers[f : f + n] for f, n in zip(once, count[where], strict=True)])) if len(once) else once
+
 
 def tiles(doc: np.ndarray, item: np.ndarray, at: np.ndarray, place: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling from seeds: (document place, item place, length), longest first."""
+    """Greedy string tiling from seeds: (document place, item place, length), longest first, ties by place."""
     equal = np.ones(len(at), bool)
     for k in range(min_match):
         equal &= doc[at + k] == item[place + k]
@@ -142,6 +159,66 @@ def tiles(doc: np.ndarray, item: np.ndarray, at: np.ndarray, place: np.ndarray,
     return out
 
 
+_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(max(0, n - 1), base, np.uint64))))[:n]
+
+
+class _Side:
+    """Words of one text with the marks of those in tiles; code 0 is no word of the other side."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        self.codes, self.free = codes, codes != 0
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * _powers(BASE, len(codes)), dtype=np.uint64)))
+        self.back = _powers(_INVERSE, len(codes))
+
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, value) of the windows without a mark."""
+        known = np.concatenate(([0], np.cumsum(self.free)))
+        at = np.flatnonzero(known[length:] - known[:-length] == length) if len(self.codes) >= length else np.zeros(0, np.int64)
+        return at, (self.sums[at + length] - self.sums[at]) * self.back[at]
+
+
+def tiles_linear(doc: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
+    """What `tiles` gives from all seeds, in memory linear in the texts; doc and item share one vocabulary."""
+    a, b, out = _Side(np.where(np.isin(doc, item), doc, 0).astype(np.uint64)), _Side(item.astype(np.uint64)), []
+
+    def common(length: int) -> tuple[int, int] | None:
+        """The first common window of a length, compared word by word."""
+        at, values = a.windows(length)
+        place, wanted = b.windows(length)
+        order = np.argsort(wanted, kind="stable")
+        wanted, place = wanted[order], place[order]
+        first = np.searchsorted(wanted, values, "left")
+        there = np.flatnonzero((first < len(wanted)) & (wanted[np.minimum(first, len(wanted) - 1)] == values)) if len(wanted) else []
+        for k in there:
+            for j in place[first[k] : np.searchsorted(wanted, values[k], "right")]:
+                if (a.codes[at[k] : at[k] + length] == b.codes[j : j + length]).all():
+                    return int(at[k]), int(j)
+        return None
+
+    while True:
+        low, high, found = min_match, min(len(doc), len(item)), common(min_match)
+        if not found:
+            return out
+        while low < high:
+            middle = (low + high + 1) // 2
+            hit = common(middle)
+            if hit:
+                low, found = middle, hit
+            else:
+                high = middle - 1
+        i, j = found
+        out.append((i, j, low))
+        a.free[i : i + low] = False
+        b.free[j : j + low] = False
+
+
+COLUMNS = ["doc_id", "item_id", "tile_count", "longest_run", "covered_words", "item_words"]
+_FIGURES = "tile_count int, longest_run int, covered_words int, item_words int"
+
 _INDEXES: dict[tuple, ItemIndex] = {}
 
 
@@ -168,24 +245,83 @@ def _leaks_of_block(documents: DataFrame, items: list[tuple[object, str]], item_
                     codes.append(0)  # no window reaches over a document's end
                     ids.append(doc_id)
                     ends.append(len(codes))
-            every = np.array(codes, np.uint64)
-            at, number, place = index.seeds(every)
-            doc = np.searchsorted(np.array(ends, np.int64), at, "right")
+            every, bounds = np.array(codes, np.uint64), np.array(ends, np.int64)
+            full, first, count = index.hits(every)
+            doc = np.searchsorted(bounds, full, "right")
+            sizes = np.diff(np.concatenate(([0], bounds)))
+            heavy = np.bincount(doc, count, len(ids)) > HEAVY * sizes
+            light = ~heavy[doc]
+            at, number, place = index.seeds(full[light], first[light], count[light])
             rows = []
-            order = np.lexsort((number, doc))
+            of = np.searchsorted(bounds, at, "right")
+            order = np.lexsort((number, of))
             # where a document and item differ from those before; with the end, the bounds of each pair's seeds
-            changes = np.flatnonzero((np.diff(doc[order]) != 0) | (np.diff(number[order]) != 0)) + 1
-            bounds = [0, *changes.tolist(), len(order)] if len(order) else [0]
-            for s, e in zip(bounds, bounds[1:]):
+            changes = np.flatnonzero((np.diff(of[order]) != 0) | (np.diff(number[order]) != 0)) + 1
+            cuts = [0, *changes.tolist(), len(order)] if len(order) else [0]
+            for s, e in zip(cuts, cuts[1:]):
                 take = order[s:e]
                 item_id, item = index.items[number[take[0]]]
-                got = tiles(every, item, at[take], place[take], min_match)
-                if got:
-                    rows.append((ids[doc[take[0]]], item_id, len(got), got[0][2], sum(n for _, _, n in got), len(item)))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "tile_count", "longest_run", "covered_words", "item_words"])
+                rows += _row(ids[of[take[0]]], item_id, tiles(every, item, at[take], place[take], min_match), len(item))
+            for d in np.flatnonzero(heavy):
+                own = doc == d
+                codes_of = every[bounds[d] - sizes[d] : bounds[d]]
+                for n in index.numbers_of(first[own], count[own]):
+                    item_id, item = index.items[n]
+                    rows += _row(ids[d], item_id, tiles_linear(codes_of, item, min_match), len(item))
+            yield pd.DataFrame(rows, columns=COLUMNS)
+
+    return documents.mapInPandas(found, f"doc_id {kind}, item_id {item_kind}, {_FIGURES}")
+
+
+def _row(doc_id: object, item_id: object, got: list[tuple[int, int, int]], words: int) -> list[tuple]:
+    return [(doc_id, item_id, len(got), got[0][2], sum(n for _, _, n in got), words)] if got else []
+
+
+def winnowed(words: list[str], min_match: int) -> np.ndarray:
+    """Values of windows of half the length, of which every run of min_match words holds at least one."""
+    length = max(1, min_match // 2)
+    if len(words) < min_match:
+        return np.zeros(0, np.uint64)
+    values = _hashed_windows(words, length)
+    stretch = np.lib.stride_tricks.sliding_window_view(values, min_match - length + 1)
+    return np.unique(stretch.min(1))
+
+
+def _hashed_windows(words: list[str], length: int) -> np.ndarray:
+    return rolling(pd.util.hash_array(np.array(words, dtype=object), categorize=True), length)
+
+
+def _leaks_by_join(documents: DataFrame, items: DataFrame, min_match: int) -> DataFrame:
+    """For items of any number: pairs by a join on window values, then tiled one by one."""
+    docs = documents.withColumn("d", F.xxhash64("doc_id", "text"))
+    held = items.select(F.col("i").alias("item_id"), F.col("t").alias("item_text"), F.xxhash64("i", "t").alias("h"))
+
+    def values(key: str, of: Callable[[list[str]], np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                got = [of(words_of(t)) for t in batch.iloc[:, 1]]
+                yield pd.DataFrame({key: np.repeat(batch.iloc[:, 0].to_numpy(), [len(g) for g in got]), "v": np.concatenate([*got, np.zeros(0, np.uint64)]).view(np.int64)})
+
+        return each
+
+    length = max(1, min_match // 2)
+    of_docs = docs.select("d", "text").mapInPandas(values("d", lambda w: winnowed(w, min_match)), "d long, v long")
+    of_items = held.select("h", "item_text").mapInPandas(values("h", lambda w: np.unique(_hashed_windows(w, length)) if len(w) >= min_match else np.zeros(0, np.uint64)), "h long, v long")
+    pairs = of_docs.join(of_items, "v").select("d", "h").distinct()
+    both = pairs.join(held, "h").join(docs, "d").select("doc_id", "text", "item_id", "item_text")
+    kinds = [both.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")]
+
+    def tiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc_id, text, item_id, item_text in batch.itertuples(index=False):
+                vocabulary: dict[str, int] = {}
+                item = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(item_text)], np.uint64)
+                doc = np.array([vocabulary.get(w, 0) for w in words_of(text)], np.uint64)
+                rows += _row(doc_id, item_id, tiles_linear(doc, item, min_match), len(item))
+            yield pd.DataFrame(rows, columns=COLUMNS)
 
-    schema = f"doc_id {kind}, item_id {item_kind}, tile_count int, longest_run int, covered_words int, item_words int"
-    return documents.mapInPandas(found, schema)
+    return both.mapInPandas(tiled, f"doc_id {kinds[0]}, item_id {kinds[1]}, {_FIGURES}")
 
 
 def find_leaks(documents: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_id: Column, item_text: Column, min_match: int = MIN_MATCH, min_coverage: float = 0.0, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -197,13 +333,11 @@ def find_leaks(documents: DataFrame, doc_id: Column, text: Column, items: DataFr
     """
     held_out = items.select(item_id.alias("i"), item_text.alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
     size = held_out.agg(F.coalesce(F.sum(F.size(F.split("t", r"\s+"))), F.lit(0)).alias("n")).first().n
-    blocks = max(1, -(-int(size) // block_words))
     docs = documents.select(doc_id.alias("doc_id"), text.alias("text")).where("text IS NOT NULL AND text <> ''")
-    kind = held_out.schema["i"].dataType.simpleString()
-    parts = []
-    for block in range(blocks):
-        # about block_words words each, so what is sent with the tasks is bounded
-        rows = held_out.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).orderBy("i", "t").collect()
-        parts.append(_leaks_of_block(docs, [(r.i, r.t) for r in rows], kind, min_match))
-    found = reduce(DataFrame.unionByName, parts).withColumn("coverage", F.col("covered_words") / F.col("item_words"))
+    if size > block_words:
+        found = _leaks_by_join(docs, held_out, min_match)
+    else:
+        rows = held_out.orderBy("i", "t").collect()
+        found = _leaks_of_block(docs, [(r.i, r.t) for r in rows], held_out.schema["i"].dataType.simpleString(), min_match)
+    found = found.withColumn("coverage", F.col("covered_words") / F.col("item_words"))
     return found.where(F.col("coverage") >= min_coverage).distinct()

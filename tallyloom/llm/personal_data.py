@@ -186,9 +186,10 @@ PHONE = re.compile(
     r"|\(0[1-9]\d{0,3}\)[ \n]?\d{3,4}[ \-\n]?\d{3,4}"
     r")(?![\w/]|[.-]\d)"
 )
-#: A bare run of digits behind a word with one of these ends counts things.
-_THINGS = tuple("concept code codes instance id ids oid row rows line lines over shard item items version error build ratio slot number key hash count total bytes ticket issue port and".split())
+#: A bare run of digits behind one of these words, or an identifier that ends with one (rowId), counts things.
+_THINGS = frozenset("concept code codes instance id ids oid row rows line lines over shard item items version error build ratio slot number key hash count total bytes ticket issue port and".split())
 _BARE = re.compile(r"\d+")
+_LAST_PART = re.compile(r"[A-Z]?[a-z]+\Z|[A-Z]+\Z")
 
 
 def _word_before(text: str, at: int, skipped: str) -> str:
@@ -203,7 +204,7 @@ def _word_before(text: str, at: int, skipped: str) -> str:
 
 def find_phones(text: str) -> Iterator[tuple[int, int, str]]:
     for m in PHONE.finditer(text):
-        if _BARE.fullmatch(m.group()) and _word_before(text, m.start(), " \t:#=").lower().endswith(_THINGS):
+        if _BARE.fullmatch(m.group()) and (part := _LAST_PART.search(_word_before(text, m.start(), " \t:#="))) and part.group().lower() in _THINGS:
             continue
         yield m.start(), m.end(), entity_key(m.group())
 

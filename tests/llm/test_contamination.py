@@ -93,3 +93,45 @@ def test_rolling_values():
     v = rolling(codes, 4)
     assert len(v) == 6 and v[1] == v[5] and len(set(v.tolist())) == 5
     assert len(rolling(codes[:3], 4)) == 0
+
+
+def test_linear_tiling_equals_tiling_from_seeds():
+    import numpy as np
+
+    from tallyloom.llm.contamination import ItemIndex, tiles, tiles_linear
+
+    draw = random.Random(9)
+    for _ in range(150):
+        words = "a b c".split()[: draw.choice([1, 2, 3])]
+        item = [draw.choice(words) for _ in range(draw.randrange(5, 40))]
+        doc = [draw.choice([*words, "zz"] if draw.random() < 0.5 else words) for _ in range(draw.randrange(5, 60))]
+        index = ItemIndex([(1, " ".join(item))], 4)
+        codes = np.array([index.vocabulary.get(w, 0) for w in doc], np.uint64)
+        at, _, place = index.seeds(*index.hits(codes))
+        assert tiles_linear(codes, index.items[0][1], 4) == tiles(codes, index.items[0][1], at, place, 4)
+
+
+def test_repeated_words_take_linear_memory(spark):
+    import time
+
+    for n in (20_000, 40_000):
+        began = time.perf_counter()
+        got = leaks(spark, [(1, "same " * n), (2, "same " * 20)], [(5, "same " * n)]).collect()
+        assert {(r.doc_id, r.covered_words) for r in got} == {(1, n), (2, 20)}
+        assert time.perf_counter() - began < 20
+
+
+def test_winnowing_keeps_every_common_run():
+    from tallyloom.llm.contamination import _hashed_windows, winnowed
+
+    draw = random.Random(3)
+    for _ in range(100):
+        shared = [f"s{draw.randrange(50)}" for _ in range(12)]
+        doc = [f"d{draw.randrange(9)}" for _ in range(draw.randrange(40))] + shared + [f"d{draw.randrange(9)}" for _ in range(draw.randrange(40))]
+        assert set(winnowed(doc, 12)) & set(_hashed_windows(shared, 6))
+
+
+def test_join_keeps_rows_without_an_id(spark):
+    for block in (10_000, 3):
+        got = leaks(spark, [(None, f"x {ITEM} y"), (2, None), (3, "")], [(1, ITEM), (1, ITEM), (None, ITEM), (4, "short")], block_words=block).collect()
+        assert [(r.doc_id, r.item_id, r.covered_words) for r in got] == [(None, 1, 16)]

@@ -180,7 +180,9 @@ def test_secret_decides(spark):
 
 
 def test_long_runs_before_a_number():
-    assert found("concept" + " " * 60 + "3245550131") == []
+    assert found("concept" + " " * 60 + "3245550131") == found("rowId: 3245550131") == found("ID=3245550131") == []
+    assert found("Orlind Kestrow 3245550131") == [("person", "orlindkestrow"), ("phone", "3245550131")]
+    assert found("Orlind Kestrow\n3245550131") == [("person", "orlindkestrow"), ("phone", "3245550131")]
     assert found("in der " + "Donau" * 12 + "straße 45")[0][1] == "donau" * 12 + "straße45"
 
 
