@@ -51,6 +51,17 @@ def hot_keys(refs: DataFrame, keys: list[str], hot_share: float) -> DataFrame:
     return counts.where(F.col("__n") > total.scalar() * hot_share).select(*keys)
 
 
+def _spread(refs: DataFrame, targets: DataFrame, keys: list[str], salts: int, hot_share: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a salt: rows of hot reference keys are spread over `salts` values, their targets copied to each."""
+    hot = hot_keys(refs, keys, hot_share).withColumn("__hot", F.lit(True))
+    spread = refs.join(F.broadcast(hot), keys, "left").withColumn(
+        SALT, F.when(F.col("__hot"), F.pmod(F.xxhash64(*[F.col(c) for c in refs.columns]), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    )
+    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copied = targets.join(F.broadcast(hot), keys, "left").select(*targets.columns, F.explode(copies).alias(SALT))
+    return spread.drop("__hot"), copied
+
+
 def anti_join_salted(refs: DataFrame, targets: DataFrame, keys: list[str], salts: int = 16, hot_share: float = 0.01) -> DataFrame:
     """refs without a target of the same (non-null) key; hot reference keys are split.
 
@@ -59,15 +70,22 @@ def anti_join_salted(refs: DataFrame, targets: DataFrame, keys: list[str], salts
     distinct = targets.select(*keys).dropna().distinct()
     if salts <= 1:
         return refs.join(distinct, keys, "left_anti").select(*refs.columns)
-    hot = hot_keys(refs, keys, hot_share).withColumn("__hot", F.lit(True))
-    spread = refs.join(F.broadcast(hot), keys, "left").withColumn(
-        SALT, F.when(F.col("__hot"), F.pmod(F.xxhash64(*[F.col(c) for c in refs.columns]), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    )
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    copied = distinct.join(F.broadcast(hot), keys, "left").select(*keys, F.explode(copies).alias(SALT))
+    spread, copied = _spread(refs, distinct, keys, salts, hot_share)
     return spread.join(copied, [*keys, SALT], "left_anti").select(*refs.columns)
 
 
+def lookup_salted(refs: DataFrame, facts: DataFrame, keys: list[str], salts: int = 16, hot_share: float = 0.01, how: str = "left") -> DataFrame:
+    """refs with the other columns of facts, which has one row per key; hot reference keys are split."""
+    rest = [c for c in facts.columns if c not in keys]
+    spread, copied = _spread(refs, facts, keys, salts, hot_share)
+    return spread.join(copied, [*keys, SALT], how).select(*refs.columns, *rest)
+
+
+def null_mask(keys: list[str]) -> Column:
+    """The key columns that are null, by name, '' for none: how a reference is grouped."""
+    return F.concat_ws(" ", *[F.when(F.col(k).isNull(), F.lit(k)) for k in keys])
+
+
 def find_orphans(
     refs: DataFrame,
     targets: DataFrame,
@@ -103,6 +121,7 @@ def find_orphans(
     return out
 
 
-def orphan_report(orphans: DataFrame, table: str, at: Column) -> DataFrame:
-    """(table_name, period, orphans, keys): orphan references per table and month."""
-    return orphans.groupBy(F.lit(table).alias("table_name"), F.coalesce(F.date_format(at, "yyyy-MM"), F.lit("unknown")).alias("period")).agg(F.count("*").alias("orphans"))
+def orphan_report(orphans: DataFrame, table: str, at: Column, key: Column, *kinds: str) -> DataFrame:
+    """(table_name, period, *kinds, orphans, keys): orphan references per table, month and kind, and their distinct keys."""
+    period = F.coalesce(F.date_format(at, "yyyy-MM"), F.lit("unknown")).alias("period")
+    return orphans.groupBy(F.lit(table).alias("table_name"), period, *kinds).agg(F.count("*").alias("orphans"), F.count_distinct(key).alias("keys"))

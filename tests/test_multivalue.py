@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators.multivalue import Source, bounded_names, infer_delimiters, score_delimiters, split_values
+from tallyloom.operators.multivalue import Source, infer_all, infer_delimiters, known_names, score_delimiters, split_values
 
 NAMES = ("Read; Write; Delete", 'The "Core" Set', "Provider's Index", "Search (chained, reverse)", "Data Types", "Data Types - Metadata", "Lab Order | Panel", "Coverage & Claims")
 ALL = ("newline", "tab", "semicolon", "pipe", "comma", "blank")
@@ -51,6 +51,7 @@ def test_scores_cover_all_cells(spark):
     df = spark.createDataFrame([("A, B",), ("C, D",), ("E,",), ("F",)], "cell string")
     rows = {r.delimiter: r for r in score_delimiters(df, Source("t", "cell")).collect()}
     assert rows["comma"].cells == 3
+    assert rows["blank"].consistency == 1.0
     assert abs(rows["comma"].consistency - 2 / 3) < 1e-9
     assert rows["comma"].regularity == 1.0
 
@@ -99,10 +100,33 @@ def test_values_beyond_the_bound(spark):
     assert {r.delimiter: r.cells for r in score_delimiters(df, Source("t", "cell")).collect()} == {"semicolon": 1}
 
 
-def test_names_are_bounded(spark):
-    import pytest
+def test_rare_cuts_choose_no_delimiter(spark):
+    """A slash that stands in a thousand cells but cuts one of them separates nothing."""
+    cells = [f"w{i}/" for i in range(999)] + ["a/b", "c, d", "e"]
+    df = spark.createDataFrame([(c,) for c in cells], "cell string")
+    assert "slash" not in infer_delimiters(df, Source("t", "cell"))
+    assert "comma" in infer_delimiters(df, Source("t", "cell"))
+
 
-    df = spark.range(30).select(F.col("id").cast("string").alias("n"))
-    assert len(bounded_names(df, "n")) == 30
-    with pytest.raises(ValueError):
-        bounded_names(df, "n", limit=10)
+def test_evidence_names_the_deciding_pass(spark):
+    dates = spark.createDataFrame([("2020/01/02, 2020/01/03",), ("2021/05/06",)], "cell string")
+    words = spark.createDataFrame([("a;b",), ("c",)], "cell string")
+    chosen, evidence = infer_all([(dates, Source("t", "d")), (words, Source("t", "w"))])
+    assert "comma" in chosen[0] and "slash" not in chosen[0] and chosen[1] == ("semicolon",)
+    last = {e.source.field: max(x.pass_no for x in evidence if x.source == e.source) for e in evidence}
+    assert last == {"d": 2, "w": 1}
+    assert all(not e.chosen for e in evidence if e.pass_no < last[e.source.field])
+
+
+def test_dictionaries_of_any_size(spark):
+    names = [*NAMES, *(f"Name {i}; of many" for i in range(30_000))]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert set(known_names(df.limit(3), "n")) == {"known"} and set(known_names(df, "n")) == {"names"}
+    cells = ["Read; Write; Delete, Data Types - Metadata; Data Types", r"Read\; Write\; Delete|Lab Order \| Panel", "Name 29999; of many;x, name 7;  OF many", "'Provider's Index';Provider's Index", "q;r", None, "", "q;r"]
+    rows = spark.createDataFrame(list(enumerate(cells)), "id int, cell string")
+    both = []
+    for source in (Source("t", "cell", **known_names(df, "n")), Source("t", "cell", (*NAMES, "Name 29999; of many", "Name 7; of many"))):
+        assert infer_delimiters(rows.select("cell").where("cell <> ''"), source) == infer_delimiters(rows.select("cell").where("cell <> ''"), Source("t", "cell", (*NAMES, "Name 29999; of many", "Name 7; of many")))
+        both.append(sorted((r.row_id, r.item_no, r.item_text) for r in split_values(rows, source, F.col("id"), F.col("cell"), ALL).collect()))
+    assert both[0] == both[1]
+    assert [t for i, _, t in both[0] if i == 2] == ["Name 29999; of many", "x", "name 7;  OF many"]

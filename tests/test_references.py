@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators.references import find_orphans, null_masks, orphan_report
+from tallyloom.operators.references import find_orphans, lookup_salted, null_mask, null_masks, orphan_report
 from tallyloom.plans.data_quality import dangling_references, issue_references, plain_keys
 
 SCHEMA = "id int, a string, b int, extra string"
@@ -62,7 +62,7 @@ def test_plain_keys(spark):
 
 def test_report(spark):
     df = spark.createDataFrame([(1, "2020-01-05"), (2, "2020-01-09"), (3, None)], "id int, d string").withColumn("d", F.col("d").cast("date"))
-    got = {(r.period, r.orphans) for r in orphan_report(df, "t", F.col("d")).collect()}
+    got = {(r.period, r.orphans) for r in orphan_report(df, "t", F.col("d"), F.col("id")).collect()}
     assert got == {("2020-01", 2), ("unknown", 1)}
 
 
@@ -76,3 +76,16 @@ def test_long_numbers_and_masks_in_the_query(spark, tmp_path):
     got = {(r.issue_id, r.ref_key, r.orphan_kind) for r in dangling_references(spark, str(tmp_path)).collect()}
     assert got == {(1, "A-7", "later"), (1, "B-" + "1" * 30, "deleted")}
     assert len(null_masks(issue_references(spark, str(tmp_path)), ["ref_project", "ref_number"])) == 4
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_salted_lookup_equals_a_join(spark, how):
+    refs = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 7}") for i in range(300)] + [(900, None)], "id int, k string")
+    facts = spark.createDataFrame([("hot", 1), ("k0", 2), ("k2", 3)], "k string, v int")
+    rows = lambda df: sorted(map(tuple, df.select("id", "k", "v").collect()), key=repr)
+    assert rows(lookup_salted(refs, facts, ["k"], 4, how=how)) == rows(refs.join(facts, ["k"], how))
+
+
+def test_null_mask(spark):
+    df = spark.createDataFrame([("x", None), (None, None), ("x", 1)], "a string, b int").select(null_mask(["a", "b"]).alias("m"))
+    assert [r.m for r in df.collect()] == ["b", "a b", ""]
