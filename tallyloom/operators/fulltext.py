@@ -3,12 +3,20 @@
 Query grammar: terms, "phrases", prefix*, field:term, AND, OR, NOT and
 brackets; terms side by side are joined by AND; NOT binds closest, then AND,
 then OR. Terms are runs of letters and digits in lower case.
+
+A query is evaluated field by field: a record matches if one of its fields alone
+fulfils the whole expression, and a field without text never does. A term of
+another field is false there.
+
+The index is two tables, to be written once (`FullTextIndex`): the postings in
+the order of their terms, so a search reads those of its own terms, and the
+lengths of every record's fields.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -38,6 +46,11 @@ class Node:
 _LEX = re.compile(r'\s*(?:(?P<open>\()|(?P<close>\))|(?:(?P<field>[A-Za-z_]\w*)\s*:\s*)?(?:"(?P<phrase>[^"]*)"(?P<star2>\*?)|(?P<word>[^\s()"*:]+)(?P<star>\*?)))')
 
 
+def words_of(text: str) -> tuple[str, ...]:
+    """The terms of a piece of text in order."""
+    return tuple(re.findall(r"[^\W_]+", text.lower()))
+
+
 def parse(query: str) -> Term | Node:
     lexed, at = [], 0
     while at < len(query.rstrip()):
@@ -50,7 +63,7 @@ def parse(query: str) -> Term | Node:
         elif m["word"] in ("AND", "OR", "NOT") and not m["field"]:
             lexed.append(m["word"])
         else:
-            words = tuple(re.findall(r"[^\W_]+", (m["phrase"] if m["phrase"] is not None else m["word"]).lower()))
+            words = words_of(m["phrase"] if m["phrase"] is not None else m["word"])
             if not words:
                 raise QueryError("a term without a letter or digit")
             lexed.append(Term(words, bool(m["star"] or m["star2"]), m["field"]))
@@ -101,82 +114,128 @@ def terms_of(node: Term | Node) -> list[Term]:
     return [node] if isinstance(node, Term) else [t for p in node.parts for t in terms_of(p)]
 
 
-def build_index(docs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """(doc_id, field, term, tf, positions), tags stripped; texts without a term have no rows."""
-    each = docs.select(F.col(key).alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.regexp_replace(F.col(f), "<.*?>", " ")).alias("text")) for f in fields])).alias("x"))
-    words = each.select("doc_id", "x.field", F.posexplode(F.regexp_extract_all("x.text", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("at", "term"))
-    return words.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
+@dataclass(frozen=True)
+class FullTextIndex:
+    """postings: (doc_id, field, term, tf, positions); lengths: (doc_id, one column per field with its number of terms)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    fields: tuple[str, ...]
+
+
+def _terms(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.regexp_replace(text, "<.*?>", " ")), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+
+
+def postings(docs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(doc_id, field, term, tf, positions) in the order of the terms; tags are stripped, texts without a term have no rows."""
+    each = docs.select(F.col(key).alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), _terms(F.col(f)).alias("terms")) for f in fields])).alias("x"))
+    words = each.select("doc_id", "x.field", F.posexplode("x.terms").alias("at", "term"))
+    found = words.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
+    return found.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+
+
+def lengths(docs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(doc_id, ...): the number of terms in each field of every record, 0 for none."""
+    return docs.select(F.col(key).alias("doc_id"), *[F.coalesce(F.size(_terms(F.col(f))), F.lit(0)).alias(f) for f in fields])
+
+
+def build_index(docs: DataFrame, key: str, fields: Sequence[str]) -> FullTextIndex:
+    """The index of a frame, not written anywhere."""
+    return FullTextIndex(postings(docs, key, fields), lengths(docs, key, fields), tuple(fields))
 
 
 def _term_condition(t: Term) -> Column:
     last = t.words[-1]
-    cond = reduce(lambda a, b: a | b, [F.col("term") == w for w in t.words[:-1]] + [F.startswith("term", F.lit(last)) if t.prefix else F.col("term") == last])
+    cond = F.startswith("term", F.lit(last)) if t.prefix else F.col("term") == last
+    if len(t.words) > 1:
+        cond = F.col("term").isin(*t.words[:-1]) | cond
     return cond & (F.col("field") == t.field) if t.field else cond
 
 
-def matches(index: DataFrame, query: Term | Node, every: DataFrame) -> DataFrame:
-    """(doc_id) of the records that match; `every` has all doc_id (for NOT).
+def _any_term(terms: Sequence[Term]) -> Column:
+    """Whether a posting is one of some terms; single words as one list, which the files can be searched by."""
+    plain = [t.words[0] for t in terms if len(t.words) == 1 and not t.prefix and not t.field]
+    conds = [_term_condition(t) for t in terms if len(t.words) > 1 or t.prefix or t.field]
+    return reduce(lambda a, b: a | b, [*([F.col("term").isin(*plain)] if plain else []), *conds], F.lit(False))
+
+
+def _truth(node: Term | Node, of: Callable[[Term], bool]) -> bool:
+    if isinstance(node, Term):
+        return of(node)
+    parts = [_truth(p, of) for p in node.parts]
+    return not parts[0] if node.kind == "not" else all(parts) if node.kind == "and" else any(parts)
 
-    One pass over the index rows of the query's words: per record and field the
-    positions of each term are gathered, phrases checked there, and the boolean
-    expression evaluated once per record.
+
+def matches(index: FullTextIndex, query: Term | Node, fields: Sequence[str] | None = None) -> DataFrame:
+    """(doc_id) of the records that match in one of the fields (all by default).
+
+    One pass over the postings of the query's terms. Only a query that holds
+    where none of its terms stands (a bare NOT) looks at the other records.
     """
+    fields = tuple(fields or index.fields)
     terms = terms_of(query)
-    hits = index.where(reduce(lambda a, b: a | b, [_term_condition(t) for t in terms]))
+    hits = index.postings.where(F.col("field").isin(*fields) & _any_term(terms))
     columns = []
     for i, t in enumerate(terms):
+        at_home = (F.col("field") == t.field) if t.field else F.lit(True)
         for j, word in enumerate(t.words):
-            is_last_prefix = t.prefix and j == len(t.words) - 1
-            cond = F.startswith("term", F.lit(word)) if is_last_prefix else F.col("term") == word
-            if t.field:
-                cond = cond & (F.col("field") == t.field)
-            columns.append(F.flatten(F.collect_list(F.when(cond, F.col("positions")))).alias(f"p{i}_{j}"))
+            cond = at_home & (F.startswith("term", F.lit(word)) if t.prefix and j == len(t.words) - 1 else F.col("term") == word)
+            # places matter in phrases only
+            columns.append((F.flatten(F.collect_list(F.when(cond, F.col("positions")))) if len(t.words) > 1 else F.bool_or(cond)).alias(f"p{i}_{j}"))
     per_field = hits.groupBy("doc_id", "field").agg(*columns)
-    flags = []
-    for i, t in enumerate(terms):
-        begins = F.col(f"p{i}_0")
-        for j in range(1, len(t.words)):
-            begins = F.array_intersect(begins, _shifted(f"p{i}_{j}", j))
-        flags.append(F.max(F.size(begins) > 0).alias(f"t{i}"))
-    per_doc = every.join(per_field.groupBy("doc_id").agg(*flags), "doc_id", "left")
+    if _truth(query, lambda t: False):
+        with_text = index.lengths.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("n")) for f in fields])).alias("x")).where("x.n > 0").select("doc_id", "x.field")
+        per_field = with_text.join(per_field, ["doc_id", "field"], "left")
     numbers = {id(t): i for i, t in enumerate(terms)}
 
     def condition(node: Term | Node) -> Column:
         if isinstance(node, Term):
-            return F.coalesce(F.col(f"t{numbers[id(node)]}"), F.lit(False))
+            i = numbers[id(node)]
+            begins = F.col(f"p{i}_0")
+            if len(node.words) == 1:
+                return F.coalesce(begins, F.lit(False))
+            for j in range(1, len(node.words)):
+                begins = F.array_intersect(begins, _shifted(f"p{i}_{j}", j))
+            return F.coalesce(F.size(begins) > 0, F.lit(False))
         parts = [condition(p) for p in node.parts]
         if node.kind == "not":
             return ~parts[0]
         return reduce((lambda a, b: a & b) if node.kind == "and" else (lambda a, b: a | b), parts)
 
-    return per_doc.where(condition(query)).select("doc_id")
+    return per_field.where(condition(query)).select("doc_id").distinct()
 
 
 def _shifted(column: str, by: int) -> Column:
     return F.transform(F.col(column), lambda x: x - by)
 
 
-def search(docs: DataFrame, key: str, fields: Sequence[str], query: str, limit: int = 20) -> DataFrame:
-    """The best matches: all columns of docs plus `score` and `rank`, best first, ties by key.
+def ranked(index: FullTextIndex, query: Term | Node, fields: Sequence[str] | None = None, limit: int = 20, but: Column | None = None) -> DataFrame:
+    """(doc_id, score, rank) of the best matches, best first, ties by id; `but`: doc_ids to leave out.
 
     The score is BM25 over the query's positive words with an IDF that is never
     negative.
     """
-    parsed = parse(query)
-    index = build_index(docs, key, fields)
-    ids = docs.select(F.col(key).alias("doc_id"))
-    found = matches(index, parsed, ids)
-    total = ids.agg(F.count("*").alias("n")).scalar()
-    lengths = index.groupBy("doc_id").agg(F.sum("tf").alias("length"))
-    average = lengths.agg(F.avg("length").alias("a")).scalar()
-    positive = _positive(parsed)
-    per = index.where(reduce(lambda a, b: a | b, [_term_condition(t) for t in positive], F.lit(False))).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+    fields = tuple(fields or index.fields)
+    found = matches(index, query, fields)
+    if but is not None:
+        found = found.where(F.col("doc_id") != but)
+    sizes = index.lengths.select("doc_id", sum((F.col(f) for f in fields[1:]), F.col(fields[0])).alias("length"))
+    totals = sizes.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("average")).alias("s"))
+    total, average = totals.select("s.n").scalar(), totals.select("s.average").scalar()
+    per = index.postings.where(F.col("field").isin(*fields) & _any_term(_positive(query))).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
     df = per.groupBy("term").agg(F.count("*").alias("df"))
-    scored = per.join(df, "term").join(lengths, "doc_id").join(found, "doc_id", "left_semi")
+    scored = per.join(df, "term").join(found, "doc_id", "left_semi").join(sizes, "doc_id")
     weight = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
     points = F.sum(weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / average)))
-    ranked = found.join(scored.groupBy("doc_id").agg(F.round(points, 6).alias("score")), "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    best = ranked.orderBy(F.col("score").desc(), "doc_id").limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "doc_id")))
+    every = found.join(scored.groupBy("doc_id").agg(F.round(points, 6).alias("score")), "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    best = every.orderBy(F.col("score").desc(), "doc_id").limit(limit)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "doc_id")))
+
+
+def search(docs: DataFrame, key: str, fields: Sequence[str], query: str, limit: int = 20, index: FullTextIndex | None = None) -> DataFrame:
+    """The best matches: all columns of docs plus `score` and `rank`; without an index the frame is indexed first."""
+    best = ranked(index or build_index(docs, key, fields), parse(query), fields, limit)
     return docs.join(best.withColumnRenamed("doc_id", key), key)
 
 

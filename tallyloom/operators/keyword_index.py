@@ -7,8 +7,8 @@ per occurrence.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,16 +21,6 @@ K1, B = 1.2, 0.75
 FIELDS = ("title", "description", "summary", "resolution_description")
 
 
-@dataclass(frozen=True)
-class Dictionaries:
-    """One-column frames `word` (stop words, paths, operations) and `word, lemma`."""
-
-    stop_words: DataFrame
-    paths: DataFrame
-    operations: DataFrame
-    lemmas: DataFrame
-
-
 def clean_words(df: DataFrame, column: Column) -> DataFrame:
     """Distinct sanitised words of a dictionary column; those without a letter are dropped."""
     return df.select(T.sanitize(column).alias("word")).where(F.col("word").rlike(r"[\p{Lu}\p{Lt}\p{Ll}]")).distinct()
@@ -47,6 +37,18 @@ def first_lemmas(rows: DataFrame) -> DataFrame:
     return clean.groupBy("word").agg(F.min_by("lemma", F.struct("place", "lemma")).alias("lemma"))
 
 
+def dictionary(stop_words: DataFrame, paths: DataFrame, operations: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """(word, is_stop, is_path, is_operation, lemma): all dictionaries as one table, a row per word.
+
+    stop_words, paths and operations have the column `word`, lemmas `word` and `lemma`.
+    """
+    none = F.lit(None).cast("string").alias("lemma")
+    parts = [(stop_words, "stop", none), (paths, "path", none), (operations, "operation", none), (lemmas, "lemma", F.col("lemma"))]
+    every = reduce(DataFrame.unionByName, [df.select("word", F.lit(kind).alias("kind"), lemma) for df, kind, lemma in parts])
+    flags = [F.bool_or(F.col("kind") == kind).alias(f"is_{kind}") for kind in ("stop", "path", "operation")]
+    return every.groupBy("word").agg(*flags, F.min("lemma").alias("lemma")).repartitionByRange("word").sortWithinPartitions("word")
+
+
 def texts_of(issues: DataFrame, comments: DataFrame) -> DataFrame:
     """(issue_id, field, part, text) of every text of a record, in field order."""
     fields = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col(c).alias("text")) for i, c in enumerate(FIELDS)])).alias("x")
@@ -82,18 +84,13 @@ def forms(tokens: DataFrame) -> DataFrame:
     return shaped.where((F.length("word") >= MIN_LENGTH) & F.col("word").rlike(r"[^\p{Nd}]"))
 
 
-def classify(found: DataFrame, words: Dictionaries) -> DataFrame:
-    """forms plus `keyword`, `type_code` (index into TYPES) and `by_lemma`.
+def classify(found: DataFrame, words: DataFrame) -> DataFrame:
+    """forms plus `keyword`, `type_code` (index into TYPES) and `by_lemma`; words: a `dictionary`.
 
     In this order: stop word; path (unless it is a lemma written in lower case);
     operation (behind a '$'); lemma; plain word.
     """
-    flagged = (
-        found.join(words.stop_words.select("word", F.lit(True).alias("is_stop")), "word", "left")
-        .join(words.paths.select("word", F.lit(True).alias("is_path")), "word", "left")
-        .join(words.operations.select("word", F.lit(True).alias("is_operation")), "word", "left")
-        .join(words.lemmas.select("word", "lemma"), "word", "left")
-    )
+    flagged = found.join(words, "word", "left")
     code = F.when(F.col("is_stop"), 1).when(F.col("is_path") & (F.col("lemma").isNull() | F.col("upper")), 2).when(F.col("is_operation") & F.col("dollar"), 3).otherwise(0)
     out = flagged.withColumn("type_code", code)
     by_lemma = (F.col("type_code") == 0) & F.col("lemma").isNotNull()
@@ -173,15 +170,18 @@ def build_index(tf: DataFrame, total: DataFrame, stats: DataFrame, k1: float = K
     return scored.select("issue_id", "keyword", "keyword_type", "tf", F.coalesce(bm25(F.col("tf"), F.col("idf"), F.col("total_words"), average, k1, b), F.lit(0.0)).alias("score"))
 
 
-def query_keywords(spark: SparkSession, query: str, words: Dictionaries) -> DataFrame:
-    """(keyword), the distinct keywords a query asks for, classed like the texts."""
+def query_keywords(spark: SparkSession, query: str, words: DataFrame) -> list[str]:
+    """The distinct keywords a query asks for, classed like the texts; no more than it has words."""
     one = spark.range(1).select(F.lit(0).alias("issue_id"), F.lit(0).alias("field"), F.lit(0).alias("part"), F.lit(query).alias("text"))
-    return term_frequency(classify(forms(tokenize(one)), words)).select("keyword").distinct()
+    return sorted(r.keyword for r in term_frequency(classify(forms(tokenize(one)), words)).select("keyword").distinct().collect())
 
 
-def search(index: DataFrame, wanted: DataFrame, k: int = 20) -> DataFrame:
-    """(issue_id, score, matched, rank): records by their summed positive scores, ties by id."""
-    hits = index.where("score > 0").join(wanted, "keyword", "left_semi")
+def search(index: DataFrame, wanted: Sequence[str], k: int = 20) -> DataFrame:
+    """(issue_id, score, matched, rank): records by their summed positive scores, ties by id.
+
+    Reads of the index what belongs to the wanted keywords only.
+    """
+    hits = index.where(F.col("keyword").isin(*wanted) & (F.col("score") > 0)) if wanted else index.limit(0)
     best = hits.groupBy("issue_id").agg(F.round(F.sum("score"), 6).alias("score"), F.array_join(F.array_sort(F.collect_set("keyword")), " ").alias("matched"))
     top = best.orderBy(F.col("score").desc(), "issue_id").limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "issue_id")))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators import filters
+from tallyloom.operators import filters, fulltext, related
 
 MAX_LIST, MAX_RELATED = 1000, 100
 DEFAULT_RELATED, DEFAULT_SEARCH = 10, 20
@@ -98,24 +98,20 @@ def list_work_groups(issues: DataFrame) -> DataFrame:
     return filters.distinct_sorted(issues, "work_group")
 
 
-def search_issues_by_keywords(issues: DataFrame, keywords: str, search_fields: Sequence[str] | None = None, limit: int | None = DEFAULT_SEARCH) -> DataFrame:
-    from tallyloom.operators.fulltext import search
-
+def search_issues_by_keywords(issues: DataFrame, keywords: str, search_fields: Sequence[str] | None = None, limit: int | None = DEFAULT_SEARCH, index: fulltext.FullTextIndex | None = None) -> DataFrame:
+    """The best matches of a full-text query; each field is searched for itself. With a stored index nothing is tokenised."""
     query = required("keywords", keywords)
     fields = list(search_fields or SEARCH_FIELDS)
     bad = [f for f in fields if f not in SEARCH_FIELDS]
     if bad:
         raise ToolError(f"unknown search field {bad[0]}")
-    return search(issues, "id", fields, query, bounded("limit", limit, MAX_LIST) or DEFAULT_SEARCH)
-
+    return fulltext.search(issues, "id", fields, query, bounded("limit", limit, MAX_LIST) or DEFAULT_SEARCH, index)
 
-def list_related_issues(issues: DataFrame, index: DataFrame, issue_key: str, limit: int | None = DEFAULT_RELATED) -> DataFrame:
-    from tallyloom.operators.related import related_union
 
-    return related_union(issues, index, required("issue_key", issue_key), bounded("limit", limit, MAX_RELATED) or DEFAULT_RELATED)
+def list_related_issues(issues: DataFrame, index: DataFrame, issue_key: str, limit: int | None = DEFAULT_RELATED, texts: fulltext.FullTextIndex | None = None) -> DataFrame:
+    key, limit = required("issue_key", issue_key), bounded("limit", limit, MAX_RELATED) or DEFAULT_RELATED
+    return related.list_related(issues, index, texts or fulltext.build_index(issues, "id", SEARCH_FIELDS), key, limit)
 
 
 def find_related_issues(issues: DataFrame, index: DataFrame, issue_key: str, limit: int | None = DEFAULT_RELATED) -> DataFrame:
-    from tallyloom.operators.related import find_related
-
-    return find_related(issues, index, required("issue_key", issue_key), bounded("limit", limit, MAX_RELATED) or DEFAULT_RELATED)
+    return related.find_related(issues, index, required("issue_key", issue_key), bounded("limit", limit, MAX_RELATED) or DEFAULT_RELATED)

@@ -16,12 +16,12 @@ from tallyloom.operators import metadata, page_words, related, summaries
 from tallyloom.plans import tables
 from tallyloom.plans.registry import Registry
 from tallyloom.plans.tables import COMMENTS_SQL, ISSUES_SQL, KEYWORDS_SQL
+from tallyloom.plans.text_index import FTS_SQL, full_text, ranked_sql
 from tallyloom.session import table
 
 registry = Registry()
 add = registry.add
 
-KEY = "FHX-1563"
 CSV = "list_filter(list_transform(string_split(%s, ','), lambda x: trim(x)), lambda x: x <> '')"
 
 
@@ -30,46 +30,76 @@ def linked_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return related.linked(tables.issues(spark, sf_dir, "issue_key", "related_issues"))
 
 
-_FIELD = f"(coalesce(trim(s.%s), '') = '' OR EXISTS (SELECT 1 FROM (SELECT unnest({CSV % 's.%s'}) AS t) x WHERE contains(lower(i.%s), lower(%s))))"
+#: The record whose relations are asked for: of those with a linked record the one with most keywords that count.
+_SOURCE = f"""(SELECT * FROM {ISSUES_SQL} WHERE id = (SELECT issue_id FROM {KEYWORDS_SQL} WHERE bm25_score > 0 AND NOT isnan(bm25_score)
+  AND issue_id IN (SELECT e.id FROM (SELECT id, unnest({CSV % 'related_issues'}) AS k FROM {ISSUES_SQL}) e WHERE e.k IN (SELECT issue_key FROM issues)) GROUP BY issue_id ORDER BY count(*) DESC, issue_id LIMIT 1))"""
+#: The record whose field relations are asked for: of the largest project and work group the one with the shortest cell of artifacts and nothing else to relate.
+_FIELD_SOURCE = f"""(SELECT * FROM {ISSUES_SQL} WHERE trim(related_artifacts, ' ') <> '' AND coalesce(trim(related_pages, ' '), '') = '' AND coalesce(trim(related_url, ' '), '') = ''
+  AND (project_key, work_group) = (SELECT (project_key, work_group) FROM {ISSUES_SQL} WHERE trim(related_artifacts, ' ') <> '' AND work_group IS NOT NULL GROUP BY project_key, work_group ORDER BY count(*) DESC, project_key, work_group LIMIT 1)
+  ORDER BY length(trim(related_artifacts, ' ')), id LIMIT 1)"""
+
+
+def source_key(spark: SparkSession, sf_dir: str) -> str:
+    """The key of the first record; '' if there is none."""
+    issues = tables.issues(spark, sf_dir, "issue_key", "related_issues")
+    linked = related.linked(issues).select("id").distinct()
+    counting = tables.keywords(spark, sf_dir).where((F.col("bm25_score") > 0) & ~F.isnan("bm25_score")).groupBy(F.col("issue_id").alias("id")).agg(F.count("*").alias("n"))
+    best = counting.join(linked, "id", "left_semi").join(issues.select("id", "issue_key"), "id").orderBy(F.col("n").desc(), "id").first()
+    return best.issue_key if best else ""
+
+
+def field_source(spark: SparkSession, sf_dir: str) -> dict | None:
+    """The second record."""
+    able = tables.issues(spark, sf_dir, "issue_key", "project_key", "work_group", *related.RELATED_FIELDS).where("trim(related_artifacts) <> ''")
+    group = able.where("work_group IS NOT NULL").groupBy("project_key", "work_group").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "project_key", "work_group").first()
+    if not group:
+        return None
+    of_group = able.where((F.col("project_key") == group.project_key) & (F.col("work_group") == group.work_group) & (F.coalesce(F.trim("related_pages"), F.lit("")) == "") & (F.coalesce(F.trim("related_url"), F.lit("")) == ""))
+    best = of_group.orderBy(F.length(F.trim("related_artifacts")), "id").first()
+    return best.asDict() if best else None
+
+
+_FIELD = f"(coalesce(trim(s.%s, ' '), '') = '' OR EXISTS (SELECT 1 FROM (SELECT unnest({CSV % 's.%s'}) AS t) x WHERE lower(i.%s) LIKE '%%' || lower(%s) || '%%'))"
 _STEM = "CASE WHEN regexp_matches(x.t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN regexp_replace(regexp_extract(regexp_extract(x.t, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '([^/]*)/?$', 1), '\\.[^.]*$', '') ELSE x.t END"
 _CONDS = " AND ".join(_FIELD % (f, f, f, _STEM if f == "related_url" else "x.t") for f in related.RELATED_FIELDS)
 _BY_FIELD = f"""(SELECT issue_key, CAST(row_number() OVER (ORDER BY id DESC) AS INTEGER) AS place FROM (
-  SELECT i.id, i.issue_key FROM {ISSUES_SQL} i, (SELECT * FROM {ISSUES_SQL} WHERE issue_key = '{KEY}') s
-  WHERE i.project_key = s.project_key AND i.work_group IS NOT DISTINCT FROM s.work_group AND i.issue_key <> s.issue_key
-    AND coalesce(trim(s.related_artifacts), '') || coalesce(trim(s.related_pages), '') || coalesce(trim(s.related_url), '') <> '' AND {_CONDS}
+  SELECT i.id, i.issue_key FROM {ISSUES_SQL} i, %s s
+  WHERE i.project_key = s.project_key AND i.work_group = s.work_group AND i.issue_key <> s.issue_key
+    AND coalesce(trim(s.related_artifacts, ' '), '') || coalesce(trim(s.related_pages, ' '), '') || coalesce(trim(s.related_url, ' '), '') <> '' AND {_CONDS.replace("%", "%%")}
   ORDER BY i.id DESC LIMIT 10))"""
 
 
-@add("related_by_field", f"SELECT * FROM {_BY_FIELD}")
+@add("related_by_field", f"SELECT * FROM {_BY_FIELD % _FIELD_SOURCE}")
 def related_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    issues = tables.issues(spark, sf_dir)
-    row = issues.where(F.col("issue_key") == KEY).select("issue_key", "project_key", "work_group", *related.RELATED_FIELDS).limit(1).collect()
-    if not row:
-        return issues.select("issue_key", F.lit(0).alias("place")).limit(0)
-    return related.related_by_field(issues, row[0].asDict())
+    issues, row = tables.issues(spark, sf_dir), field_source(spark, sf_dir)
+    return related.related_by_field(issues, row) if row else issues.select("issue_key", F.lit(0).alias("place")).limit(0)
 
 
-_BY_WORD = f"""(SELECT * FROM (SELECT issue_id, round(sum(bm25_score), 6) AS score, array_to_string(list_sort(list(DISTINCT keyword)), ' ') AS matched FROM {KEYWORDS_SQL}
-  WHERE bm25_score > 0 AND NOT isnan(bm25_score) AND issue_id <> (SELECT min(id) FROM issues WHERE issue_key = '{KEY}') AND keyword IN (
-    SELECT keyword FROM {KEYWORDS_SQL} WHERE bm25_score > 0 AND NOT isnan(bm25_score) AND issue_id = (SELECT min(id) FROM issues WHERE issue_key = '{KEY}') GROUP BY keyword ORDER BY max(bm25_score) DESC, keyword LIMIT 5)
-  GROUP BY issue_id ORDER BY 2 DESC, 1 LIMIT 10) QUALIFY score >= max(score) OVER () - {related.NEAR})"""
+_BEST = f"SELECT keyword, max(bm25_score) AS s FROM {KEYWORDS_SQL} WHERE NOT isnan(bm25_score) AND issue_id = (SELECT id FROM {_SOURCE}) %s GROUP BY keyword ORDER BY s DESC, keyword LIMIT %d"
+_BY_WORD = f"""(SELECT issue_id, round(sum(bm25_score), 6) AS score FROM {KEYWORDS_SQL}
+  WHERE bm25_score > 0 AND NOT isnan(bm25_score) AND issue_id <> (SELECT id FROM {_SOURCE}) AND issue_id IN (SELECT id FROM issues)
+    AND keyword IN (SELECT keyword FROM ({_BEST % ("AND bm25_score > 0", 5)}) QUALIFY s >= max(s) OVER () - {related.NEAR})
+  GROUP BY issue_id ORDER BY 2 DESC, 1 LIMIT 10)"""
+_LINKS = f"(SELECT unnest(l) AS key, unnest(range(0, len(l))) AS place FROM (SELECT {CSV % 'related_issues'} AS l FROM {_SOURCE}))"
 
 
 @add("find_related", f"""
-SELECT 0 AS part, CAST(place AS INTEGER) AS place, CAST(NULL AS DOUBLE) AS score, k.id, k.issue_key, k.title FROM (SELECT unnest(l) AS key, unnest(range(0, len(l))) AS place FROM (SELECT {CSV % 'related_issues'} AS l FROM {ISSUES_SQL} WHERE issue_key = '{KEY}')) e JOIN {ISSUES_SQL} k ON k.issue_key = e.key
+SELECT 0 AS part, CAST(place AS INTEGER) AS place, CAST(NULL AS DOUBLE) AS score, k.id, k.issue_key, k.title FROM {_LINKS} e JOIN {ISSUES_SQL} k ON k.issue_key = e.key
 UNION ALL SELECT 1, CAST(row_number() OVER (ORDER BY score DESC, issue_id) AS INTEGER), score, i.id, i.issue_key, i.title FROM {_BY_WORD} w JOIN {ISSUES_SQL} i ON i.id = w.issue_id""")
 def find_related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return related.find_related(tables.issues(spark, sf_dir), tables.keywords(spark, sf_dir), KEY)
+    return related.find_related(tables.issues(spark, sf_dir), tables.keywords(spark, sf_dir), source_key(spark, sf_dir))
 
 
 @add("related_union", f"""
-SELECT issue_key, CAST(min(part * 1000 + place) // 1000 AS INTEGER) AS part, CAST(min(part * 1000 + place) % 1000 AS INTEGER) AS place FROM (
-  SELECT e.key AS issue_key, 0 AS part, place FROM (SELECT unnest(l) AS key, unnest(range(0, len(l))) AS place FROM (SELECT {CSV % 'related_issues'} AS l FROM {ISSUES_SQL} WHERE issue_key = '{KEY}')) e WHERE e.key IN (SELECT issue_key FROM issues)
-  UNION ALL SELECT issue_key, 1, place FROM {_BY_FIELD}
-  UNION ALL SELECT i.issue_key, 2, row_number() OVER (ORDER BY score DESC, issue_id) FROM {_BY_WORD} w JOIN {ISSUES_SQL} i ON i.id = w.issue_id
-) WHERE issue_key <> '{KEY}' GROUP BY issue_key ORDER BY part, place, issue_key LIMIT 10""")
+WITH {FTS_SQL}, words AS (SELECT regexp_extract_all(lower(keyword), '[\\p{{L}}\\p{{N}}]+') AS l FROM ({_BEST % ("", 3)})),
+hits AS (SELECT DISTINCT doc_id FROM fts, words WHERE len(words.l) > 0 AND contains(t, ' ' || array_to_string(words.l, ' ') || ' ') AND doc_id <> (SELECT id FROM {_SOURCE})),
+by_text AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM ({ranked_sql("hits", "term IN (SELECT unnest(l) FROM words)")} ORDER BY score DESC, doc_id LIMIT 10))
+SELECT key AS issue_key, 0 AS part, CAST(min(place) AS INTEGER) AS place FROM {_LINKS} WHERE key IN (SELECT issue_key FROM issues) GROUP BY key
+UNION ALL SELECT * FROM (SELECT issue_key, CAST(min(part * 1000 + place) // 1000 AS INTEGER) AS part, CAST(min(part * 1000 + place) % 1000 AS INTEGER) AS place FROM (
+  SELECT issue_key, 1 AS part, place FROM {_BY_FIELD % _SOURCE} UNION ALL SELECT i.issue_key, 2, place FROM by_text JOIN {ISSUES_SQL} i ON i.id = doc_id
+) WHERE issue_key <> (SELECT issue_key FROM {_SOURCE}) GROUP BY issue_key ORDER BY part, place, issue_key LIMIT 10)""")
 def related_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return related.related_union(tables.issues(spark, sf_dir), tables.keywords(spark, sf_dir), KEY)
+    return related.list_related(tables.issues(spark, sf_dir), tables.keywords(spark, sf_dir), full_text(spark, sf_dir), source_key(spark, sf_dir))
 
 
 # --- page review ----------------------------------------------------------

@@ -11,7 +11,7 @@ from tallyloom.operators import keyword_index as K
 from tallyloom.plans import tables
 from tallyloom.plans.registry import Registry
 from tallyloom.plans.tables import COMMENTS_SQL, ISSUES_SQL, KEYWORDS_SQL
-from tallyloom.session import materialise, table
+from tallyloom.session import stored, table
 
 registry = Registry()
 add = registry.add
@@ -72,10 +72,13 @@ def _index_sql(k1: float = K.K1, b: float = K.B) -> str:
   FROM tf LEFT JOIN corpus c ON c.keyword = tf.keyword AND c.keyword_type = tf.keyword_type JOIN per USING (issue_id), stats)"""
 
 
-def dictionaries(spark: SparkSession, sf_dir: str) -> K.Dictionaries:
+SOURCES = ("issues", "comments", "issue_keywords", "corpus_keywords")
+
+
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus, index = table(spark, sf_dir, "corpus_keywords"), table(spark, sf_dir, "issue_keywords")
     of = lambda df, kind: K.clean_words(df.where(F.col("keyword_type") == kind), F.col("keyword"))
-    return K.Dictionaries(of(index, K.STOP), of(corpus, K.PATH), of(corpus, K.OPERATION), K.lemma_frame(spark, LEMMAS))
+    return stored(spark, sf_dir, "dictionary", ["issue_keywords", "corpus_keywords"], lambda: K.dictionary(of(index, K.STOP), of(corpus, K.PATH), of(corpus, K.OPERATION), K.lemma_frame(spark, LEMMAS)))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,22 +86,36 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.classify(K.forms(K.tokenize(texts(spark, sf_dir))), dictionaries(spark, sf_dir))
+    """The classed words of all texts: what every statistic and the index are made of. Written once."""
+    return stored(spark, sf_dir, "classes", SOURCES, lambda: K.classify(K.forms(K.tokenize(texts(spark, sf_dir))), dictionary(spark, sf_dir)))
+
+
+def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "term_frequency", SOURCES, lambda: K.term_frequency(classes(spark, sf_dir)))
+
 
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "totals", SOURCES, lambda: K.totals(texts(spark, sf_dir), classes(spark, sf_dir)))
 
-def statistics_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(term frequencies, totals), which every later step reads several times.
 
-    The classed words and the totals (a row per record) are written once to the
-    checkpoint folder.
-    """
-    found = materialise(classes(spark, sf_dir))
-    return K.term_frequency(found), materialise(K.totals(texts(spark, sf_dir), found))
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyword index in the order of its keywords, so a search reads those it wants. Written once."""
 
+    def build() -> DataFrame:
+        total = totals(spark, sf_dir)
+        return K.build_index(frequencies(spark, sf_dir), total, K.doc_stats(total)).repartitionByRange("keyword", "issue_id").sortWithinPartitions("keyword", "issue_id")
 
-def index(spark: SparkSession, sf_dir: str, k1: float = K.K1, b: float = K.B) -> DataFrame:
-    tf, total = statistics_of(spark, sf_dir)
-    return K.build_index(tf, total, K.doc_stats(total), k1, b)
+    return stored(spark, sf_dir, "keyword_index", SOURCES, build)
+
+
+def full_text(spark: SparkSession, sf_dir: str) -> fulltext.FullTextIndex:
+    """The full-text index over the issues' texts. Written once."""
+    issues = tables.issues(spark, sf_dir, *K.FIELDS)
+    return fulltext.FullTextIndex(
+        stored(spark, sf_dir, "fts_postings", ["issues"], lambda: fulltext.postings(issues, "id", K.FIELDS)),
+        stored(spark, sf_dir, "fts_lengths", ["issues"], lambda: fulltext.lengths(issues, "id", K.FIELDS)),
+        K.FIELDS,
+    )
 
 
 @add("sanitize", f"SELECT DISTINCT id, {CLEAN % 'keyword'} AS clean, regexp_extract(keyword, '[{CASED}]') AS first_letter, regexp_extract(keyword, '^[^{CASED}\\p{{P}}\\p{{Sm}}\\p{{Sc}}\\p{{So}}]*([\\p{{P}}\\p{{Sm}}\\p{{Sc}}\\p{{So}}])', 1) AS prefix_symbol FROM issue_keywords")
@@ -126,33 +143,32 @@ def token_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("term_frequency", f"WITH {BASE_SQL} SELECT issue_id, keyword, keyword_type, tf FROM tf")
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.term_frequency(classes(spark, sf_dir))
+    return frequencies(spark, sf_dir)
 
 
 @add("corpus_frequency", f"WITH {BASE_SQL} SELECT keyword, keyword_type, n FROM cf")
 def corpus_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.corpus_frequency(K.term_frequency(classes(spark, sf_dir)))
+    return K.corpus_frequency(frequencies(spark, sf_dir))
 
 
 @add("document_frequency", f"WITH {BASE_SQL} SELECT keyword, keyword_type, df FROM dfs")
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.document_frequency(K.term_frequency(classes(spark, sf_dir)))
+    return K.document_frequency(frequencies(spark, sf_dir))
 
 
 @add("total_frequencies", f"WITH {BASE_SQL} SELECT * FROM per UNION ALL SELECT NULL, CAST(sum(total_words) AS BIGINT), CAST(sum(total_lemma_words) AS BIGINT), CAST(sum(total_stop_words) AS BIGINT), CAST(sum(total_paths) AS BIGINT), CAST(sum(total_operations) AS BIGINT) FROM per")
 def total_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.totals(texts(spark, sf_dir), classes(spark, sf_dir))
+    return totals(spark, sf_dir)
 
 
 @add("doc_stats", f"WITH {BASE_SQL} SELECT documents, round(average_length, 6) AS average_length FROM stats")
 def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.doc_stats(total_frequencies(spark, sf_dir)).select("documents", F.round("average_length", 6).alias("average_length"))
+    return K.doc_stats(totals(spark, sf_dir)).select("documents", F.round("average_length", 6).alias("average_length"))
 
 
 @add("idf", f"WITH {BASE_SQL} SELECT keyword, keyword_type, n, df, round(idf, 6) AS idf FROM corpus")
 def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tf, total = statistics_of(spark, sf_dir)
-    return K.corpus_idf(tf, K.doc_stats(total)).select("keyword", "keyword_type", "n", "df", F.round("idf", 6).alias("idf"))
+    return K.corpus_idf(frequencies(spark, sf_dir), K.doc_stats(totals(spark, sf_dir))).select("keyword", "keyword_type", "n", "df", F.round("idf", 6).alias("idf"))
 
 
 @add("bm25_index", f"WITH {_index_sql()} SELECT issue_id, keyword, keyword_type, tf, round(score, 6) AS score FROM idx")
@@ -163,7 +179,8 @@ def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("fix_scores", f"WITH {_index_sql(1.6, 0.5)} SELECT issue_id, keyword, round(score, 6) AS score FROM idx")
 def fix_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index scored anew with other constants."""
-    return index(spark, sf_dir, 1.6, 0.5).select("issue_id", "keyword", F.round("score", 6).alias("score"))
+    total = totals(spark, sf_dir)
+    return K.build_index(frequencies(spark, sf_dir), total, K.doc_stats(total), 1.6, 0.5).select("issue_id", "keyword", F.round("score", 6).alias("score"))
 
 
 _FOUND_SQL = f"""WITH {_index_sql()}, wanted AS (
@@ -181,7 +198,7 @@ _FOUND_SQL = f"""WITH {_index_sql()}, wanted AS (
 
 @add("bm25_search", f"{_FOUND_SQL} SELECT issue_id, score, matched, CAST(row_number() OVER (ORDER BY score DESC, issue_id) AS INTEGER) AS rank FROM hits")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.search(index(spark, sf_dir), K.query_keywords(spark, QUERY, dictionaries(spark, sf_dir)))
+    return K.search(index(spark, sf_dir), K.query_keywords(spark, QUERY, dictionary(spark, sf_dir)))
 
 
 @add("search_statistics", f"{_FOUND_SQL} SELECT count(*) AS hits, max(score) AS highest, min(score) AS lowest, round(avg(score), 6) AS mean FROM hits")
@@ -217,20 +234,50 @@ def top_keywords_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usable.withColumn("place", F.row_number().over(best)).where("place <= 3").select("issue_id", "id", "keyword", "place")
 
 
-_PADDED = "(' ' || trim(regexp_replace(lower(coalesce(%s, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ')"
+# --- full text ------------------------------------------------------------
+#: One row per record and field with text, its terms parted by single blanks.
+FTS_SQL = f"""
+fts AS MATERIALIZED (
+  SELECT doc_id, field, l, ' ' || array_to_string(l, ' ') || ' ' AS t FROM (
+    SELECT doc_id, field, regexp_extract_all(lower(regexp_replace(text, '<.*?>', ' ', 'g')), '[\\p{{L}}\\p{{N}}]+') AS l FROM (
+      {" UNION ALL ".join(f"SELECT id AS doc_id, '{f}' AS field, {f} AS text FROM {ISSUES_SQL}" for f in K.FIELDS)}
+    )) WHERE len(l) > 0
+),
+fts_terms AS (SELECT doc_id, field, unnest(l) AS term FROM fts),
+fts_sizes AS (SELECT id AS doc_id, coalesce(n, 0) AS length FROM {ISSUES_SQL} i LEFT JOIN (SELECT doc_id, sum(len(l)) AS n FROM fts GROUP BY doc_id) f ON f.doc_id = i.id),
+fts_totals AS (SELECT count(*) AS total, avg(length) AS average FROM fts_sizes)
+"""
 
 
-@add(
-    "fts_match",
-    f"SELECT id FROM (SELECT id, {_PADDED % 'title'} || '|' || {_PADDED % 'description'} AS t FROM {ISSUES_SQL}) WHERE t LIKE '% code system %' OR (t LIKE '% invariant %' AND NOT t LIKE '% circular %') OR t LIKE '% redund%'",
-)
+def ranked_sql(found: str, positive: str) -> str:
+    """(doc_id, score) of the records in the table `found`, scored by the terms that fulfil the condition `positive`."""
+    return f"""
+    SELECT f.doc_id, coalesce(round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * {fulltext.K1 + 1} / (tf + {fulltext.K1} * (1 - {fulltext.B} + {fulltext.B} * length / average))), 6), 0) AS score
+    FROM {found} f LEFT JOIN (SELECT doc_id, term, count(*) AS tf FROM fts_terms WHERE {positive} GROUP BY doc_id, term) p USING (doc_id)
+    LEFT JOIN (SELECT term, count(DISTINCT doc_id) AS df FROM fts_terms GROUP BY term) d USING (term) LEFT JOIN fts_sizes s ON s.doc_id = f.doc_id, fts_totals GROUP BY f.doc_id"""
+
+
+_MATCH = "t LIKE '% code system %' OR (t LIKE '% invariant %' AND NOT t LIKE '% circular %') OR t LIKE '% redund%'"
+
+
+@add("fts_index", f"WITH {FTS_SQL} SELECT field, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS terms, count(DISTINCT doc_id) AS records FROM (SELECT doc_id, field, term, count(*) AS tf FROM fts_terms GROUP BY doc_id, field, term) GROUP BY field")
+def fts_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full-text index is built and written; its figures by field."""
+    return full_text(spark, sf_dir).postings.groupBy("field").agg(F.count("*").alias("postings"), F.sum("tf").alias("terms"), F.count_distinct("doc_id").alias("records"))
+
+
+@add("fts_match", f"WITH {FTS_SQL} SELECT DISTINCT doc_id AS id FROM fts WHERE {_MATCH}")
 def fts_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records a boolean query with phrase, NOT and prefix matches."""
-    issues = tables.issues(spark, sf_dir, "title", "description")
-    return fulltext.matches(fulltext.build_index(issues, "id", ["title", "description"]), fulltext.parse(FTS_QUERY), issues.select(F.col("id").alias("doc_id"))).select(F.col("doc_id").alias("id"))
+    return fulltext.matches(full_text(spark, sf_dir), fulltext.parse(FTS_QUERY), K.FIELDS).select(F.col("doc_id").alias("id"))
 
 
-@add("fts_search")
+@add(
+    "fts_search",
+    f"""WITH {FTS_SQL}, found AS (SELECT DISTINCT doc_id FROM fts WHERE {_MATCH})
+    SELECT doc_id AS id, i.issue_key, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM ({ranked_sql("found", "term IN ('code', 'system', 'invariant') OR starts_with(term, 'redund')")} ORDER BY score DESC, doc_id LIMIT 20) JOIN {ISSUES_SQL} i ON i.id = doc_id""",
+)
 def fts_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 20 records of that query, best first."""
-    return fulltext.search(tables.issues(spark, sf_dir, *K.FIELDS), "id", list(K.FIELDS), FTS_QUERY, 20)
+    issues = tables.issues(spark, sf_dir, "issue_key")
+    return fulltext.search(issues, "id", K.FIELDS, FTS_QUERY, 20, full_text(spark, sf_dir)).select("id", "issue_key", "score", "rank")

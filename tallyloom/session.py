@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,6 +93,32 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def _state_of(spark: SparkSession, path: str) -> tuple:
+    """Sizes and times of the files at a path: what a table derived from them depends on."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(hadoop)))
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, sources: Sequence[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table - a cleaned table, an index - written once and read by all later queries.
+
+    It is built anew when one of its source tables has changed. Filters on what
+    is read reach its files, which `build` should leave sorted by what is
+    searched. It lies in the shared checkpoint folder as long as the application.
+    """
+    state = tuple(_state_of(spark, f"{sf_dir}/{s}.parquet") for s in sources)
+    key = (spark.sparkContext.applicationId, sf_dir, name, state)
+    if key not in _STORED:
+        for old in [k for k in _STORED if k[:3] == key[:3] or k[0] != key[0]]:
+            del _STORED[old]
+        _STORED[key] = materialise(build())
+    return _STORED[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables; columns are pruned by whatever is selected."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
