@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: elements without visible text, end mark, classes of the status table
-HIDDEN = frozenset(("script", "style", "nav", "header", "footer"))
+HIDDEN = frozenset(("head", "script", "style", "nav", "header", "footer"))
 FOOTER_MARK = "[%file newfooter%]"
 STATUS_CLASSES = {"colsd": "Draft", "colstu": "Trial Use", "colsi": "Informative", "colsn": "Normative"}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -42,6 +43,8 @@ class _Reader(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         at = dict(attrs)
+        if tag == "body" and "head" in self.open:
+            self._close("head")
         if tag in SIBLINGS and tag in self.open and "table" not in self.open[self.open.index(tag) :]:
             self._close(tag)
         if tag == "img" and at.get("src"):
@@ -82,10 +85,10 @@ class _Reader(HTMLParser):
         if "fmm" in self.cells and behind(self.cells["fmm"]).lstrip("-").isdigit():
             page.maturity = int(behind(self.cells["fmm"]))
         page.ballot = behind(self.cells["ballot"]) or None if "ballot" in self.cells else None
-        if "wg" in self.cells:
-            words = self.cells["wg"].split()
-            after = [b for a, b in zip(words, words[1:]) if a.lower().strip(":") in ("wg", "wgt")]
-            page.work_group = (after[0] if after else " ".join(words)) or None
+        # 'Work Group[%wg orders%]': what stands behind the first 'wg' or 'wgt'
+        words = [w for w in re.split(r"[\s\[\]%]+", self.cells.get("wg", "")) if w]
+        at = next((i for i, w in enumerate(words) if w.lower() in ("wg", "wgt")), len(words))
+        page.work_group = words[at + 1] if at + 1 < len(words) else None
         return page
 
 

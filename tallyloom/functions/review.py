@@ -11,21 +11,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyloom.functions import text as T
+
 # fixed values: conformance words, markers of unfinished text, notes to readers
 CONFORMANCE = ("SHALL", "SHOULD", "MAY")
 INCOMPLETE = (r"to-do", r"todo", r"to\s+do", r"will\s+consider", r"\.\.\.", r"future\s+versions")
-READER_NOTES = (r"stu-note", r"stu\s+note", r"implementation\s+note", r"implementer\s+note", r"note\s+to\s+implementers", r"feedback", r"dragon", r"balloters", r"voters")
+READER_NOTES = (
+    r"\[%stu-note%\]", r"stu-note", r"stu\s+note",
+    r"\[%impl-note%\]", r"implementation\s+note", r"implementer\s+note", r"note\s+to\s+implementers",
+    r"\[%feedback-note%\]", r"feedback",
+    r"\[%dragons-start%\]", r"dragon",
+    r"balloters", r"voters",
+)
 TRIAL_USE = r"""(?i)(>\s*Trial\s+Use\s*<|class\s*=\s*['"]stu['"])"""
-# fixed values: patterns of tokens that page review doesn't look at
+#: The host of code systems; tokens that link to them aren't looked at, with or without a scheme.
+TERMINOLOGY_HOST = "terminology.example.org"
+# fixed values: patterns of tokens that page review doesn't look at; each is searched anywhere in the token
 SKIPPED = {
     "url": r"(?i)(http|https|ftp|sftp)://[^\s/$.?#].[^\s]*",
     "base_path": r"(?i)\[base\]/[^\s]*",
-    "type_path": r"(?i)\[type\]/[^\s]*",
-    "mail": r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}",
-    "urn": r"(?i)urn:[a-z0-9][a-z0-9-]{1,31}:[^\s]+",
-    "schema_type": r"(?i)xsd?:[a-z0-9._%+-]+",
+    "type_path": r"(?i)\[type\]/(\[type\]/?)?[^\s]*",
+    "mail": r"(?i)[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
+    "urn": r"(?i)urn:[a-zA-Z0-9][a-zA-Z0-9-]{1,31}:[^\s]+",
+    "schema_type": r"(?i)xs[d]?:[a-zA-Z0-9._%+-]+(/[a-zA-Z0-9._%+-]+)?",
+    "shape": r"(?i)fhir:[a-zA-Z0-9._%+-]+(/[a-zA-Z0-9._%+-]+)?",
+    "code_system": r"(?i)(http://|https://)?" + TERMINOLOGY_HOST.replace(".", r"\.") + r"(/CodeSystem[^\s]*|/temporary/CodeSystem[^\s]*)",
     "file": r"(?i)[^\s]+\.(png|jpg|jpeg|gif|svg|htm|html|diagram|xsd|json|xml|sch|zip|shex|ttl)",
-    "date_time": r"[0-9]{4}-[0-9]{2}(-[0-9]{2}(T[0-9]{2}:[0-9]{2})?)?",
+    # a date-time: all behind its year may be missing, so any year from 0001 to 9999 makes one
+    "date_time": r"[0-9][0-9][0-9][1-9]|[0-9][0-9][1-9]0|[0-9][1-9]00|[1-9]000",
 }
 
 
@@ -49,7 +62,7 @@ def conformance_columns(text: Column, words: Sequence[str] = CONFORMANCE) -> dic
 
 def markers(text: Column, patterns: Sequence[str]) -> Column:
     """The markers found, each once whatever its case, sorted; the first spelling stays."""
-    found = F.regexp_extract_all(text, F.lit(r"(?i)(?<!\w)(" + "|".join(patterns) + r")(?!\w)"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(r"(?i)\b(" + "|".join(patterns) + r")\b"), F.lit(1))
     firsts = F.filter(found, lambda x, i: F.array_position(F.transform(found, F.lower), F.lower(x)) == i + 1)
     return F.array_sort(firsts, lambda a, b: F.when(F.lower(a) < F.lower(b), -1).when(F.lower(a) > F.lower(b), 1).otherwise(0))
 
@@ -64,8 +77,15 @@ def trial_use_count(html: Column) -> Column:
 
 
 def skip_reason(token: Column) -> Column:
-    """The first pattern that makes review skip the token; null if none does."""
+    """The first rule that makes review skip the token; null if none does.
+
+    Only tokens with one of a few characters can match a pattern; the others
+    meet no regular expression but that one.
+    """
     out = F.when(F.lit(False), "")
     for name, pattern in SKIPPED.items():
         out = out.when(token.rlike(pattern), name)
-    return out.when(token.startswith("[%") | token.endswith("%]"), "markup").when(token.startswith("%") | token.startswith("#"), "symbol").when(token.startswith("/"), "path")
+    out = out.when(token.startswith("[%") | token.endswith("%]"), "markup")
+    symbol = T.prefix_symbol(token)
+    out = out.when(symbol.isin("%", "#"), "symbol").when((symbol == "/") & token.startswith("/"), "path")
+    return F.when(token.rlike(r"[0-9:/@.%#\[]"), out)

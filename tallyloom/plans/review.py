@@ -7,6 +7,8 @@ tables and over the search parameters.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from tallyloom.plans import tables
 from tallyloom.plans.registry import Registry
 from tallyloom.plans.tables import COMMENTS_SQL, ISSUES_SQL, KEYWORDS_SQL
 from tallyloom.plans.text_index import FTS_SQL, full_text, ranked_sql
-from tallyloom.session import table
+from tallyloom.session import stored, table
 
 registry = Registry()
 add = registry.add
@@ -121,13 +123,14 @@ def conformance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MARKERS = (*review.INCOMPLETE, *review.READER_NOTES)
+_MARKER_SQL = rf"regexp_extract_all(text, '(?i)\b({'|'.join(_MARKERS)})\b')"
 
 
-@add("page_markers")
+@add("page_markers", f"SELECT doc_id, array_to_string(list_sort(list(x)), '; ') AS markers FROM (SELECT DISTINCT doc_id, lower(unnest({_MARKER_SQL})) AS x FROM documents) GROUP BY doc_id")
 def page_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markers of unfinished text and notes to readers, per document that has any."""
+    """Markers of unfinished text and notes to readers, per document that has any; in lower case."""
     found = review.markers(F.col("text"), _MARKERS)
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", found.alias("m")).where(F.size("m") > 0).select("doc_id", F.array_join("m", "; ").alias("markers"))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", found.alias("m")).where(F.size("m") > 0).select("doc_id", F.lower(F.array_join("m", "; ")).alias("markers"))
 
 
 @add("page_links", r"SELECT doc_id, len(regexp_extract_all(text, '(?i)http[s?]://spec\.example\.org/')) AS spec_links, len(regexp_extract_all(text, '(?i)http[s?]://tracker\.example\.org/')) AS tracker_links, len(regexp_extract_all(text, '(?i)(>\s*Trial\s+Use\s*<|class\s*=\s*[''" + '"' + r"]stu[''" + '"' + r"])')) AS trial_use FROM documents WHERE text IS NOT NULL")
@@ -136,66 +139,186 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", review.link_count(t, "spec.example.org").alias("spec_links"), review.link_count(t, "tracker.example.org").alias("tracker_links"), review.trial_use_count(t).alias("trial_use"))
 
 
-_SKIP_SQL = " ".join(f"WHEN regexp_matches(token, '{p}') THEN '{n}'" for n, p in review.SKIPPED.items())
+_SKIP = " ".join(f"WHEN regexp_matches(token, '{p}') THEN '{n}'" for n, p in review.SKIPPED.items())
+_SYMBOL = r"regexp_extract(token, '^[^\p{Lu}\p{Lt}\p{Ll}\p{P}\p{Sm}\p{Sc}\p{So}]*([\p{P}\p{Sm}\p{Sc}\p{So}])', 1)"
+SKIP_SQL = f"CASE {_SKIP} WHEN starts_with(token, '[%') OR ends_with(token, '%]') THEN 'markup' WHEN {_SYMBOL} IN ('%', '#') THEN 'symbol' WHEN {_SYMBOL} = '/' AND starts_with(token, '/') THEN 'path' END"
 
 
-@add("token_skip", f"SELECT reason, count(*) AS n FROM (SELECT CASE {_SKIP_SQL} WHEN starts_with(token, '[%') OR ends_with(token, '%]') THEN 'markup' WHEN starts_with(token, '%') OR starts_with(token, '#') THEN 'symbol' WHEN starts_with(token, '/') THEN 'path' END AS reason FROM (SELECT unnest(regexp_split_to_array(text, '[ \\t\\r\\n]+')) AS token FROM documents)) WHERE reason IS NOT NULL GROUP BY reason")
+@add("token_skip", f"SELECT reason, count(*) AS n FROM (SELECT {SKIP_SQL} AS reason FROM (SELECT unnest(regexp_split_to_array(text, '[ \\t\\r\\n]+')) AS token FROM documents)) WHERE reason IS NOT NULL GROUP BY reason")
 def token_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = table(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("token"))
-    return tokens.select(review.skip_reason(F.col("token")).alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+    """Why review passes over tokens, and how often; each distinct token is judged once."""
+    tokens = table(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("k"))
+    return tokens.select(review.skip_reason(F.col("token")).alias("reason"), "k").where("reason IS NOT NULL").groupBy("reason").agg(F.sum("k").alias("n"))
 
 
-@add("page_text")
-def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text LIKE '%<%'").select("doc_id", html_pages.page_text(F.col("text")).alias("visible"))
+#: Hand-made pages, each with faults of its own; the documents' texts are pages beside them.
+PAGES = {
+    -1: """<html><head><title>no</title></head><body><nav>menu zzmenu</nav><table class="colstu"><tr><td id="wg"><a href="x">[%wgt vocab%]</a> Work Group</td><td id="fmm">Maturity Level: 3</td><td id="ballot">Standards Status:<!--!ns!--><a>Trial Use</a></td></tr></table>
+<h1>Stable</h1><p>the Patient .zzpart and teh server<img src="one.png"></p><script>zzscript()</script>[%file newfooter%]<p>zzbehind</p></body></html>""",
+    -2: """<body><table class="colsd"><tr><td id="fmm">Maturity Level: 0</td><td id="ballot">Draft</td><td id="wg">Owner [%wg orders%]</td></tr></table><figure><img src="two.png" alt="two"></figure><figure><img src="three.png" alt="  "></figure><p>R4 deprecated R5 zzword/the</p></body>""",
+    -3: """<table class="colsn"><tr><td id="fmm">Maturity Level: Normative</td><td id="ballot">Standards Status: </td></tr></table><img src="same.png" alt="x"><figure><img src="same.png"></figure><p>the zzend""",
+    -4: """<p>no status here <img src="four.png" alt="four">%41 &amp; B</p><style>p {}</style>""",
+    -5: """<table class="other colsi"><tr><td id="fmm">N/A</td><td id="wg">nobody</td></tr></table>""",
+}
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spec pages with a status table and an image around the documents of pages in HTML."""
-    docs = table(spark, sf_dir, "documents").where("text LIKE '%<p>%'").select(F.col("doc_id").alias("page_id"), "text")
-    kind = F.element_at(F.array(*[F.lit(c) for c in html_pages.STATUS_CLASSES]), (F.pmod("page_id", F.lit(4)) + 1).cast("int"))
-    head = F.concat(F.lit('<table class="'), kind, F.lit('"><tr><td id="fmm">Maturity: '), F.pmod("page_id", F.lit(6)).cast("string"), F.lit('</td><td id="ballot">Ballot: Trial</td><td id="wg">wg Orders</td></tr></table><img src="a.png"/>'))
-    return docs.select("page_id", F.concat(F.lit("<html><body>"), head, "text", F.lit("</body></html>")).alias("html"))
+    """(page_id, html): the hand-made pages and every document."""
+    made = spark.range(1).select(F.explode(F.create_map(*[x for i, page in PAGES.items() for x in (F.lit(i).cast("long"), F.lit(page))])).alias("page_id", "html"))
+    return made.unionByName(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.col("text").alias("html")).where("html IS NOT NULL"))
 
 
-@add(
-    "page_status",
-    "SELECT doc_id AS page_id, CASE doc_id % 4 WHEN 0 THEN 'Draft' WHEN 1 THEN 'Trial Use' WHEN 2 THEN 'Informative' ELSE 'Normative' END AS status, CAST(doc_id % 6 AS INTEGER) AS maturity, 'Trial' AS ballot, 'Orders' AS work_group FROM documents WHERE contains(text, '<p>')",
-)
-def page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_pages.page_status(html_pages.page_parts(_pages(spark, sf_dir), "page_id", "html"))
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "page_parts", ["documents"], lambda: html_pages.page_parts(_pages(spark, sf_dir), "page_id", "html"))
 
 
-@add("page_images", "SELECT doc_id AS page_id, 'a.png' AS source, true AS missing_alt, true AS not_in_figure FROM documents WHERE contains(text, '<p>')")
-def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_pages.page_images(html_pages.page_parts(_pages(spark, sf_dir), "page_id", "html"))
+@add("page_text", r"""SELECT doc_id AS page_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS visible FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[<&%]')
+UNION ALL SELECT * FROM (VALUES (-1, '[%wgt vocab%] Work Group Maturity Level: 3 Standards Status: Trial Use Stable the Patient .zzpart and teh server'),
+  (-2, 'Maturity Level: 0 Draft Owner [%wg orders%] R4 deprecated R5 zzword/the'), (-3, 'Maturity Level: Normative Standards Status: the zzend'), (-4, 'no status here A & B'), (-5, 'N/A nobody'))""")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of pages, runs of blanks as one: the hand-made pages, and the documents in which there is nothing for HTML to change."""
+    pages = _pages(spark, sf_dir).where("page_id < 0 OR NOT html RLIKE '[<&%]'")
+    return pages.select("page_id", F.trim(F.regexp_replace(html_pages.page_text(F.col("html")), r"\s+", " ")).alias("visible"))
 
 
-def vocabulary(spark: SparkSession, sf_dir: str) -> page_words.Vocabulary:
-    artifacts = table(spark, sf_dir, "artifacts").select("artifact_name", "artifact_type", F.col("artifact_name").alias("name"))
-    paths = table(spark, sf_dir, "search_parameters").select("param_expression", F.lit("ElementPath").alias("kind"), F.split_part("param_expression", F.lit("."), F.lit(1)).alias("name"))
-    corpus = table(spark, sf_dir, "corpus_keywords")
-    old = corpus.where("keyword_type = 'FhirElementPath'").select("keyword", F.lit("ElementPath").alias("kind"), F.col("keyword").alias("name"))
-    current = page_words.bounded_map(paths, "param_expression", "kind", "name") | page_words.bounded_map(artifacts, "artifact_name", "artifact_type", "name")
-    dictionary = frozenset(page_words.bounded_map(corpus.where("keyword_type IN ('Word', 'StopWord')"), "keyword"))
-    return page_words.Vocabulary(current, page_words.bounded_map(old, "keyword", "kind", "name"), dictionary, {"teh": "the", "recieve": "receive"})
+@add("page_text_all")
+def page_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every document and hand-made page."""
+    return _pages(spark, sf_dir).select("page_id", html_pages.page_text(F.col("html")).alias("visible"))
 
 
-@add("token_resolve")
+@add("page_status", "SELECT * FROM (VALUES (-1, 'Trial Use', 3, 'Trial Use', 'vocab'), (-2, 'Draft', 0, 'Draft', 'orders'), (-3, 'Normative', NULL, NULL, NULL), (-5, 'Informative', NULL, NULL, NULL)) t(page_id, status, maturity, ballot, work_group)")
+def page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_pages.page_status(_parts(spark, sf_dir))
+
+
+@add("page_images", "SELECT * FROM (VALUES (-1, 'one.png', true, true), (-2, 'three.png', true, false), (-3, 'same.png', true, true), (-4, 'four.png', false, true)) t(page_id, source, missing_alt, not_in_figure)")
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_pages.page_images(_parts(spark, sf_dir))
+
+
+TYPOS = {"teh": "the", "recieve": "receive"}
+
+
+def dictionary_parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The dictionaries of review: of the current release artifacts with their class, paths and parameters; of the published one paths; typos; words."""
+    artifacts, parameters, corpus = table(spark, sf_dir, "artifacts"), table(spark, sf_dir, "search_parameters"), table(spark, sf_dir, "corpus_keywords")
+    typos = spark.range(1).select(F.explode(F.create_map(*[F.lit(x) for pair in TYPOS.items() for x in pair])).alias("typo", "correction"))
+    rows = page_words.dictionary_rows
+    return [
+        rows(artifacts, "artifact_name", page_words.STRUCTURE, page_words.CURRENT, F.col("artifact_type"), F.col("id")),
+        rows(parameters, "param_expression", page_words.ELEMENT, page_words.CURRENT),
+        rows(parameters, "param_name", page_words.PARAMETER, page_words.CURRENT),
+        rows(corpus.where("keyword_type = 'FhirElementPath'"), "keyword", page_words.ELEMENT, page_words.PUBLISHED),
+        rows(typos, "typo", page_words.TYPO, "", F.col("correction")),
+        rows(corpus.where("keyword_type IN ('Word', 'StopWord')"), "keyword", page_words.WORD),
+    ]
+
+
+_FORM = "lower(regexp_replace(%s, '[^\\p{Lu}\\p{Lt}\\p{Ll}\\p{Nd}]', '', 'g'))"
+_TYPO_ROWS = ", ".join(f"('{a}', '{b}')" for a, b in TYPOS.items())
+DICTIONARY_SQL = f"""
+SELECT form, kind, release, arg_max(note, place) AS note FROM (
+  SELECT {_FORM % 'artifact_name'} AS form, 'structure' AS kind, 'current' AS release, artifact_type AS note, id AS place FROM artifacts
+  UNION ALL SELECT {_FORM % 'param_expression'}, 'element', 'current', NULL, 0 FROM search_parameters
+  UNION ALL SELECT {_FORM % 'param_name'}, 'parameter', 'current', NULL, 0 FROM search_parameters
+  UNION ALL SELECT {_FORM % 'keyword'}, 'element', 'published', NULL, 0 FROM corpus_keywords WHERE keyword_type = 'FhirElementPath'
+  UNION ALL SELECT {_FORM % 'keyword'}, 'word', '', NULL, 0 FROM corpus_keywords WHERE keyword_type IN ('Word', 'StopWord')
+  UNION ALL SELECT lower(trim(a)), 'typo', '', b, 0 FROM (VALUES {_TYPO_ROWS}) t(a, b)
+) WHERE form <> '' GROUP BY form, kind, release"""
+
+
+@add("review_dictionaries", DICTIONARY_SQL)
+def review_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct names review knows, by kind and release, with the class of artifacts and the correction of typos."""
+    return reduce(DataFrame.unionByName, dictionary_parts(spark, sf_dir)).drop("place")
+
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "vocabulary", ["artifacts", "search_parameters", "corpus_keywords"], lambda: page_words.vocabulary(dictionary_parts(spark, sf_dir)))
+
+
+def _resolve_sql(pages: str) -> str:
+    """The words of `pages` (page_id, text) resolved, step by step as review does it."""
+    parts = r"""[ \t\r\n.:\\/"'';+\-_#*&^%@!,|?={}()\[\]]+"""
+    symbol = _SYMBOL.replace("token", "unit")
+    return f"""
+dict AS MATERIALIZED ({DICTIONARY_SQL}),
+arts AS (
+  SELECT release, form, arg_min(cls, rank) AS cls, arg_min(names, rank) AS names FROM (
+    SELECT release, form, note AS cls, true AS names, 0 AS rank FROM dict WHERE kind = 'structure' UNION ALL SELECT release, 'value' || form, note, false, 1 FROM dict WHERE kind = 'structure'
+    UNION ALL SELECT release, form, 'Element', true, 2 FROM dict WHERE kind = 'element') GROUP BY release, form
+),
+places AS (SELECT page_id, unnest(l) AS word, unnest(range(1, len(l) + 1)) AS at_no FROM (SELECT page_id, list_filter(regexp_split_to_array(text, '[ \\t\\r\\n"]+'), lambda x: x <> '') AS l FROM (SELECT DISTINCT page_id, text FROM ({pages})))),
+words AS MATERIALIZED (SELECT word FROM (SELECT DISTINCT word, {SKIP_SQL.replace('token', 'word')} AS reason FROM places) WHERE reason IS NULL AND regexp_matches(word, '[\\p{{Lu}}\\p{{Lt}}\\p{{Ll}}]')),
+units AS (SELECT word, 0 AS no, word AS unit FROM words UNION ALL SELECT word, unnest(range(1, len(l) + 1)), unnest(l) FROM (SELECT word, list_filter(regexp_split_to_array(word, '{parts}'), lambda x: regexp_matches(x, '[\\p{{Lu}}\\p{{Lt}}\\p{{Ll}}]')) AS l FROM words)),
+forms AS MATERIALIZED (SELECT DISTINCT unit, {_FORM % 'unit'} AS form, {symbol} AS symbol FROM units),
+hits AS MATERIALIZED (
+  SELECT f.*, CASE WHEN form LIKE '%s' THEN form[:-2] END AS single,
+    regexp_extract(unit, '^\\.*([^.]*)', 1) AS own_name, regexp_extract(unit[:-2], '^\\.*([^.]*)', 1) AS single_name FROM forms f
+),
+judged AS MATERIALIZED (
+  SELECT h.unit, h.form,
+    coalesce(co.cls, CASE WHEN symbol = '_' AND po.form IS NOT NULL THEN 'SearchParameter' END) AS own_now, CASE WHEN co.names THEN own_name END AS own_now_name,
+    coalesce(cs.cls, CASE WHEN symbol = '_' AND ps.form IS NOT NULL THEN 'SearchParameter' END) AS single_now, CASE WHEN cs.names THEN single_name END AS single_now_name,
+    uo.cls AS own_then, CASE WHEN uo.names THEN own_name END AS own_then_name, us.cls AS single_then, CASE WHEN us.names THEN single_name END AS single_then_name,
+    w.form IS NOT NULL AS is_word, coalesce(t1.note, t2.note) AS typo
+  FROM hits h LEFT JOIN arts co ON co.release = 'current' AND co.form = h.form LEFT JOIN arts cs ON cs.release = 'current' AND cs.form = h.single
+    LEFT JOIN arts uo ON uo.release = 'published' AND uo.form = h.form LEFT JOIN arts us ON us.release = 'published' AND us.form = h.single
+    LEFT JOIN dict po ON po.kind = 'parameter' AND po.form = h.form LEFT JOIN dict ps ON ps.kind = 'parameter' AND ps.form = h.single
+    LEFT JOIN dict w ON w.kind = 'word' AND w.form = h.form LEFT JOIN dict t1 ON t1.kind = 'typo' AND t1.form = lower(h.unit) LEFT JOIN dict t2 ON t2.kind = 'typo' AND t2.form = h.form
+),
+told AS MATERIALIZED (
+  SELECT *, CASE WHEN form IN ('dstu1', 'dstu2', 'r2', 'stu3', 'r3', 'r4', 'r4b', 'r5') THEN 'prior' WHEN form = 'deprecated' THEN 'deprecated' WHEN coalesce(own_now, single_now) IS NOT NULL THEN 'known'
+      WHEN coalesce(own_then, single_then) IS NOT NULL THEN CASE WHEN is_word THEN 'known' ELSE 'removed' END WHEN typo IS NOT NULL THEN 'typo' WHEN is_word THEN 'known' END AS kind,
+    CASE WHEN form IN ('dstu1', 'dstu2', 'r2', 'stu3', 'r3', 'r4', 'r4b', 'r5', 'deprecated') THEN NULL WHEN own_now IS NOT NULL THEN own_now_name WHEN single_now IS NOT NULL THEN single_now_name
+      WHEN is_word THEN NULL WHEN own_then IS NOT NULL THEN own_then_name ELSE single_then_name END AS name
+  FROM judged
+),
+of_word AS MATERIALIZED (SELECT u.word, u.no, t.* FROM units u JOIN told t USING (unit)),
+wholes AS MATERIALIZED (SELECT word, max(CASE WHEN no = 0 THEN kind END) AS kind, coalesce(max(CASE WHEN no = 0 AND kind IS NOT NULL THEN coalesce(name, '') END), arg_max(name, no) FILTER (no > 0 AND name IS NOT NULL)) AS name FROM of_word GROUP BY word),
+noted AS MATERIALIZED (
+  SELECT word, kind, unit AS shown, CASE kind WHEN 'removed' THEN coalesce(own_then, single_then) WHEN 'typo' THEN typo ELSE '' END AS note FROM of_word WHERE no = 0 AND kind IS NOT NULL
+  UNION ALL SELECT o.word, coalesce(o.kind, 'unknown'), CASE WHEN o.kind IS NULL THEN o.word ELSE unit END, CASE o.kind WHEN 'removed' THEN coalesce(own_then, single_then) WHEN 'typo' THEN typo ELSE '' END FROM of_word o JOIN wholes w USING (word) WHERE o.no > 0 AND w.kind IS NULL
+),
+named AS (SELECT p.*, nullif(w.name, '') AS name FROM places p JOIN wholes w USING (word)),
+seen AS (SELECT *, last_value(name IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY at_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM named),
+relative AS (
+  SELECT s.page_id, s.word, CASE WHEN t.form IN ('dstu1', 'dstu2', 'r2', 'stu3', 'r3', 'r4', 'r4b', 'r5') THEN 'prior' WHEN t.form = 'deprecated' THEN 'deprecated' WHEN coalesce(t.own_now, c.cls, t.single_now) IS NOT NULL THEN 'known'
+      WHEN coalesce(t.own_then, u.cls, t.single_then) IS NOT NULL THEN CASE WHEN t.is_word THEN 'known' ELSE 'removed' END ELSE t.kind END AS kind, coalesce(t.own_then, u.cls, t.single_then) AS cls, t.typo
+  FROM seen s JOIN told t ON t.unit = s.word LEFT JOIN arts c ON c.release = 'current' AND c.form = {_FORM % 's.last || s.word'} LEFT JOIN arts u ON u.release = 'published' AND u.form = {_FORM % 's.last || s.word'}
+  WHERE starts_with(s.word, '.')
+),
+all_notes AS (
+  SELECT s.page_id, n.kind, n.shown AS word, n.note FROM seen s JOIN noted n USING (word) WHERE NOT starts_with(s.word, '.')
+  UNION ALL SELECT page_id, kind, word, CASE kind WHEN 'removed' THEN cls WHEN 'typo' THEN typo ELSE '' END FROM relative WHERE kind IS NOT NULL
+  UNION ALL SELECT r.page_id, n.kind, n.shown, n.note FROM relative r JOIN noted n USING (word) WHERE r.kind IS NULL
+),
+resolved AS (
+  SELECT page_id, kind, CASE WHEN kind IN ('prior', 'deprecated') THEN '' ELSE word END AS word, CASE WHEN kind IN ('prior', 'deprecated') THEN CAST(count(*) AS VARCHAR) ELSE min(note) END AS note
+  FROM all_notes WHERE kind <> 'known' GROUP BY page_id, kind, 3
+)"""
+
+
+@add("token_resolve", f"WITH {_resolve_sql('SELECT doc_id AS page_id, text FROM documents WHERE text IS NOT NULL')} SELECT * FROM resolved")
 def token_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return page_words.resolve_pages(docs, "doc_id", "text", vocabulary(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    return page_words.resolve_pages(docs, "page_id", "text", vocabulary(spark, sf_dir))
 
 
-@add("page_report")
+@add(
+    "page_report",
+    """SELECT * FROM (VALUES (-1, 'Trial Use', 3, 'Trial Use', 'vocab', '.zzpart', 'teh', 'one.png'), (-2, 'Draft', 0, 'Draft', 'orders', 'zzword/the', NULL, 'three.png'), (-3, 'Normative', NULL, NULL, NULL, 'zzend', NULL, 'same.png'), (-5, 'Informative', NULL, NULL, NULL, NULL, NULL, NULL)) t(page_id, status, maturity, ballot, work_group, odd_words, typos, image_sources)""",
+)
 def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with their status and their removed words, unknown words and images, each sorted."""
+    """Pages with their status, what looks like a slip in their text (here the words in zz), their typos and their images with faults, each sorted."""
     pages = _pages(spark, sf_dir)
-    parts = html_pages.page_parts(pages, "page_id", "html")
-    words = page_words.resolve_pages(pages.select("page_id", html_pages.page_text(F.col("html")).alias("visible")), "page_id", "visible", vocabulary(spark, sf_dir))
-    listed = lambda kind, name: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("word")))).alias(name)
-    per_words = words.groupBy("page_id").agg(listed("removed", "removed_words"), listed("unknown", "unknown_words"))
-    per_images = html_pages.page_images(parts).groupBy("page_id").agg(F.array_sort(F.collect_set("source")).alias("image_sources"))
+    parts = _parts(spark, sf_dir)
+    with_status = pages.join(html_pages.page_status(parts).select("page_id"), "page_id", "left_semi")
+    words = page_words.resolve_pages(with_status.select("page_id", html_pages.page_text(F.col("html")).alias("visible")), "page_id", "visible", vocabulary(spark, sf_dir))
+    listed = lambda cond, name: F.nullif(F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col("word")))), "; "), F.lit("")).alias(name)
+    per_words = words.groupBy("page_id").agg(listed((F.col("kind") == "unknown") & F.col("word").contains("zz"), "odd_words"), listed(F.col("kind") == "typo", "typos"))
+    per_images = html_pages.page_images(parts).groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_set("source")), "; ").alias("image_sources"))
     return html_pages.page_status(parts).join(per_words, "page_id", "left").join(per_images, "page_id", "left")
 
 

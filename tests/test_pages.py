@@ -18,7 +18,7 @@ def test_page():
     lines = page.text.split("\n")
     assert lines[0] == "Title&More" and "Two A" in lines
     assert not {"menu", "bad()", "foot", "after"} & set(lines)
-    assert H.read_page(None).text == "" and H.read_page("<p>x").text == "x"
+    assert H.read_page(None).text == "" and H.read_page("<p>x").text == "x" == H.read_page("<head><title>t</title><body>x").text
     assert H.read_page("<table><tr><td>x</td></tr></table>").status is None
 
 
@@ -40,33 +40,59 @@ def test_counters(spark):
 
 
 def test_markers_and_links(spark):
-    df = spark.createDataFrame([("TODO then todo, Feedback and  to do; https://chat.example.org/x http://chat.example.org/y <b class='stu'>",)], "t string")
+    df = spark.createDataFrame([("TODO then todo, Feedback and  to do; a...b but ... not; x[%stu-note%]y https://chat.example.org/x http://chat.example.org/y <b class='stu'>",)], "t string")
     row = df.select(review.markers(F.col("t"), (*review.INCOMPLETE, *review.READER_NOTES)).alias("m"), review.link_count(F.col("t"), "chat.example.org").alias("n"), review.trial_use_count(F.col("t")).alias("u")).first()
-    assert row.m == ["Feedback", "to do", "TODO"]
+    # dots and brackets only between word characters, as word ends demand
+    assert row.m == ["...", "[%stu-note%]", "Feedback", "to do", "TODO"]
     assert (row.n, row.u) == (1, 1)
 
 
 def test_skip_reasons(spark):
-    words = ["http://a.b", "[base]/x", "[type]/y", "a@b.cd", "urn:ab:c", "xs:string", "x.png", "2020-01-01", "[%x%]", "%v", "#f", "/p", "word"]
+    words = {
+        "http://a.b": "url", "[base]/x": "base_path", "[type]/y": "type_path", "a@b.cd": "mail", "urn:ab:c": "urn", "xs:string": "schema_type", "fhir:Patient": "shape", "terminology.example.org/CodeSystem/x": "code_system",
+        "x.png": "file", "2020-01-01": "date_time", "2019": "date_time", "0000": None, "2019-05-01T10:00:00Z": "date_time", "[%x%]": "markup", "%v": "symbol", "#f": "symbol", "1#f": "symbol", "(#f": None, "/p": "path", "1/p": None, "word": None, "": None,
+    }
     df = spark.createDataFrame([(w,) for w in words], "w string")
-    got = [r[0] for r in df.select(review.skip_reason(F.col("w"))).collect()]
-    assert got == ["url", "base_path", "type_path", "mail", "urn", "schema_type", "file", "date_time", "markup", "symbol", "symbol", "path", None]
+    got = {r.w: r.r for r in df.select("w", review.skip_reason(F.col("w")).alias("r")).collect()}
+    assert got == words
+
+
+def test_work_group_of_a_page():
+    cell = lambda text: H.read_page(f'<table class="colsd"><tr><td id="wg">{text}</td></tr></table>').work_group
+    assert [cell(t) for t in ("Work Group[%wg vocab%]", "[%WGT orders%] Work Group", "wg", "nobody", "")] == ["vocab", "orders", None, None, None]
 
 
 def test_words_in_order(spark):
-    words = W.Vocabulary({"patient": ("Resource", "Patient"), "patientname": ("Element", "Patient")}, {"oldthing": ("Resource", "OldThing"), "oldthingpart": ("Element", "OldThing"), "conformance": ("Resource", "Conformance")}, frozenset(("the", "good", "conformance")), {"teh": "the"})
-    text = "the Patient .name R4 deprecated OldThing .part Conformance teh good/bad zzz patients http://x.y #f 12"
-    df = spark.createDataFrame([(1, text), (2, None), (3, ".name")], "id int, t string")
-    got = sorted((r.page_id, r.kind, r.word, r.note) for r in W.resolve_pages(df, "id", "t", words).collect())
+    frame = lambda *rows: spark.createDataFrame([(r,) if isinstance(r, str) else r for r in rows], "n string, c string, p int" if rows and not isinstance(rows[0], str) else "n string")
+    rows = W.dictionary_rows
+    known = W.vocabulary(
+        [
+            rows(frame(("Patient", "Type", 1), ("Patient", "Resource", 2)), "n", W.STRUCTURE, W.CURRENT, F.col("c"), F.col("p")),
+            rows(frame("Patient.name"), "n", W.ELEMENT, W.CURRENT),
+            rows(frame("_text"), "n", W.PARAMETER, W.CURRENT),
+            rows(frame(("OldThing", "Resource", 1), ("Conformance", "Resource", 1)), "n", W.STRUCTURE, W.PUBLISHED, F.col("c"), F.col("p")),
+            rows(frame("OldThing.part"), "n", W.ELEMENT, W.PUBLISHED),
+            rows(frame(("teh", "the", 0),), "n", W.TYPO, "", F.col("c")),
+            rows(frame("the", "good", "conformance"), "n", W.WORD),
+        ]
+    )
+    text = 'the Patient .name R4 deprecated OldThing .part Conformance teh good/bad zzz patients http://x.y #f 12 "valuePatient" .name _text text .zzz R4'
+    df = spark.createDataFrame([(1, text), (1, text), (2, None), (3, ".name"), (4, "Patient good-OldThings .part"), (5, "")], "id int, t string")
+    got = sorted((r.page_id, r.kind, r.word, r.note) for r in W.resolve_pages(df, "id", "t", known).collect())
     assert got == sorted(
         [
-            (1, "prior", "", "1"),
+            (1, "prior", "", "2"),
             (1, "deprecated", "", "1"),
             (1, "removed", "OldThing", "Resource"),
             (1, "removed", ".part", "Element"),
             (1, "typo", "teh", "the"),
             (1, "unknown", "good/bad", ""),
             (1, "unknown", "zzz", ""),
+            (1, "unknown", "text", ""),
+            (1, "unknown", ".zzz", ""),
             (3, "unknown", ".name", ""),
+            (4, "removed", "OldThings", "Resource"),
+            # named by a part of its word, without the plural's s
+            (4, "removed", ".part", "Element"),
         ]
     )
