@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import review
 from tallyloom.functions import text as T
+from tallyloom.session import materialise
 
 # fixed values: names of earlier releases that count as such
 PRIOR_RELEASES = ("dstu1", "dstu2", "r2", "stu3", "r3", "r4", "r4b", "r5")
@@ -135,7 +136,8 @@ def resolve_pages(pages: DataFrame, key: str, text: str, known: DataFrame) -> Da
     name = F.when(whole, F.col("outcome.name")).otherwise(F.try_element_at(part_names, F.lit(-1)))
     told = per_word.withColumn("noted", kept).withColumn("name", name).withColumn("relative", F.startswith("word", F.lit(".")))
     # most words, and the frequent ones, are known and name nothing: they go no further
-    telling = told.where((F.size("noted") > 0) | F.col("name").isNotNull() | F.col("relative"))
+    # written once, a row per word: both ways below read it
+    telling = materialise(told.where((F.size("noted") > 0) | F.col("name").isNotNull() | F.col("relative")))
     here = places.join(telling, "word")
     plain = here.where(~F.col("relative"))
     before = Window.partitionBy("page_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
@@ -145,7 +147,9 @@ def resolve_pages(pages: DataFrame, key: str, text: str, known: DataFrame) -> Da
     now, then = (_hit("r_", release, F.lit(""), full) for release in (CURRENT, PUBLISHED))
     again = _outcome(F.col("form"), F.col("word"), F.coalesce("own_now", now, "single_now"), F.coalesce("own_then", then, "single_then"), F.col("is_word"), F.col("typo"))
     relative = met.withColumn("again", again).withColumn("noted", F.when(F.col("again").isNotNull(), F.filter(F.array(F.struct(F.col("again.kind").alias("kind"), F.col("word"), F.col("again.note").alias("note"))), lambda x: x["kind"] != "known")).otherwise(F.col("noted")))
-    each = plain.select("page_id", F.explode("noted").alias("x")).unionByName(relative.select("page_id", F.explode("noted").alias("x"))).select("page_id", "x.*")
     counted = F.col("kind").isin("prior", "deprecated")
-    grouped = each.groupBy("page_id", "kind", F.when(counted, "").otherwise(F.col("word")).alias("word")).agg(F.min("note").alias("note"), F.count("*").cast("string").alias("n"))
-    return grouped.select("page_id", "kind", "word", F.when(counted, F.col("n")).otherwise(F.col("note")).alias("note"))
+    said = lambda df: df.select("page_id", F.explode("noted").alias("x")).select("page_id", "x.kind", "x.note", F.when(F.col("x.kind").isin("prior", "deprecated"), "").otherwise(F.col("x.word")).alias("word"))
+    # only a relative word can mean different things on one page; the note of any other is the word's own
+    once = said(relative).groupBy("page_id", "kind", "word").agg(F.min("note").alias("note"), F.count("*").alias("n"))
+    grouped = said(plain).withColumn("n", F.lit(1).cast("long")).unionByName(once).groupBy("page_id", "kind", "word", "note").agg(F.sum("n").alias("n"))
+    return grouped.select("page_id", "kind", "word", F.when(counted, F.col("n").cast("string")).otherwise(F.col("note")).alias("note"))

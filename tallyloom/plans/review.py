@@ -172,21 +172,19 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "page_parts", ["documents"], lambda: html_pages.page_parts(_pages(spark, sf_dir), "page_id", "html"))
 
 
-@add("page_text", r"""SELECT doc_id AS page_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS visible FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[<&%]')
-UNION ALL SELECT * FROM (VALUES (-1, '[%wgt vocab%] Work Group Maturity Level: 3 Standards Status: Trial Use Stable the Patient .zzpart and teh server'),
-  (-2, 'Maturity Level: 0 Draft Owner [%wg orders%] R4 deprecated R5 zzword/the'), (-3, 'Maturity Level: Normative Standards Status: the zzend'), (-4, 'no status here A & B'), (-5, 'N/A nobody'))""")
+@add("page_text")
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visible text of pages, runs of blanks as one: the hand-made pages, and the documents in which there is nothing for HTML to change."""
-    pages = _pages(spark, sf_dir).where("page_id < 0 OR NOT html RLIKE '[<&%]'")
-    return pages.select("page_id", F.trim(F.regexp_replace(html_pages.page_text(F.col("html")), r"\s+", " ")).alias("visible"))
-
-
-@add("page_text_all")
-def page_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of every document and hand-made page."""
     return _pages(spark, sf_dir).select("page_id", html_pages.page_text(F.col("html")).alias("visible"))
 
 
+@add("page_text_made", """SELECT * FROM (VALUES (-1, '[%wgt vocab%] Work Group Maturity Level: 3 Standards Status: Trial Use Stable the Patient .zzpart and teh server'),
+  (-2, 'Maturity Level: 0 Draft Owner [%wg orders%] R4 deprecated R5 zzword/the'), (-3, 'Maturity Level: Normative Standards Status: the zzend'), (-4, 'no status here A & B'), (-5, 'N/A nobody')) t(page_id, visible)""")
+def page_text_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of the hand-made pages, runs of blanks as one, against texts written out by hand."""
+    return page_text(spark, sf_dir).where("page_id < 0").select("page_id", F.trim(F.regexp_replace("visible", r"\s+", " ")).alias("visible"))
+
+
 @add("page_status", "SELECT * FROM (VALUES (-1, 'Trial Use', 3, 'Trial Use', 'vocab'), (-2, 'Draft', 0, 'Draft', 'orders'), (-3, 'Normative', NULL, NULL, NULL), (-5, 'Informative', NULL, NULL, NULL)) t(page_id, status, maturity, ballot, work_group)")
 def page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_pages.page_status(_parts(spark, sf_dir))
