@@ -109,3 +109,28 @@ def structure_report(structures: DataFrame, parts: Sequence[tuple[str, DataFrame
         placed = ranked.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("o", "shown")))
         frames.append(placed.select(key, "part", "place", "shown").join(structures.select(key), key, "left_semi"))
     return reduce(DataFrame.unionByName, frames)
+
+
+def with_group(df: DataFrame, code: Column, groups: DataFrame, default: str) -> DataFrame:
+    """df plus (code, title, official_url) of its group; a replaced code means its successor, null and unknown ones the default.
+
+    groups: (code, title, official_url, replaced_by), a row per code.
+    """
+    successor = groups.select(F.col("code").alias("__code"), F.coalesce("replaced_by", "code").alias("__new"))
+    resolved = df.withColumn("__code", F.lower(F.trim(code))).join(successor, "__code", "left").withColumn("__new", F.coalesce("__new", F.lit(default)))
+    named = groups.select(F.col("code").alias("__new"), "title", "official_url")
+    return resolved.join(named, "__new", "left").select(*df.columns, F.col("__new").alias("code"), "title", "official_url")
+
+
+def artifact_pages(artifacts: DataFrame, structures: DataFrame, pages: DataFrame, structure_id: str, intro: Column, notes: Column) -> DataFrame:
+    """artifacts plus has_structure, intro_page and notes_page: looked up by id, and by the names of the files they expect.
+
+    structures has the column `structure_id`, pages `page_file_name`; an artifact without a structure is
+    for the caller to refuse, a page that is not there is null.
+    """
+    there = structures.select(F.col(structure_id)).dropna().distinct().withColumn("__there", F.lit(True))
+    names = pages.select("page_file_name").dropna().distinct()
+    wanted = artifacts.withColumn("__intro", intro).withColumn("__notes", notes).join(there, structure_id, "left")
+    for side in ("intro", "notes"):
+        wanted = wanted.join(names.select(F.col("page_file_name").alias(f"__{side}"), F.col("page_file_name").alias(f"{side}_page")), f"__{side}", "left")
+    return wanted.select(*artifacts.columns, F.coalesce("__there", F.lit(False)).alias("has_structure"), "intro_page", "notes_page")

@@ -426,13 +426,52 @@ def structure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- prompts --------------------------------------------------------------
+_SAID = f"(SELECT issue_id, string_agg(body, chr(10) || chr(10) ORDER BY coalesce(created_at, TIMESTAMPTZ '1970-01-01 00:00:00+00'), id) AS said FROM {COMMENTS_SQL} WHERE trim(body, ' ') <> '' GROUP BY issue_id)"
+
+
 @add(
     "prompt_build",
-    f"""SELECT i.id, 'Summarise record ' || i.issue_key || ' (' || i.title || ').' || chr(10) || chr(10) || i.description || chr(10) || chr(10) || 'Comments:' || chr(10) || coalesce(c.said, '') AS prompt
-    FROM {ISSUES_SQL} i LEFT JOIN (SELECT issue_id, string_agg(body, chr(10) || chr(10) ORDER BY coalesce(created_at, TIMESTAMPTZ '1970-01-01 00:00:00+00'), id) AS said FROM {COMMENTS_SQL} WHERE trim(body, ' ') <> '' GROUP BY issue_id) c ON c.issue_id = i.id""",
+    f"""SELECT id, 'issue' AS kind, 'Summarise this request in two or three sentences for the group that decides on it.' || chr(10) || chr(10) || 'Title: ' || coalesce(title, '') || chr(10) || chr(10) || coalesce(description, '') AS prompt FROM {ISSUES_SQL}
+    UNION ALL SELECT issue_id, 'comments', 'Summarise what these comments say in two or three sentences.' || chr(10) || chr(10) || said FROM {_SAID} WHERE issue_id IN (SELECT id FROM issues)
+    UNION ALL SELECT id, 'resolution', 'Summarise this decision in one or two sentences.' || chr(10) || chr(10) || 'Decision: ' || coalesce(resolution_name, '') || chr(10) || chr(10) || resolution_description FROM {ISSUES_SQL} WHERE trim(resolution_description, ' ') <> ''""",
 )
 def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.prompts(tables.issues(spark, sf_dir, "issue_key", "title", "description"), tables.comments(spark, sf_dir))
+    return summaries.prompts(tables.issues(spark, sf_dir, "issue_key", "title", "description", "resolution_name", "resolution_description"), tables.comments(spark, sf_dir))
+
+
+#: A sheet of groups as it would be read from a file: code, title, address, successor.
+GROUPS = (
+    ("orders", "Orders and Observations", "http://groups.example.org/orders", None),
+    ("pharmacy", "Pharmacy", "http://groups.example.org/pharmacy", None),
+    ("finance", "Finance", "http://groups.example.org/finance", None),
+    ("devices", "Devices", None, "orders"),
+    ("workflow", "Workflow", None, "conformance"),
+)
+_GROUP_ROWS = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in g) + ")" for g in GROUPS)
+
+
+@add(
+    "group_lookup",
+    f"""WITH g(code, title, official_url, replaced_by) AS (VALUES {_GROUP_ROWS}), named AS (SELECT i.id, i.work_group, coalesce(g.replaced_by, g.code, 'none') AS code FROM {ISSUES_SQL} i LEFT JOIN g ON g.code = lower(trim(i.work_group, ' ')))
+    SELECT n.id, n.work_group, n.code, g.title, g.official_url FROM named n LEFT JOIN g ON g.code = n.code""",
+)
+def group_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every issue with its group's code, title and address; a replaced code means its successor."""
+    sheet = F.explode(F.array(*[F.struct(*[F.lit(x).cast("string").alias(n) for x, n in zip(g, ("code", "title", "official_url", "replaced_by"), strict=True)]) for g in GROUPS])).alias("g")
+    return metadata.with_group(tables.issues(spark, sf_dir, "work_group").select("id", "work_group"), F.col("work_group"), spark.range(1).select(sheet).select("g.*"), "none")
+
+
+@add(
+    "artifact_pages",
+    """SELECT a.id, a.artifact_name, s.n IS NOT NULL AS has_structure, i.page_file_name AS intro_page, o.page_file_name AS notes_page FROM artifacts a
+    LEFT JOIN (SELECT DISTINCT split_part(param_expression, '.', 1) AS n FROM search_parameters) s ON s.n = a.artifact_name
+    LEFT JOIN (SELECT DISTINCT page_file_name FROM spec_pages) i ON i.page_file_name = a.fhir_id || '.html' LEFT JOIN (SELECT DISTINCT page_file_name FROM spec_pages) o ON o.page_file_name = lower(a.artifact_type) || 's.html'""",
+)
+def artifact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts with whether a structure of theirs exists, and their introduction and notes page where there is one."""
+    structures = table(spark, sf_dir, "search_parameters").select(F.split_part("param_expression", F.lit("."), F.lit(1)).alias("artifact_name"))
+    found = metadata.artifact_pages(table(spark, sf_dir, "artifacts"), structures, table(spark, sf_dir, "spec_pages"), "artifact_name", F.concat("fhir_id", F.lit(".html")), F.concat(F.lower("artifact_type"), F.lit("s.html")))
+    return found.select("id", "artifact_name", "has_structure", "intro_page", "notes_page")
 
 
 @add("summaries")

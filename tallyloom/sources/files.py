@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import tarfile
+from collections.abc import Iterator
 from fnmatch import fnmatch
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,15 +33,25 @@ def read_typos(spark: SparkSession, path: str, glob: str | None = "*.txt") -> Da
     return out.groupBy("typo").agg(F.min("correction").alias("correction"))
 
 
-def read_archive(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
-    """(file, line) of the matching members of a tar archive (a driver-side file of a dictionary release)."""
-    rows = []
-    with tarfile.open(path) as archive:
-        for member in archive:
-            if member.isfile() and fnmatch(member.name, pattern):
-                text = archive.extractfile(member).read().decode("utf-8", "replace")
-                rows.extend((member.name, line) for line in text.splitlines())
-    return spark.createDataFrame(rows, "file string, line string")
+def read_archive(spark: SparkSession, path: str, pattern: str = "*.txt", batch: int = 10_000) -> DataFrame:
+    """(file, line) of the matching members of tar archives; path may be a file, a folder or a glob.
+
+    An archive is read in one task, its lines leave it in batches; nothing passes
+    through the driver. Spark takes binary files of up to 2 GB.
+    """
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for content in (c for b in batches for c in b["content"]):
+            with tarfile.open(fileobj=io.BytesIO(content)) as archive:
+                for member in archive:
+                    if not (member.isfile() and fnmatch(member.name, pattern)):
+                        continue
+                    text = io.TextIOWrapper(archive.extractfile(member), "utf-8", "replace")
+                    while lines := list(islice(text, batch)):
+                        yield pd.DataFrame({"file": member.name, "line": [x.rstrip("\r\n") for x in lines]})
+
+    raw = spark.read.format("binaryFile").load(path).select("content")
+    return raw.mapInPandas(members, "file string, line string")
 
 
 def parse_ini(text: str, section: str) -> list[tuple[str, str]]:
@@ -58,10 +72,11 @@ def parse_ini(text: str, section: str) -> list[tuple[str, str]]:
 
 def read_ini(spark: SparkSession, path: str, section: str) -> DataFrame:
     """(key, value, place) of a section of one INI file."""
-    row = spark.read.format("binaryFile").load(path).select("length", "content").first()
-    if row.length > MAX_INI_BYTES:
+    raw = spark.read.format("binaryFile").load(path)
+    # the length alone reads no content
+    if raw.select("length").first().length > MAX_INI_BYTES:
         raise ValueError(f"an INI file of more than {MAX_INI_BYTES} bytes")
-    pairs = parse_ini(bytes(row.content).decode("utf-8", "replace"), section)
+    pairs = parse_ini(bytes(raw.select("content").first().content).decode("utf-8", "replace"), section)
     return spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(pairs)], "key string, value string, place int")
 
 
@@ -75,3 +90,9 @@ def read_pages(spark: SparkSession, path: str, glob: str = "*.html") -> DataFram
     """(page_file_name, html): whole files, their bytes as UTF-8."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return raw.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("page_file_name"), F.decode("content", "UTF-8").alias("html"))
+
+
+def read_groups(spark: SparkSession, path: str) -> DataFrame:
+    """(code, title, official_url, replaced_by): a sheet of groups, as CSV with those headings; codes in lower case, the first row of a code counts."""
+    raw = spark.read.option("header", "true").schema("code string, title string, official_url string, replaced_by string").csv(path)
+    return raw.where("trim(code) <> ''").groupBy(F.lower(F.trim("code")).alias("code")).agg(*[F.min(c).alias(c) for c in ("title", "official_url")], F.min(F.lower(F.trim("replaced_by"))).alias("replaced_by"))

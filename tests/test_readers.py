@@ -5,6 +5,7 @@ import tarfile
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
+from tallyloom.operators import metadata
 from tallyloom.sources import files, tracker
 
 ITEM = """<item><title>[P-{n}] A title</title><link>http://t/{n}</link><project id="7" key="P">Pee</project><description>d</description><key id="{n}">P-{n}</key>
@@ -46,6 +47,26 @@ def test_archive(spark, tmp_path):
     assert [r.line for r in files.read_archive(spark, str(tmp_path / "a.tar.gz")).collect()] == ["one", "two"]
 
 
+def test_groups(spark, tmp_path):
+    (tmp_path / "g.csv").write_text("code,title,official_url,replaced_by\nOrders,Orders,http://g.example/orders,\nold,Old,,ORDERS\n,none,,\n")
+    groups = files.read_groups(spark, str(tmp_path / "g.csv"))
+    assert sorted(map(tuple, groups.collect()), key=str) == [("old", "Old", None, "orders"), ("orders", "Orders", "http://g.example/orders", None)]
+    df = spark.createDataFrame([(1, " ORDERS"), (2, "Old"), (3, "unknown"), (4, None)], "id int, g string")
+    got = {r.id: (r.code, r.title) for r in metadata.with_group(df, F.col("g"), groups, "fallback").collect()}
+    assert got == {1: ("orders", "Orders"), 2: ("orders", "Orders"), 3: ("fallback", None), 4: ("fallback", None)}
+
+
+def test_archives_in_batches(spark, tmp_path):
+    (tmp_path / "m.txt").write_text("\n".join(str(i) for i in range(25)))
+    (tmp_path / "n.md").write_text("no")
+    for name in ("a", "b"):
+        with tarfile.open(tmp_path / f"{name}.tar.gz", "w:gz") as tar:
+            tar.add(tmp_path / "m.txt", f"{name}/m.txt")
+            tar.add(tmp_path / "n.md", "n.md")
+    got = files.read_archive(spark, str(tmp_path / "*.tar.gz"), batch=10).groupBy("file").count().collect()
+    assert sorted(map(tuple, got)) == [("a/m.txt", 25), ("b/m.txt", 25)]
+
+
 def test_ini(spark, tmp_path):
     text = "[other]\na=1\n[Pages]\n; c\n# c\n\nx.html = X = 1\n=none\nflag\n[end]\nb=2\n"
     (tmp_path / "p.ini").write_text(text)
