@@ -16,15 +16,16 @@ id is an item of its own, packed in groups of such rows.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Ranks of a public byte-level BPE vocabulary, and the pattern that splits text for it.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: How byte-level BPE splits text before its ranks apply.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CAPACITY = 2048
 GROUP_ITEMS = 8192
@@ -40,12 +41,20 @@ def _encoding(path: str):  # noqa: ANN202
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(text: Column, path: str = TOKENIZER) -> Column:
-    """Tokens of each text under the vocabulary file at `path`; 0 for null."""
+def ship_vocabulary(spark: SparkSession, path: str) -> str:
+    """The name under which executors find the driver's vocabulary file; where the driver has none, the path itself, which they must have."""
+    if not os.path.exists(path):
+        return path
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def count_tokens(text: Column, vocabulary: str) -> Column:
+    """Tokens of each text under a file of byte-level BPE ranks (a path, or what `ship_vocabulary` gave); 0 for null."""
 
     @F.pandas_udf("int")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = _encoding(path).encode_ordinary
+        encode = _encoding(vocabulary if os.path.isabs(vocabulary) else SparkFiles.get(vocabulary)).encode_ordinary
         for texts in batches:
             yield pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int32")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.normal import plain_form
 from tallyloom.llm.contamination import find_leaks
-from tallyloom.llm.packing import CAPACITY, count_tokens, pack
+from tallyloom.llm.packing import CAPACITY, count_tokens, pack, ship_vocabulary
 from tallyloom.llm.personal_data import Directory, detect, directory, mask, pseudonymise, replace_spans
 from tallyloom.llm.reading_level import reading_bands, reading_levels
 from tallyloom.llm.term_frequency import mark, term_counts
@@ -19,6 +19,8 @@ registry = Registry()
 
 RARE_BELOW, COMMON_ABOVE = 3, 0.2
 TOP_N = 5
+#: Ranks of a public byte-level BPE vocabulary; the session may name another file.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 PLAIN_SQL = r"lower(regexp_replace(nfc_normalize(regexp_replace(keyword, '[^\p{L}\p{Nd}\p{M}]', '', 'g')), '[^\p{L}\p{Nd}]', '', 'g'))"
 TERMS_SQL = f"""
@@ -73,7 +75,8 @@ def best_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("p6_packed")
 def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's container, with the piece of it that lies there."""
-    sized = table(spark, sf_dir, "documents").select("doc_id", count_tokens(F.col("text")).alias("n_tokens"))
+    vocabulary = ship_vocabulary(spark, spark.conf.get("spark.tallyloom.vocabulary", VOCABULARY))
+    sized = table(spark, sf_dir, "documents").select("doc_id", count_tokens(F.col("text"), vocabulary).alias("n_tokens"))
     placed = pack(sized, F.col("doc_id"), F.col("n_tokens"))
     return placed.select(F.col("item_id").alias("doc_id"), "piece_no", "container_id", F.col("start_at").alias("start_token"), F.col("piece_size").alias("n_tokens"))
 

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm.packing import CAPACITY, count_tokens, first_fit_decreasing, pack
+from tallyloom.llm.packing import CAPACITY, count_tokens, first_fit_decreasing, pack, ship_vocabulary
+from tallyloom.llm.queries import VOCABULARY
 
 
 def plain_ffd(sizes, capacity):
@@ -84,5 +85,5 @@ def test_same_in_every_run(spark):
 def test_tokens(spark):
     pytest.importorskip("tiktoken")
     df = spark.createDataFrame([("Hello world",), ("",), (None,), ("<|endoftext|>",), ("naïve " * 3000,)], "t string")
-    got = [r[0] for r in df.select(count_tokens(F.col("t"))).collect()]
+    got = [r[0] for r in df.select(count_tokens(F.col("t"), ship_vocabulary(spark, VOCABULARY))).collect()]
     assert got[:3] == [2, 0, 0] and got[3] > 1 and got[4] > CAPACITY
