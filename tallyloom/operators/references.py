@@ -51,9 +51,12 @@ def hot_keys(refs: DataFrame, keys: list[str], hot_share: float) -> DataFrame:
     return counts.where(F.col("__n") > total.scalar() * hot_share).select(*keys)
 
 
-def _spread(refs: DataFrame, targets: DataFrame, keys: list[str], salts: int, hot_share: float) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a salt: rows of hot reference keys are spread over `salts` values, their targets copied to each."""
-    hot = hot_keys(refs, keys, hot_share).withColumn("__hot", F.lit(True))
+def _spread(refs: DataFrame, targets: DataFrame, keys: list[str], salts: int, hot_share: float, hot: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a salt: rows of hot reference keys are spread over `salts` values, their targets copied to each.
+
+    hot: the hot keys, if they are known; it must not be larger than `hot_keys` makes it.
+    """
+    hot = (hot if hot is not None else hot_keys(refs, keys, hot_share)).select(*keys, F.lit(True).alias("__hot"))
     spread = refs.join(F.broadcast(hot), keys, "left").withColumn(
         SALT, F.when(F.col("__hot"), F.pmod(F.xxhash64(*[F.col(c) for c in refs.columns]), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     )
@@ -62,7 +65,7 @@ def _spread(refs: DataFrame, targets: DataFrame, keys: list[str], salts: int, ho
     return spread.drop("__hot"), copied
 
 
-def anti_join_salted(refs: DataFrame, targets: DataFrame, keys: list[str], salts: int = 16, hot_share: float = 0.01) -> DataFrame:
+def anti_join_salted(refs: DataFrame, targets: DataFrame, keys: list[str], salts: int = 16, hot_share: float = 0.01, hot: DataFrame | None = None) -> DataFrame:
     """refs without a target of the same (non-null) key; hot reference keys are split.
 
     Everything but the hot keys is joined as it is: their salt is 0 on both sides.
@@ -70,14 +73,14 @@ def anti_join_salted(refs: DataFrame, targets: DataFrame, keys: list[str], salts
     distinct = targets.select(*keys).dropna().distinct()
     if salts <= 1:
         return refs.join(distinct, keys, "left_anti").select(*refs.columns)
-    spread, copied = _spread(refs, distinct, keys, salts, hot_share)
+    spread, copied = _spread(refs, distinct, keys, salts, hot_share, hot)
     return spread.join(copied, [*keys, SALT], "left_anti").select(*refs.columns)
 
 
-def lookup_salted(refs: DataFrame, facts: DataFrame, keys: list[str], salts: int = 16, hot_share: float = 0.01, how: str = "left") -> DataFrame:
+def lookup_salted(refs: DataFrame, facts: DataFrame, keys: list[str], salts: int = 16, hot_share: float = 0.01, how: str = "left", hot: DataFrame | None = None) -> DataFrame:
     """refs with the other columns of facts, which has one row per key; hot reference keys are split."""
     rest = [c for c in facts.columns if c not in keys]
-    spread, copied = _spread(refs, facts, keys, salts, hot_share)
+    spread, copied = _spread(refs, facts, keys, salts, hot_share, hot)
     return spread.join(copied, [*keys, SALT], how).select(*refs.columns, *rest)
 
 
@@ -93,9 +96,12 @@ def find_orphans(
     target_keys: list[str] | None = None,
     match: str = "simple",
     salts: int = 1,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """The references without a target, with all their columns.
 
+    hot: the hot keys of the references without a null, if they are known.
+
     With salts > 1, references whose key is hot are split before the join; with
     1 the skew is left to adaptive execution, which splits the reference side of
     an anti join as well.
@@ -112,7 +118,7 @@ def find_orphans(
         if match == "full" and any(mask):
             parts.append(group)
         else:
-            parts.append(anti_join_salted(group, wanted.select(*there), there, salts))
+            parts.append(anti_join_salted(group, wanted.select(*there), there, salts, hot=None if any(mask) else hot))
     if not parts:
         return refs.limit(0)
     out = parts[0]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators.multivalue import Source, cells_of, infer_all, known_names, split_all
-from tallyloom.operators.references import find_orphans, lookup_salted, null_mask, orphan_report
+from tallyloom.operators.references import find_orphans, hot_keys, lookup_salted, null_mask, orphan_report
 from tallyloom.plans.registry import Registry
 from tallyloom.session import materialise, table
 
@@ -97,7 +97,7 @@ WHERE t.ref_key IS NULL OR t.target_created > r.touched_at
 
 
 KEYS = ["ref_project", "ref_number"]
-SALTS = 8
+SALTS, HOT_SHARE = 8, 0.01
 
 
 def _dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,11 +105,12 @@ def _dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     # read by every step below; written once, a few bytes per reference
     refs = materialise(issue_references(spark, sf_dir))
     issues = _keyed(table(spark, sf_dir, "issues").select("issue_key", "created_at"))
-    absent = find_orphans(refs, issues, KEYS, match="partial", salts=SALTS)
+    hot = materialise(hot_keys(refs, KEYS, HOT_SHARE))
+    absent = find_orphans(refs, issues, KEYS, match="partial", salts=SALTS, hot=hot)
     deleted = _keyed(table(spark, sf_dir, "deleted_issues").select("issue_key")).select(*KEYS).distinct().withColumn("deleted", F.lit(True))
-    gone = lookup_salted(absent, deleted, KEYS, SALTS).withColumn("orphan_kind", F.when(F.col("deleted"), "deleted").otherwise("missing"))
+    gone = lookup_salted(absent, deleted, KEYS, SALTS, hot=hot).withColumn("orphan_kind", F.when(F.col("deleted"), "deleted").otherwise("missing"))
     born = issues.groupBy(*KEYS).agg(F.min("created_at").alias("target_created"))
-    later = lookup_salted(refs, born, KEYS, SALTS, how="inner").where(F.col("target_created") > F.col("touched_at")).withColumn("orphan_kind", F.lit("later"))
+    later = lookup_salted(refs, born, KEYS, SALTS, how="inner", hot=hot).where(F.col("target_created") > F.col("touched_at")).withColumn("orphan_kind", F.lit("later"))
     columns = ["issue_id", "ref_key", "orphan_kind", "created_at"]
     return gone.select(*columns).unionByName(later.select(*columns))
 
