@@ -104,12 +104,12 @@ def _dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(issue_id, ref_key, orphan_kind, created_at) of the references in related_issues."""
     # read by every step below; written once, a few bytes per reference
     refs = materialise(issue_references(spark, sf_dir))
-    issues = _keyed(table(spark, sf_dir, "issues").select("issue_key", "created_at"))
+    # one row per key, which the masks and the dates of birth both need
+    born = materialise(_keyed(table(spark, sf_dir, "issues").select("issue_key", "created_at")).groupBy(*KEYS).agg(F.min("created_at").alias("target_created")))
     hot = materialise(hot_keys(refs, KEYS, HOT_SHARE))
-    absent = find_orphans(refs, issues, KEYS, match="partial", salts=SALTS, hot=hot)
+    absent = find_orphans(refs, born, KEYS, match="partial", salts=SALTS, hot=hot)
     deleted = _keyed(table(spark, sf_dir, "deleted_issues").select("issue_key")).select(*KEYS).distinct().withColumn("deleted", F.lit(True))
     gone = lookup_salted(absent, deleted, KEYS, SALTS, hot=hot).withColumn("orphan_kind", F.when(F.col("deleted"), "deleted").otherwise("missing"))
-    born = issues.groupBy(*KEYS).agg(F.min("created_at").alias("target_created"))
     later = lookup_salted(refs, born, KEYS, SALTS, how="inner", hot=hot).where(F.col("target_created") > F.col("touched_at")).withColumn("orphan_kind", F.lit("later"))
     columns = ["issue_id", "ref_key", "orphan_kind", "created_at"]
     return gone.select(*columns).unionByName(later.select(*columns))
