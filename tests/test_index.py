@@ -16,7 +16,7 @@ def corpus(spark):
     )
     comments = spark.createDataFrame([(1, 1, "Server"), (2, 9, "orphan"), (3, 2, None)], "id int, issue_id int, body string")
     one = lambda *w: spark.createDataFrame([(x,) for x in w], "word string")
-    words = K.Dictionaries(one("the"), one("patientname"), one("expand"), K.lemma_frame(spark, {"tests": "test"}))
+    words = K.dictionary(one("the"), one("patientname"), one("expand"), K.lemma_frame(spark, {"tests": "test"}))
     texts = K.texts_of(issues, comments)
     return texts, K.classify(K.forms(K.tokenize(texts)), words), words
 
