@@ -10,9 +10,11 @@ import operator
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.session import materialise
+
 COMPARE = {"=": operator.eq, "!=": operator.ne, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
 
 
@@ -99,3 +101,18 @@ def equals_ci(column: str, value: str) -> Column:
 
 def starts_ci(column: str, prefix: str) -> Column:
     return F.lower(F.col(column)).startswith(prefix.lower())
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
+    """df with running numbers from 1 in the given order, for tables without a key.
+
+    The rows are sorted by range and written once; each partition then needs only
+    how many rows the partitions before it hold, so no task sees the whole table.
+    `order` should tell all rows apart, or equal ones are numbered as they come.
+    """
+    # the id of a row is its partition's number times 2**33 plus its place there
+    placed = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    return placed.withColumn("__part", part).join(F.broadcast(before), "__part").select(*df.columns, (F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))

@@ -76,6 +76,12 @@ def select_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.issues(spark, sf_dir, "issue_key", "title", "project_key").where("project_key = 'TRM'").select("id", F.concat_ws(": ", "issue_key", "title").alias("row_value"))
 
 
+@add("select_dict_numbered", "SELECT keyword, row_number() OVER (ORDER BY keyword) AS row_no FROM (SELECT DISTINCT keyword FROM issue_keywords)")
+def select_dict_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a table without a key by their running number."""
+    return filters.numbered(table(spark, sf_dir, "issue_keywords").select("keyword").distinct(), ["keyword"])
+
+
 @add("select_count", f"SELECT count(id) AS n FROM {ISSUES_SQL} WHERE project_key = 'FHX' AND priority_id >= 2")
 def select_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     cond = filters.conditions(equals={"project_key": "FHX"}, compare=[("priority_id", ">=", 2)])
