@@ -268,3 +268,15 @@ def test_directory_of_any_size(spark):
 def test_replace_spans(spark):
     df = spark.createDataFrame([("abcdef", [(1, 2, "X"), (3, 5, "YY")]), (None, [(0, 1, "Z")]), ("q", None)], "t string, s array<struct<start_at: int, end_at: int, new: string>>")
     assert [r[0] for r in df.select(P.replace_spans(F.col("t"), F.col("s"))).collect()] == ["aXcYYf", None, "q"]
+
+
+def test_nothing_to_find(spark):
+    none = spark.createDataFrame([(1, None), (2, ""), (3, "no data at all")], "i int, t string")
+    assert P.pseudonymise(none, F.col("i"), F.col("t"), P.Directory(), SECRET).count() == 0
+    assert P.pseudonymise(none.limit(0), F.col("i"), F.col("t"), PEOPLE, SECRET).count() == 0
+
+
+def test_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, "O. Kestrow"), (1, "Orlind Kestrow"), (None, "O. Kestrow")], "i int, t string")
+    rows = P.pseudonymise(df, F.col("i"), F.col("t"), PEOPLE, SECRET).collect()
+    assert len(rows) == 3 and {r.entity_key for r in rows} == {"orlindkestrow"}
