@@ -127,11 +127,12 @@ EMAIL = re.compile(
 #: Accounts of systems, not of persons.
 _SYSTEM = frozenset("git svn hg ssh noreply no-reply donotreply do-not-reply mailer-daemon postmaster root daemon www-data".split())
 _OBFUSCATED_DOT = re.compile(_WORD_DOT, re.IGNORECASE)
+_BRACKETED_AT = re.compile(r"[\[({][ \t]*at[ \t]*[\])}]", re.IGNORECASE)
 
 
 def find_emails(text: str) -> Iterator[tuple[int, int, str]]:
-    low = text.lower()
-    if "@" not in text and "at" not in low:
+    # without '@' an address has its 'at' in brackets or a written-out 'dot'
+    if "@" not in text and "dot" not in text.lower() and not _BRACKETED_AT.search(text):
         return
     for m in EMAIL.finditer(text):
         local = m["local"].rstrip(".'")
@@ -161,7 +162,13 @@ ID_NUMBERS = tuple(
 _ID_HINTS = ("ssn", "soc", "nino", "ni ", "ni:", "ni=", "ni#", "nat", "insur", "mrn", "medical", "med ", "med.", "chart", "hospital", "patient id", "patient rec", "passport", "travel")
 
 
+#: Five digits with little between them, which every identity and telephone number has.
+_FIVE_DIGITS = re.compile(r"\d(?:\W{0,3}\d){4}")
+
+
 def find_ids(text: str) -> Iterator[tuple[int, int, str]]:
+    if not _FIVE_DIGITS.search(text):
+        return
     low = text.lower()
     if not any(hint in low for hint in _ID_HINTS):
         return
@@ -203,6 +210,8 @@ def _word_before(text: str, at: int, skipped: str) -> str:
 
 
 def find_phones(text: str) -> Iterator[tuple[int, int, str]]:
+    if not _FIVE_DIGITS.search(text):
+        return
     for m in PHONE.finditer(text):
         if _BARE.fullmatch(m.group()) and (part := _LAST_PART.search(_word_before(text, m.start(), " \t:#="))) and part.group().lower() in _THINGS:
             continue
@@ -225,7 +234,7 @@ GERMAN = re.compile(
     rf"(?<![\w-])(?P<street>(?:[^\W\d_]|-)*[^\W\d_]{_GERMAN_WAY}|(?:am|an{_B}de[rmn]|auf{_B}de[rmn]|im|in{_B}de[rmn]|zu[mr]|unter{_B}den|hinter{_B}de[rmn]|vor{_B}de[rmn]|bei{_B}de[rmn]){_B}(?:[^\W\d_]+e[nrms]?{_B})?[^\W\d_]*{_GERMAN_PLACE}){_B}(?P<no>\d{{1,4}}(?:[ ]?[a-h]\b)?)(?![\w])",
     re.IGNORECASE,
 )
-_HOUSE = re.compile(r"(?<![\w./#-])\d{1,5}")
+_DIGITS = re.compile(r"\d+")
 #: The end of the word before the number of a German address, and most words a street has.
 _GERMAN_END = re.compile(rf"(?:{_GERMAN_WAY}|{_GERMAN_PLACE})\Z", re.IGNORECASE)
 _GERMAN_WORDS = 4
@@ -250,8 +259,10 @@ def _words_back(text: str, at: int, n: int) -> int:
 
 def find_addresses(text: str) -> Iterator[tuple[int, int, str]]:
     # every address has a house number, and numbers are few
-    for n in _HOUSE.finditer(text):
+    for n in _DIGITS.finditer(text):
         at = n.start()
+        if at and (text[at - 1] in "./#-_" or text[at - 1].isalnum()):
+            continue
         if (m := ENGLISH.match(text, at)) and not any(w.strip(".'").lower() in _NO_NAME or w.endswith(".") and w.lower() != "st." for w in m["street"].split()[:-1]):
             yield m.start(), m.end(), entity_key(m["no"] + m["street"])
         elif m := FRENCH.match(text, at):
@@ -282,6 +293,8 @@ def _name_pattern(names: Iterable[str]) -> str:
 _INITIALS = rf"[^\W\d_a-z]\.(?:{_S}[^\W\d_a-z]\.)*"
 _CAP = r"[^\W\d_a-z][^\W\d_]*(?:['-][^\W\d_]+)*"
 TITLED = re.compile(rf"(?<!\w)(?:Mr|Mrs|Ms|Miss|Dr|Prof|Nurse|Sister|Doctor)\.?[ \t]+(?P<given>{_CAP}(?:[ \t]+[^\W\d_a-z]\.)?)[ \t]+(?P<family>{_CAP})(?![\w'-])")
+#: What every title of TITLED contains.
+_TITLES = ("Mr", "Ms", "Miss", "Dr", "Prof", "Nurse", "Sister", "Doctor")
 _NOT_A_NAME = frozenset("The This That These Those And But For From With Practitioner Practitioners Resource Patient".split())
 
 
@@ -328,7 +341,7 @@ def find_persons(text: str, given: tuple[str, ...], family: tuple[str, ...]) ->
             for m in pattern.finditer(text):
                 first = entity_key(m["given"])
                 yield m.start(), m.end(), first + entity_key(m["family"]), first, pattern in (initials, initials_turned)
-    for m in TITLED.finditer(text):
+    for m in TITLED.finditer(text) if any(t in text for t in _TITLES) else ():
         if m["given"] not in _NOT_A_NAME and m["family"] not in _NOT_A_NAME:
             first = entity_key(m["given"])
             yield m.start("given"), m.end(), first + entity_key(m["family"]), first, False
