@@ -8,9 +8,10 @@ A query is evaluated field by field: a record matches if one of its fields alone
 fulfils the whole expression, and a field without text never does. A term of
 another field is false there.
 
-The index is two tables, to be written once (`FullTextIndex`): the postings in
-the order of their terms, so a search reads those of its own terms, and the
-lengths of every record's fields.
+The index is three tables, to be written once (`FullTextIndex`): the postings in
+the order of their terms, each with the lengths of its record, so a search reads
+those of its own terms and nothing else; the lengths of every record's fields, for
+queries that hold without a term; and one row of totals.
 """
 
 from __future__ import annotations
@@ -116,10 +117,11 @@ def terms_of(node: Term | Node) -> list[Term]:
 
 @dataclass(frozen=True)
 class FullTextIndex:
-    """postings: (doc_id, field, term, tf, positions); lengths: (doc_id, one column per field with its number of terms)."""
+    """postings: (doc_id, field, term, tf, positions, lengths); lengths: (doc_id, one column per field with its number of terms); totals: (records, the same columns summed), one row."""
 
     postings: DataFrame
     lengths: DataFrame
+    totals: DataFrame
     fields: tuple[str, ...]
 
 
@@ -128,10 +130,11 @@ def _terms(text: Column) -> Column:
 
 
 def postings(docs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """(doc_id, field, term, tf, positions) in the order of the terms; tags are stripped, texts without a term have no rows."""
-    each = docs.select(F.col(key).alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), _terms(F.col(f)).alias("terms")) for f in fields])).alias("x"))
-    words = each.select("doc_id", "x.field", F.posexplode("x.terms").alias("at", "term"))
-    found = words.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
+    """(doc_id, field, term, tf, positions, lengths) in the order of the terms; tags are stripped, texts without a term have no rows."""
+    terms = docs.select(F.col(key).alias("doc_id"), *[F.coalesce(_terms(F.col(f)), F.array().cast("array<string>")).alias(f) for f in fields])
+    each = terms.select("doc_id", F.struct(*[F.size(f).alias(f) for f in fields]).alias("lengths"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("terms")) for f in fields])).alias("x"))
+    words = each.select("doc_id", "lengths", "x.field", F.posexplode("x.terms").alias("at", "term"))
+    found = words.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"), F.any_value("lengths").alias("lengths"))
     return found.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
 
 
@@ -140,9 +143,15 @@ def lengths(docs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     return docs.select(F.col(key).alias("doc_id"), *[F.coalesce(F.size(_terms(F.col(f))), F.lit(0)).alias(f) for f in fields])
 
 
+def totals(sizes: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """One row: how many records there are, and how many terms in each of their fields; sizes: `lengths`."""
+    return sizes.agg(F.count("*").alias("records"), *[F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in fields])
+
+
 def build_index(docs: DataFrame, key: str, fields: Sequence[str]) -> FullTextIndex:
     """The index of a frame, not written anywhere."""
-    return FullTextIndex(postings(docs, key, fields), lengths(docs, key, fields), tuple(fields))
+    sizes = lengths(docs, key, fields)
+    return FullTextIndex(postings(docs, key, fields), sizes, totals(sizes, fields), tuple(fields))
 
 
 def _term_condition(t: Term) -> Column:
@@ -220,12 +229,12 @@ def ranked(index: FullTextIndex, query: Term | Node, fields: Sequence[str] | Non
     found = matches(index, query, fields)
     if but is not None:
         found = found.where(F.col("doc_id") != but)
-    sizes = index.lengths.select("doc_id", sum((F.col(f) for f in fields[1:]), F.col(fields[0])).alias("length"))
-    totals = sizes.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("average")).alias("s"))
-    total, average = totals.select("s.n").scalar(), totals.select("s.average").scalar()
-    per = index.postings.where(F.col("field").isin(*fields) & _any_term(_positive(query))).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+    summed = lambda prefix: reduce(lambda a, b: a + b, [F.col(f"{prefix}{f}") for f in fields])
+    total, average = index.totals.select("records").scalar(), index.totals.select(summed("") / F.col("records")).scalar()
+    hits = index.postings.where(F.col("field").isin(*fields) & _any_term(_positive(query)))
+    per = hits.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"), F.any_value(summed("lengths.")).alias("length"))
     df = per.groupBy("term").agg(F.count("*").alias("df"))
-    scored = per.join(df, "term").join(found, "doc_id", "left_semi").join(sizes, "doc_id")
+    scored = per.join(df, "term").join(found, "doc_id", "left_semi")
     weight = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
     points = F.sum(weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / average)))
     every = found.join(scored.groupBy("doc_id").agg(F.round(points, 6).alias("score")), "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))

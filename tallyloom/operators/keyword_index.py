@@ -46,7 +46,7 @@ def dictionary(stop_words: DataFrame, paths: DataFrame, operations: DataFrame, l
     parts = [(stop_words, "stop", none), (paths, "path", none), (operations, "operation", none), (lemmas, "lemma", F.col("lemma"))]
     every = reduce(DataFrame.unionByName, [df.select("word", F.lit(kind).alias("kind"), lemma) for df, kind, lemma in parts])
     flags = [F.bool_or(F.col("kind") == kind).alias(f"is_{kind}") for kind in ("stop", "path", "operation")]
-    return every.groupBy("word").agg(*flags, F.min("lemma").alias("lemma")).repartitionByRange("word").sortWithinPartitions("word")
+    return every.groupBy("word").agg(*flags, F.min("lemma").alias("lemma"))
 
 
 def texts_of(issues: DataFrame, comments: DataFrame) -> DataFrame:

@@ -111,9 +111,11 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def full_text(spark: SparkSession, sf_dir: str) -> fulltext.FullTextIndex:
     """The full-text index over the issues' texts. Written once."""
     issues = tables.issues(spark, sf_dir, *K.FIELDS)
+    sizes = stored(spark, sf_dir, "fts_lengths", ["issues"], lambda: fulltext.lengths(issues, "id", K.FIELDS))
     return fulltext.FullTextIndex(
         stored(spark, sf_dir, "fts_postings", ["issues"], lambda: fulltext.postings(issues, "id", K.FIELDS)),
-        stored(spark, sf_dir, "fts_lengths", ["issues"], lambda: fulltext.lengths(issues, "id", K.FIELDS)),
+        sizes,
+        stored(spark, sf_dir, "fts_totals", ["issues"], lambda: fulltext.totals(sizes, K.FIELDS)),
         K.FIELDS,
     )
 
