@@ -178,19 +178,19 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", html_pages.page_text(F.col("html")).alias("visible"))
 
 
-@add("page_text_made", """SELECT * FROM (VALUES (-1, '[%wgt vocab%] Work Group Maturity Level: 3 Standards Status: Trial Use Stable the Patient .zzpart and teh server'),
+@add("page_text_made", """SELECT * REPLACE (CAST(page_id AS BIGINT) AS page_id) FROM (VALUES (-1, '[%wgt vocab%] Work Group Maturity Level: 3 Standards Status: Trial Use Stable the Patient .zzpart and teh server'),
   (-2, 'Maturity Level: 0 Draft Owner [%wg orders%] R4 deprecated R5 zzword/the'), (-3, 'Maturity Level: Normative Standards Status: the zzend'), (-4, 'no status here A & B'), (-5, 'N/A nobody')) t(page_id, visible)""")
 def page_text_made(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of the hand-made pages, runs of blanks as one, against texts written out by hand."""
     return page_text(spark, sf_dir).where("page_id < 0").select("page_id", F.trim(F.regexp_replace("visible", r"\s+", " ")).alias("visible"))
 
 
-@add("page_status", "SELECT * FROM (VALUES (-1, 'Trial Use', 3, 'Trial Use', 'vocab'), (-2, 'Draft', 0, 'Draft', 'orders'), (-3, 'Normative', NULL, NULL, NULL), (-5, 'Informative', NULL, NULL, NULL)) t(page_id, status, maturity, ballot, work_group)")
+@add("page_status", "SELECT * REPLACE (CAST(page_id AS BIGINT) AS page_id) FROM (VALUES (-1, 'Trial Use', 3, 'Trial Use', 'vocab'), (-2, 'Draft', 0, 'Draft', 'orders'), (-3, 'Normative', NULL, NULL, NULL), (-5, 'Informative', NULL, NULL, NULL)) t(page_id, status, maturity, ballot, work_group)")
 def page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_pages.page_status(_parts(spark, sf_dir))
 
 
-@add("page_images", "SELECT * FROM (VALUES (-1, 'one.png', true, true), (-2, 'three.png', true, false), (-3, 'same.png', true, true), (-4, 'four.png', false, true)) t(page_id, source, missing_alt, not_in_figure)")
+@add("page_images", "SELECT * REPLACE (CAST(page_id AS BIGINT) AS page_id) FROM (VALUES (-1, 'one.png', true, true), (-2, 'three.png', true, false), (-3, 'same.png', true, true), (-4, 'four.png', false, true)) t(page_id, source, missing_alt, not_in_figure)")
 def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_pages.page_images(_parts(spark, sf_dir))
 
@@ -306,7 +306,7 @@ def token_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(
     "page_report",
-    """SELECT * FROM (VALUES (-1, 'Trial Use', 3, 'Trial Use', 'vocab', '.zzpart', 'teh', 'one.png'), (-2, 'Draft', 0, 'Draft', 'orders', 'zzword/the', NULL, 'three.png'), (-3, 'Normative', NULL, NULL, NULL, 'zzend', NULL, 'same.png'), (-5, 'Informative', NULL, NULL, NULL, NULL, NULL, NULL)) t(page_id, status, maturity, ballot, work_group, odd_words, typos, image_sources)""",
+    """SELECT * REPLACE (CAST(page_id AS BIGINT) AS page_id) FROM (VALUES (-1, 'Trial Use', 3, 'Trial Use', 'vocab', '.zzpart', 'teh', 'one.png'), (-2, 'Draft', 0, 'Draft', 'orders', 'zzword/the', NULL, 'three.png'), (-3, 'Normative', NULL, NULL, NULL, 'zzend', NULL, 'same.png'), (-5, 'Informative', NULL, NULL, NULL, NULL, NULL, NULL)) t(page_id, status, maturity, ballot, work_group, odd_words, typos, image_sources)""",
 )
 def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with their status, what looks like a slip in their text (here the words in zz), their typos and their images with faults, each sorted."""
