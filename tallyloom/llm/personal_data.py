@@ -575,8 +575,9 @@ def _alphabets(kind: str, written: str) -> tuple[str, list[tuple[str, str]]]:
         if c.isdecimal():
             zero = ord(c) - unicodedata.decimal(c)
             digits = "".join(chr(zero + d) for d in range(10))
-            # the first digit of a telephone number behind its prefix tells its kind
-            out.append((c, digits if i or kind != "phone" else digits[2:] if c in digits[2:] else digits[:2]))
+            # the first digit of a telephone number behind its prefix tells its kind, and of ten the fourth begins the exchange
+            tells = kind == "phone" and (i == 0 or i == 3 and len(code) - kept == 10)
+            out.append((c, digits if not tells else digits[2:] if c in digits[2:] else digits[:2]))
         elif "a" <= c <= "z":
             # the last letter of an insurance number is one of four
             out.append((c, "abcd" if c in "abcd" and kept + i == len(code) - 1 else "abcdefghijklmnopqrstuvwxyz"))

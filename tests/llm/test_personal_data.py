@@ -280,3 +280,11 @@ def test_rows_without_an_id(spark):
     df = spark.createDataFrame([(None, "O. Kestrow"), (1, "Orlind Kestrow"), (None, "O. Kestrow")], "i int, t string")
     rows = P.pseudonymise(df, F.col("i"), F.col("t"), PEOPLE, SECRET).collect()
     assert len(rows) == 3 and {r.entity_key for r in rows} == {"orlindkestrow"}
+
+
+@pytest.mark.parametrize("written", ["(461)555-0150", "221.555.0167", "+1 274 555 0113", "+44 20 7946 0267", "020 7946 0459", "3245550131", "07700 900435", "(02) 5550 4628"])
+def test_surrogate_number_is_a_number_of_its_kind(written):
+    for attempt in range(5):
+        new = surrogate("phone", "k", written, attempt)
+        assert [t for _, _, t, _ in P.find_entities(f"call {new} now", (), ())] == ["phone"]
+        assert [c for c in new if not c.isdigit()] == [c for c in written if not c.isdigit()] and new != written
