@@ -336,3 +336,28 @@ def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates written as in a tracker export, read back."""
     written = F.concat(F.lit("Mon, "), F.date_format("created_at", "d MMM yyyy HH:mm:ss"), F.lit(" +0000"))
     return tables.issues(spark, sf_dir, "created_at").where("created_at IS NOT NULL").select("id", F.date_format(T.parse_date(written), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
+@add(
+    "text_helpers",
+    f"""SELECT id, CASE WHEN trim(array_to_string(list_filter(list_transform(string_split(coalesce(related_artifacts, ''), ','), lambda x: trim(x, ' ')), lambda x: x <> ''), ', '), ' ') <> '' THEN array_to_string(list_filter(list_transform(string_split(related_artifacts, ','), lambda x: trim(x, ' ')), lambda x: x <> ''), ', ') END AS joined,
+    CAST(nullif(CAST(watches AS INTEGER), 0) AS VARCHAR) AS watches, trim(regexp_replace(description, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' ') AS squeezed FROM {ISSUES_SQL}""",
+)
+def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values joined again, a number of watchers as text, white space squeezed."""
+    df = tables.issues(spark, sf_dir, "related_artifacts", "watches", "description")
+    return df.select("id", T.join_values(T.csv_list(F.coalesce("related_artifacts", F.lit("")))).alias("joined"), T.watches(F.col("watches")).alias("watches"), T.squeeze(F.col("description")).alias("squeezed"))
+
+
+@add("replaced_codes", f"SELECT id, CASE WHEN status_name = 'Triaged' THEN 'Submitted' WHEN status_name IN ('Submitted', 'Applied', 'Published') THEN status_name ELSE 'Other' END AS status FROM {ISSUES_SQL}")
+def replaced_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replaced code gives its successor, null and unknown ones the default."""
+    return tables.issues(spark, sf_dir, "status_name").select("id", T.replaced_code(F.col("status_name"), {"Triaged": "Submitted"}, ["Submitted", "Applied", "Published"], "Other").alias("status"))
+
+
+@add("download_check", "SELECT doc_id, starts_with(ltrim(text, ' '), '<') AS usable FROM documents WHERE text IS NOT NULL")
+def download_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts would pass as a download: markup, not blank."""
+    from tallyloom.sources.tracker import usable_download
+
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", usable_download(F.col("text")).alias("usable"))

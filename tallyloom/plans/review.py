@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import html_pages, review
 from tallyloom.functions import text as T
-from tallyloom.operators import metadata, page_words, related, summaries
+from tallyloom.operators import metadata, page_words, related, reports, summaries
 from tallyloom.plans import tables
 from tallyloom.plans.registry import Registry
 from tallyloom.plans.tables import COMMENTS_SQL, ISSUES_SQL, KEYWORDS_SQL
@@ -126,11 +126,16 @@ _MARKERS = (*review.INCOMPLETE, *review.READER_NOTES)
 _MARKER_SQL = rf"regexp_extract_all(text, '(?i)\b({'|'.join(_MARKERS)})\b')"
 
 
-@add("page_markers", f"SELECT doc_id, array_to_string(list_sort(list(x)), '; ') AS markers FROM (SELECT DISTINCT doc_id, lower(unnest({_MARKER_SQL})) AS x FROM documents) GROUP BY doc_id")
+@add(
+    "page_markers",
+    f"""SELECT doc_id, array_to_string(list(x ORDER BY low), '; ') AS markers FROM (
+    SELECT doc_id, lower(x) AS low, arg_min(x, n) AS x FROM (SELECT doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS n FROM (SELECT doc_id, {_MARKER_SQL} AS l FROM documents)) GROUP BY doc_id, lower(x)
+    ) GROUP BY doc_id""",
+)
 def page_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markers of unfinished text and notes to readers, per document that has any; in lower case."""
+    """Markers of unfinished text and notes to readers, per document that has any: each once, as first spelt, sorted without regard to case."""
     found = review.markers(F.col("text"), _MARKERS)
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", found.alias("m")).where(F.size("m") > 0).select("doc_id", F.lower(F.array_join("m", "; ")).alias("markers"))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", found.alias("m")).where(F.size("m") > 0).select("doc_id", F.array_join("m", "; ").alias("markers"))
 
 
 @add("page_links", r"SELECT doc_id, len(regexp_extract_all(text, '(?i)http[s?]://spec\.example\.org/')) AS spec_links, len(regexp_extract_all(text, '(?i)http[s?]://tracker\.example\.org/')) AS tracker_links, len(regexp_extract_all(text, '(?i)(>\s*Trial\s+Use\s*<|class\s*=\s*[''" + '"' + r"]stu[''" + '"' + r"])')) AS trial_use FROM documents WHERE text IS NOT NULL")
@@ -474,7 +479,41 @@ def artifact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "artifact_name", "has_structure", "intro_page", "notes_page")
 
 
-@add("summaries")
+PROMPTS_SQL = registry.sql["prompt_build"]
+
+
+@add("summaries", f"SELECT id, kind, split_part(trim(regexp_replace(prompt, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g'), ' '), '. ', 1) AS summary, CAST(NULL AS VARCHAR) AS failed FROM ({PROMPTS_SQL})")
 def offline_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stand-in summary of every record."""
+    """The stand-in summary of every prompt: its first sentence."""
     return summaries.summarise(prompt_build(spark, sf_dir))
+
+
+# --- report pages ---------------------------------------------------------
+def _escaped(x: str) -> str:
+    return f"replace(replace(replace(replace(coalesce({x}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+_REPORT_SQL = f"""
+  SELECT grp AS "group", coalesce(nullif(trim(regexp_replace(lower(grp), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-'), ''), 'none') || '.html' AS file_name,
+    '<h1>' || {_escaped("grp")} || '</h1><ul>' || string_agg('<li>' || {_escaped("kind")} || ': ' || {_escaped("title")} || '</li>', '' ORDER BY '<li>' || {_escaped("kind")} || ': ' || {_escaped("title")} || '</li>') || '</ul>' AS html
+  FROM (SELECT coalesce(work_group, 'No group') AS grp, 'page' AS kind, page_title AS title FROM spec_pages UNION ALL SELECT coalesce(work_group, 'No group'), artifact_type, artifact_name FROM artifacts) GROUP BY grp"""
+
+
+@add("report_pages", _REPORT_SQL)
+def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An HTML page per work group with its pages and artifacts."""
+    pages = table(spark, sf_dir, "spec_pages").select("work_group", F.lit("page").alias("kind"), F.col("page_title").alias("title"))
+    artifacts = table(spark, sf_dir, "artifacts").select("work_group", F.col("artifact_type").alias("kind"), F.col("artifact_name").alias("title"))
+    return reports.group_pages(pages.unionByName(artifacts), "work_group", "kind", "title")
+
+
+@add("report_index", f"""SELECT 'index.html' AS file_name, '<ul>' || string_agg('<li><a href="' || file_name || '">' || {_escaped('"group"')} || '</a></li>', '' ORDER BY "group") || '</ul>' AS html FROM ({_REPORT_SQL})""")
+def report_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page that links them."""
+    return reports.index_page(report_pages(spark, sf_dir))
+
+
+@add("expected_paths", "SELECT id, 'source/' || CASE artifact_type WHEN 'Resource' THEN lower(artifact_name) || '/structuredefinition-' WHEN 'Profile' THEN 'profiles/' WHEN 'Extension' THEN 'extensions/' ELSE '' END || lower(artifact_name) || '.xml' AS path FROM artifacts")
+def expected_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the source of each artifact is expected."""
+    return table(spark, sf_dir, "artifacts").select("id", T.expected_path(F.col("artifact_type"), F.col("artifact_name")).alias("path"))
