@@ -231,8 +231,9 @@ def sample_texts(documents: DataFrame, doc_id: Column, text: Column, bound: int
     """The `bound` texts that come first by a hash of the id, so the same ones in every run; only texts of some length, up to `characters`."""
     rows = documents.select(doc_id.alias("i"), text.alias("t")).where(F.length("t").between(1, characters))
     place = F.xxhash64(F.lit(3), "i")
-    # cut by the hash to about twice the bound first, or every partition would send its own `bound` texts
-    share = min(1.0, 2 * bound / max(1, rows.count()))
+    # cut by the hash to about twice the bound first, or every partition would send its own `bound` texts;
+    # all rows are counted, which reads no text
+    share = min(1.0, 2 * bound / max(1, documents.count()))
     near = rows if share == 1.0 else rows.where(place < F.lit(int(-(2**63) + share * 2**64)))
     return [r.t for r in near.orderBy(place, "i", "t").limit(bound).collect()]
 
