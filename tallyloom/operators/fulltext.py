@@ -117,7 +117,7 @@ def terms_of(node: Term | Node) -> list[Term]:
 
 @dataclass(frozen=True)
 class FullTextIndex:
-    """postings: (doc_id, field, term, tf, positions, lengths); lengths: (doc_id, one column per field with its number of terms); totals: (records, the same columns summed), one row."""
+    """postings: (doc_id, field, term, tf, positions, lengths); lengths: (doc_id, n_<field> per field, its number of terms); totals: (records, the same columns summed), one row."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -131,8 +131,8 @@ def _terms(text: Column) -> Column:
 
 def postings(docs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """(doc_id, field, term, tf, positions, lengths) in the order of the terms; tags are stripped, texts without a term have no rows."""
-    terms = docs.select(F.col(key).alias("doc_id"), *[F.coalesce(_terms(F.col(f)), F.array().cast("array<string>")).alias(f) for f in fields])
-    each = terms.select("doc_id", F.struct(*[F.size(f).alias(f) for f in fields]).alias("lengths"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("terms")) for f in fields])).alias("x"))
+    terms = docs.select(F.col(key).alias("doc_id"), *[F.coalesce(_terms(F.col(f)), F.array().cast("array<string>")).alias(f"t_{f}") for f in fields])
+    each = terms.select("doc_id", F.struct(*[F.size(f"t_{f}").alias(f"n_{f}") for f in fields]).alias("lengths"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"t_{f}").alias("terms")) for f in fields])).alias("x"))
     words = each.select("doc_id", "lengths", "x.field", F.posexplode("x.terms").alias("at", "term"))
     found = words.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"), F.any_value("lengths").alias("lengths"))
     return found.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
@@ -140,12 +140,12 @@ def postings(docs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
 
 def lengths(docs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """(doc_id, ...): the number of terms in each field of every record, 0 for none."""
-    return docs.select(F.col(key).alias("doc_id"), *[F.coalesce(F.size(_terms(F.col(f))), F.lit(0)).alias(f) for f in fields])
+    return docs.select(F.col(key).alias("doc_id"), *[F.coalesce(F.size(_terms(F.col(f))), F.lit(0)).alias(f"n_{f}") for f in fields])
 
 
 def totals(sizes: DataFrame, fields: Sequence[str]) -> DataFrame:
     """One row: how many records there are, and how many terms in each of their fields; sizes: `lengths`."""
-    return sizes.agg(F.count("*").alias("records"), *[F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in fields])
+    return sizes.agg(F.count("*").alias("records"), *[F.coalesce(F.sum(f"n_{f}"), F.lit(0)).alias(f"n_{f}") for f in fields])
 
 
 def build_index(docs: DataFrame, key: str, fields: Sequence[str]) -> FullTextIndex:
@@ -194,7 +194,7 @@ def matches(index: FullTextIndex, query: Term | Node, fields: Sequence[str] | No
             columns.append((F.flatten(F.collect_list(F.when(cond, F.col("positions")))) if len(t.words) > 1 else F.bool_or(cond)).alias(f"p{i}_{j}"))
     per_field = hits.groupBy("doc_id", "field").agg(*columns)
     if _truth(query, lambda t: False):
-        with_text = index.lengths.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("n")) for f in fields])).alias("x")).where("x.n > 0").select("doc_id", "x.field")
+        with_text = index.lengths.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"n_{f}").alias("n")) for f in fields])).alias("x")).where("x.n > 0").select("doc_id", "x.field")
         per_field = with_text.join(per_field, ["doc_id", "field"], "left")
     numbers = {id(t): i for i, t in enumerate(terms)}
 
@@ -229,7 +229,7 @@ def ranked(index: FullTextIndex, query: Term | Node, fields: Sequence[str] | Non
     found = matches(index, query, fields)
     if but is not None:
         found = found.where(F.col("doc_id") != but)
-    summed = lambda prefix: reduce(lambda a, b: a + b, [F.col(f"{prefix}{f}") for f in fields])
+    summed = lambda prefix: reduce(lambda a, b: a + b, [F.col(f"{prefix}n_{f}") for f in fields])
     total, average = index.totals.select("records").scalar(), index.totals.select(summed("") / F.col("records")).scalar()
     hits = index.postings.where(F.col("field").isin(*fields) & _any_term(_positive(query)))
     per = hits.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"), F.any_value(summed("lengths.")).alias("length"))
