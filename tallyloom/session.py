@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
 import tempfile
@@ -103,22 +104,37 @@ def _state_of(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(hadoop)))
 
 
+#: Part of the name of a kept table; to be raised when what is stored changes.
+STORE_VERSION = 1
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, sources: Sequence[str], build: Callable[[], DataFrame]) -> DataFrame:
     """A derived table - a cleaned table, an index - written once and read by all later queries.
 
     It is built anew when one of its source tables has changed. Filters on what
     is read reach its files, which `build` should leave sorted by what is
-    searched. It lies in the shared checkpoint folder as long as the application.
+    searched. It lies in the shared checkpoint folder as long as the application,
+    or, if `spark.tallyloom.store` names a folder, there for later ones as well.
     """
     state = tuple(_state_of(spark, f"{sf_dir}/{s}.parquet") for s in sources)
     key = (spark.sparkContext.applicationId, sf_dir, name, state)
     if key not in _STORED:
         for old in [k for k in _STORED if k[:3] == key[:3] or k[0] != key[0]]:
             del _STORED[old]
-        _STORED[key] = materialise(build())
+        root = spark.conf.get("spark.tallyloom.store", None)
+        _STORED[key] = _kept(spark, root, (STORE_VERSION, *key[1:]), build) if root else materialise(build())
     return _STORED[key]
 
 
+def _kept(spark: SparkSession, root: str, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table of a key in a folder that outlives the application; one that was not written to its end is written again."""
+    path = f"{root}/{key[2]}-{hashlib.sha256(repr(key).encode()).hexdigest()[:24]}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables; columns are pruned by whatever is selected."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -41,6 +41,27 @@ def test_stored_tables_follow_their_sources(spark, sf_dir, tmp_path):
     assert tables.issues(spark, str(tmp_path)).count() <= 5 < n
 
 
+def test_tables_kept_for_later_applications(spark, sf_dir, tmp_path, monkeypatch):
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(3)
+
+    spark.conf.set("spark.tallyloom.store", str(tmp_path))
+    try:
+        for _ in range(2):
+            monkeypatch.setattr(session, "_STORED", {})  # as another application would find it
+            assert session.stored(spark, sf_dir, "three", ["issues"], build).count() == 3
+        assert built == [1]
+        next(p for p in tmp_path.rglob("_SUCCESS")).unlink()  # died half-way
+        monkeypatch.setattr(session, "_STORED", {})
+        assert session.stored(spark, sf_dir, "three", ["issues"], build).count() == 3
+        assert built == [1, 1]
+    finally:
+        spark.conf.unset("spark.tallyloom.store")
+
+
 def test_masters_without_a_shared_disk():
     assert session.is_local("local") and session.is_local("local[8]") and session.is_local("local[*, 3]")
     assert not session.is_local("local-cluster[2,1,1024]") and not session.is_local("spark://host:7077") and not session.is_local("yarn")
