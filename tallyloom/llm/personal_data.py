@@ -324,7 +324,10 @@ def _any_of(parts: tuple[str, ...]):  # noqa: ANN202
         return lambda text: False
     if len(parts) < 50:
         return lambda text: any(p in text for p in parts)
-    import ahocorasick
+    try:
+        import ahocorasick
+    except ImportError:
+        return re.compile("|".join(map(re.escape, parts))).search
 
     tree = ahocorasick.Automaton()
     for part in parts:
