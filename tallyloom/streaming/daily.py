@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from tallyloom.operators.keyed import unseen
@@ -20,23 +22,34 @@ def first_seen(stream: DataFrame, key: str, at: str, delay: str = "30 days") ->
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
-def merge_into(spark: SparkSession, target: str, keys: list[str], order: list[str], keep: str = "first") -> Callable[[DataFrame, int], None]:
+#: How many folders a target is parted into by a hash of the key.
+PARTS = 64
+PART = "__part"
+
+
+def read_target(spark: SparkSession, target: str) -> DataFrame:
+    """What has been taken in so far."""
+    return spark.read.parquet(target).drop(PART)
+
+
+def merge_into(spark: SparkSession, target: str, keys: list[str], order: list[str], keep: str = "first", parts: int = PARTS) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: rows of keys that the target doesn't have yet are appended.
 
-    A batch that is run again after a failure finds its keys there and adds
-    nothing, so the result doesn't depend on repeats.
+    The target lies in folders by a hash of the key, so a batch is held against
+    those folders only that its own keys belong to. A batch that is run again
+    after a failure finds its keys there and adds nothing, so the result doesn't
+    depend on repeats. `parts` must stay the same for a target.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        from pyspark.errors import AnalysisException
-        from pyspark.sql import functions as F
-
+        placed = batch.withColumn(PART, F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+        touched = [r[0] for r in placed.select(PART).distinct().collect()]  # at most `parts` numbers
         try:
-            existing = spark.read.schema(batch.schema).parquet(target)
+            existing = spark.read.schema(placed.schema).parquet(target).where(F.col(PART).isin(touched))
             existing.limit(0).collect()
         except AnalysisException:
-            existing = spark.createDataFrame([], batch.schema)
-        unseen(existing, batch, keys, [F.col(c).asc() for c in order], keep).write.mode("append").parquet(target)
+            existing = spark.createDataFrame([], placed.schema)
+        unseen(existing, placed, keys, [F.col(c).asc() for c in order], keep).repartition(PART).write.mode("append").partitionBy(PART).parquet(target)
 
     return merge
 

@@ -15,7 +15,7 @@ def test_daily_drops(spark, tmp_path):
     run()
     drop("d2", [(1, "later", "2020-01-03"), (3, None, "2020-01-03")])
     run()
-    assert sorted((r.id, r.v) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "a"), (2, "b"), (3, None)]
+    assert sorted((r.id, r.v) for r in daily.read_target(spark, str(tmp_path / "out")).collect()) == [(1, "a"), (2, "b"), (3, None)]
 
 
 def test_repeated_batch_adds_nothing(spark, tmp_path):
@@ -23,7 +23,16 @@ def test_repeated_batch_adds_nothing(spark, tmp_path):
     merge = daily.merge_into(spark, str(tmp_path / "t"), ["id"], ["v"])
     merge(batch, 0)
     merge(batch, 0)
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+    assert [tuple(r) for r in daily.read_target(spark, str(tmp_path / "t")).collect()] == [(1, "a")]
+
+
+def test_batches_meet_their_own_folders(spark, tmp_path):
+    merge = daily.merge_into(spark, str(tmp_path / "t"), ["id"], ["v"], parts=4)
+    for start in (0, 5, 10):
+        merge(spark.createDataFrame([(i, f"{start}") for i in range(start, start + 10)], "id int, v string"), start)
+    got = {r.id: r.v for r in daily.read_target(spark, str(tmp_path / "t")).collect()}
+    assert got == {i: "0" if i < 10 else "5" if i < 15 else "10" for i in range(20)}
+    assert len(list((tmp_path / "t").glob(f"{daily.PART}=*"))) <= 4
 
 
 def test_first_seen(spark, tmp_path):
