@@ -55,12 +55,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.references import lookup_salted
 from tallyloom.session import materialise
 
 TYPES = ("email", "id_number", "phone", "address", "person")
 PATTERN_NAMES = 5_000
 ROUNDS = 12
 DENSE = 16
+SALTS = 16
 
 _ODD = re.compile(
     r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
@@ -878,7 +880,9 @@ def with_entity(found: DataFrame) -> DataFrame:
         """The person of each group that has exactly one."""
         return full.groupBy(*keys).agg(F.min("pii_key").alias(name), F.max("pii_key").alias("__max")).where(F.col(name) == F.col("__max")).drop("__max")
 
-    short = named.where(is_short).join(only(["row_id", "family_key", "letter"], "__near"), ["row_id", "family_key", "letter"], "left").join(only(["family_key", "letter"], "__far"), ["family_key", "letter"], "left")
+    near = named.where(is_short).join(only(["row_id", "family_key", "letter"], "__near"), ["row_id", "family_key", "letter"], "left")
+    # one name may stand in a third of all texts
+    short = lookup_salted(near, only(["family_key", "letter"], "__far"), ["family_key", "letter"], SALTS)
     rest = named.where(~is_short).withColumn("entity_key", F.col("pii_key"))
     columns = [*found.columns, "entity_key"]
     return short.withColumn("entity_key", F.coalesce("__near", "__far", "pii_key")).select(*columns).unionByName(rest.select(*columns))
@@ -974,7 +978,7 @@ def pseudonymise(rows: DataFrame, row_id: Column, text: Column, people: Director
     mentions = materialise(with_entity(materialise(detect(rows, row_id, text, people))))
     named = surrogates(mentions, secret).select("pii_type", "entity_key", "surrogate")
     columns = ["row_id", "start_at", "end_at", "pii_type", "pii_key", "entity_key", "written", "surrogate"]
-    return mentions.join(named, ["pii_type", "entity_key"]).select(*columns, _shown().alias("shown"))
+    return lookup_salted(mentions, named, ["pii_type", "entity_key"], SALTS, how="inner").select(*columns, _shown().alias("shown"))
 
 
 def replace_spans(text: Column, spans: Column) -> Column:
