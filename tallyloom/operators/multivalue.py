@@ -215,14 +215,19 @@ def _cell(column: Column) -> Column:
     return F.regexp_replace(text, r"(?s)^\s*\[(.*)\]\s*$", "$1")
 
 
-def _typed(piece: Column) -> Column:
-    return (
-        F.when(piece == "", "empty")
-        .when(piece == MASK, "opaque")
-        .when(piece.rlike(r"^\p{L}+[-‐-―]\p{Nd}+$"), "code")
-        .when(piece.rlike(r"^[\p{L}_][\p{L}\p{Nd}_]*$"), "word")
-        .otherwise("other")
-    )
+#: What stands for a piece of each kind in the shape of a cell.
+KINDS = {"opaque": MASK, "code": "\ue001", "word": "\ue002", "other": "\ue003"}
+
+
+def _shape(masked: Column, every: str) -> Column:
+    """A cell with every run free of delimiters put as its kind: all that the scores depend on, and the same for most cells.
+
+    every: the candidates' characters inside a regex class.
+    """
+    begin, end = f"(?<![^{every}])", f"(?![^{every}])"
+    codes = F.regexp_replace(masked, rf"{begin}\p{{L}}++[-‐-―]\p{{Nd}}++{end}", KINDS["code"])
+    words = F.regexp_replace(codes, rf"{begin}[\p{{L}}_][\p{{L}}\p{{Nd}}_]*+{end}", KINDS["word"])
+    return F.regexp_replace(words, rf"{begin}(?![{MASK}-{KINDS['word']}]{end})[^{every}]++", KINDS["other"])
 
 
 def _classes(names: tuple[str, ...]) -> str:
@@ -249,9 +254,10 @@ def score_delimiters(cells: DataFrame, source: Source, names: tuple[str, ...] |
             whole = F.coalesce(of_long, F.when(~_is_long(cell), whole))
     masked = cells.select(F.regexp_replace(whole, r"\\.", MASK).alias("m"))
     masked = masked.where("trim(m) <> ''").select(F.trim("m").alias("m"))
+    # scored once per shape, weighted by its cells
+    shapes = masked.select(_shape(F.col("m"), every).alias("m")).groupBy("m").agg(F.count("*").alias("n"))
     ends = F.lit("".join(CHARACTERS[n] for n, _ in candidates))
-    whole_cell = F.btrim("m", ends)
-    single = F.when(~whole_cell.rlike(f"[{every}]"), _typed(whole_cell))
+    single = F.btrim("m", ends)
 
     def pieces_by(chars: str) -> Column:
         return F.filter(F.transform(F.split("m", f"[{chars}]+"), lambda x: F.btrim(x, ends)), lambda x: x != "")
@@ -263,21 +269,22 @@ def score_delimiters(cells: DataFrame, source: Source, names: tuple[str, ...] |
             there.alias("there"),
             (there & (F.size(pieces) >= 2)).alias("cuts"),
             (there & (F.size(pieces) >= 2) & (F.size(pieces) == F.col("every"))).alias("agrees"),
-            F.transform(F.filter(pieces, lambda x: ~x.rlike(f"[{every}]")), _typed).alias("types"),
+            pieces.alias("pieces"),
         )
 
-    counted = masked.select("m", single.alias("single"), F.size(pieces_by(every)).alias("every"))
-    scored = counted.select("single", F.explode(F.array(*[F.struct(F.lit(n).alias("delimiter"), judged(c).alias("j")) for n, c in candidates])).alias("x"))
-    kinds = ("opaque", "code", "word", "other")
+    counted = shapes.select("m", "n", single.alias("single"), F.size(pieces_by(every)).alias("every"))
+    scored = counted.select("n", "single", F.explode(F.array(*[F.struct(F.lit(n).alias("delimiter"), judged(c).alias("j")) for n, c in candidates])).alias("x"))
+    kinds = tuple(KINDS)
+    weighed = lambda cond, by=F.lit(1): F.sum(F.when(cond, F.col("n") * by).otherwise(0))
 
     def pieces_of(kind: str) -> Column:
-        return F.sum(F.when(F.col("x.j.cuts"), F.size(F.filter("x.j.types", lambda t: t == kind))).otherwise(0))
+        return weighed(F.col("x.j.cuts"), F.size(F.filter("x.j.pieces", lambda p: p == KINDS[kind])))
 
     one = scored.groupBy(F.col("x.delimiter").alias("delimiter")).agg(
-        F.count_if("x.j.there").alias("cells"),
-        F.count_if("x.j.agrees").alias("agreed"),
+        weighed(F.col("x.j.there")).alias("cells"),
+        weighed(F.col("x.j.agrees")).alias("agreed"),
         *[pieces_of(k).alias(f"n_{k}") for k in kinds],
-        *[F.count_if(F.col("single") == k).alias(f"s_{k}") for k in kinds],
+        *[weighed(F.col("single") == KINDS[k]).alias(f"s_{k}") for k in kinds],
     )
     singles = sum((F.col(f"s_{k}") for k in kinds), F.lit(0))
     seen = sum((F.when(F.col(f"s_{k}") > 0, F.col(f"n_{k}")).when((singles == 0) & F.lit(k != "other"), F.col(f"n_{k}")).otherwise(0) for k in kinds), F.lit(0))
